@@ -39,19 +39,21 @@ def exp_sums(
     packed = partial.groupBy(*keys).agg(
         F.collect_list(item).alias("_bands"), *[F.sum(name).alias(name) for name in extra_names]
     )
-    tops = packed.withColumns({
-        f"_top_{name}": F.array_max(F.transform("_bands", lambda b, n=name: b[f"_band_{n}"]))
-        .cast("double")
-        for name in sums
-    })
+    tops = packed.withColumns({f"_top_{name}": _top(name) for name in sums})
     columns = []
     for name in sums:
-        total = F.aggregate(
-            "_bands",
-            F.lit(0.0),
-            lambda acc, b, n=name: acc
-            + b[f"_sum_{n}"] * F.exp((b[f"_band_{n}"].cast("double") - F.col(f"_top_{n}")) * BAND),
-        )
         columns.append((F.col(f"_top_{name}") * F.lit(BAND)).alias(f"{name}_top"))
-        columns.append(total.alias(f"{name}_sum"))
+        columns.append(_total(name).alias(f"{name}_sum"))
     return tops.select(*keys, *columns, *extra_names)
+
+
+def _top(name: str) -> Column:
+    return F.array_max(F.col(f"_bands._band_{name}")).cast("double")
+
+
+def _total(name: str) -> Column:
+    def add(total: Column, band: Column) -> Column:
+        below = band[f"_band_{name}"].cast("double") - F.col(f"_top_{name}")
+        return total + band[f"_sum_{name}"] * F.exp(below * F.lit(BAND))
+
+    return F.aggregate("_bands", F.lit(0.0), add)

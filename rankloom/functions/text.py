@@ -3,8 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (?U) makes \s match every Unicode space, not only the ASCII ones.
-WHITESPACE = r"(?U)\s+"
+# Every Unicode space, and the four separators that count as spaces as well.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def tokens(text: Column) -> Column:

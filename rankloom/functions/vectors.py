@@ -10,11 +10,16 @@ SCORE_DIGITS = 12
 
 
 def densify(features: Column, n_features: int) -> Column:
-    """Dense array of a map from 1-based feature index to value; missing is 0."""
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(n_features)),
-        lambda i: F.coalesce(F.element_at(features, i), F.lit(0.0)),
-    )
+    """Dense array of a map from 1-based feature index to value; missing is 0.
+
+    The map is walked once: a look-up per index inside a lambda would build
+    the map anew for every index.
+    """
+    indices = F.sequence(F.lit(1), F.lit(n_features))
+    zeros = F.map_from_arrays(indices, F.array_repeat(F.lit(0.0), n_features))
+    filled = F.map_zip_with(zeros, features, lambda _, zero, value: F.coalesce(value, zero))
+    ordered = F.array_sort(F.map_entries(filled))
+    return F.transform(F.slice(ordered, 1, n_features), lambda entry: entry["value"])
 
 
 def cosine(left: Column, right: Column) -> Column:

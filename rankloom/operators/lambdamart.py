@@ -21,7 +21,6 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.keys import seeded_int
 from rankloom.operators.gradients import (
     OBJECTIVES, PAIR_OBJECTIVES, pair_gradients, point_gradients,
 )
@@ -32,8 +31,7 @@ from rankloom.operators.trees import NODE_SCHEMA, Node, read_tree, tree_column,
 from rankloom.plans.durable import durable
 from rankloom.plans.groups import measure_groups
 from rankloom.plans.pair_blocks import BLOCK_ROWS
-
-_HASH_STEPS = 1_000_000
+from rankloom.sources.datasets import sample_queries
 
 
 def decayed_rate(round_: int, start: float = 0.1, decay: float = 0.95) -> float:
@@ -135,8 +133,7 @@ class LambdaMART:
             chosen = sorted(draw.sample(chosen, max(1, round(self.feature_subsample * n_features))))
         rows = train
         if self.query_subsample < 1.0:
-            place = F.pmod(seeded_int(self.seed, F.lit(round_), F.col(QUERY)), F.lit(_HASH_STEPS))
-            rows = rows.where(place < int(self.query_subsample * _HASH_STEPS))
+            rows = sample_queries(rows, self.query_subsample, self.seed, round_)
         if self.objective in PAIR_OBJECTIVES:
             pulled = pair_gradients(
                 rows, sizes, ["features"], self.sigma, self.k, self.objective, self.block_rows

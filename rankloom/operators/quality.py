@@ -47,7 +47,12 @@ def classification_report(
             zero.alias("predicted"),
             F.col("n").alias("support"),
         ),
-        F.struct(F.col("predicted").alias("cls"), zero, F.col("n"), zero),
+        F.struct(
+            F.col("predicted").alias("cls"),
+            zero.alias("hits"),
+            F.col("n").alias("predicted"),
+            zero.alias("support"),
+        ),
     )
     classes = (
         confusion_matrix(df, label, predicted)

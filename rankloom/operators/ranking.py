@@ -89,9 +89,8 @@ def suffix_exp_sums(
     backwards = [F.col("label").asc()] if by_label else []
     backwards.append(F.col("pos").desc())
     x = F.col(logit)
-    shifted = group_totals(
-        df, [QUERY], {"shift": F.greatest(F.max(x), F.lit(0.0))}, "pos", sizes
-    )
+    shifted = group_totals(df, [QUERY], {"shift": F.max(x)}, "pos", sizes)
+    shifted = shifted.withColumn("shift", F.greatest("shift", F.lit(0.0)))
     return scan_groups(
         shifted,
         [QUERY],

@@ -110,7 +110,10 @@ def group_totals(
     salt_on: str,
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Add aggregates of the whole group to each of its rows."""
+    """Add aggregates of the whole group to each of its rows.
+
+    Each of ``totals`` is one aggregate function, so that it also works as a window.
+    """
     sizes = sizes or measure_groups(df, keys)
     if sizes.bounded:
         w = Window.partitionBy(*keys)

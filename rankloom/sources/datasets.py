@@ -13,6 +13,7 @@ from rankloom.schema import require_columns, require_list
 INDEX_BUCKET = 100_000
 # Items of one list; a longer list goes on in a further part.
 LIST_ITEMS = 100_000
+SAMPLE_STEPS = 1_000_000
 
 
 # -- groups --------------------------------------------------------------------
@@ -98,6 +99,12 @@ def train_test_split(
     return df.where(~is_test), df.where(is_test)
 
 
+def sample_queries(df: DataFrame, share: float, seed: int, round_: int = 0) -> DataFrame:
+    """Whole queries, each drawn with probability ``share`` anew for every round."""
+    place = F.pmod(seeded_int(seed, F.lit(round_), F.col("query_id")), F.lit(SAMPLE_STEPS))
+    return df.where(place < int(share * SAMPLE_STEPS))
+
+
 def assign_batches(df: DataFrame, size: int, seed: int, key: str, exact: bool = False) -> DataFrame:
     """Add ``batch_id`` in seeded order, for batches of ``size`` rows.
 
