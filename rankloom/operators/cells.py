@@ -54,8 +54,12 @@ class KMeansCells:
         cls, corpus: DataFrame, n_cells: int = 16, n_probe: int = 4, seed: int = 12,
         sample: float = 1.0,
     ) -> KMeansCells:
-        """Learn the centres; ``sample`` is the share of the corpus to learn from."""
-        vectors = corpus.where(F.col("embedding").isNotNull()).select(
+        """Learn the centres; ``sample`` is the share of the corpus to learn from.
+
+        Zero vectors have no direction and are left out here; ``assign`` still
+        gives them a cell.
+        """
+        vectors = corpus.where(F.exists("embedding", lambda x: x != 0)).select(
             array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
         )
         if sample < 1.0:
