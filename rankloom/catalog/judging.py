@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.catalog.registry import Tables, query, r
 from rankloom.catalog.views import JUDGMENTS, RANKED, judgments, stage1, vector_corpus, VECTORS
 from rankloom.operators import metrics
+from rankloom.plans.groups import known_groups
 
 
 def gain_sum(rank: str, k: int | None) -> str:
@@ -187,9 +188,14 @@ def reranked(t: Tables):
     )
 
 
+def evaluated(t: Tables):
+    documents = reranked(t)
+    return metrics.evaluate_reranking(documents, 10, sizes=known_groups(documents, 30))
+
+
 @query(f"with {RERANKED} select evaluator, metric, {r('value')} as value from report")
 def reranking_evaluation(t: Tables):
-    return metrics.evaluate_reranking(reranked(t), 10)
+    return evaluated(t)
 
 
 @query(f"""with {RANKED},
@@ -211,7 +217,7 @@ def combined_evaluation(t: Tables):
         F.lit("judged").alias("evaluator"), F.lit("ndcg@10").alias("metric"),
         F.col("mean_ndcg_at_10").alias("value"),
     )
-    return metrics.combine_reports(metrics.evaluate_reranking(reranked(t), 10), judged)
+    return metrics.combine_reports(evaluated(t), judged)
 
 
 @query(f"""with {RANKED},

@@ -8,6 +8,7 @@ from rankloom.catalog.judging import HITS
 from rankloom.catalog.registry import Tables, query, r
 from rankloom.catalog.views import JUDGMENTS, RANKED, VECTORS, judgments, stage1
 from rankloom.operators import ranking
+from rankloom.plans.groups import known_groups
 
 
 @query(f"""with {JUDGMENTS} select query_id, doc_id,
@@ -28,7 +29,7 @@ select query_id, doc_id, cast(stage1_rank as integer) as stage1_rank, cast(final
 def rank_change(t: Tables):
     second = F.round(-F.abs(F.col("bi_score") - F.lit(0.3)), 9)
     found = stage1(t, 20).withColumn("cross_score", second)
-    return ranking.rank_change(found).select(
+    return ranking.rank_change(found, sizes=known_groups(found, 20)).select(
         "query_id", "doc_id", "stage1_rank", "final_rank", "rank_change"
     )
 

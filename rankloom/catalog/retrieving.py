@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog.registry import Tables, query, r
 from rankloom.catalog.views import (
-    VECTORS, lexical, stage1, text_corpus, vector_corpus, vector_queries,
+    VECTORS, lexical, stage1, vector_corpus, vector_queries,
 )
 from rankloom.operators import retrieval
 from rankloom.operators.cells import HyperplaneCells, KMeansCells, recall
@@ -42,7 +42,7 @@ def retrieve_top_20(t: Tables):
 @query(f"""with {CANDIDATES} select query_id, doc_id, cast(length(query) as integer) as query_chars,
   cast(length(document) as integer) as document_chars from candidates""")
 def candidate_text_pairs(t: Tables):
-    pairs = make_pairs(stage1(t, 20), vector_queries(t), text_corpus(t))
+    pairs = _candidates(t)
     return pairs.select(
         "query_id", "doc_id", F.length("query").alias("query_chars"),
         F.length("document").alias("document_chars"),
@@ -50,12 +50,12 @@ def candidate_text_pairs(t: Tables):
 
 
 def _candidates(t: Tables):
-    return make_pairs(stage1(t, 20), vector_queries(t), text_corpus(t))
+    return make_pairs(stage1(t, 20), vector_queries(t), t.documents)
 
 
 @query(f"with {CANDIDATES} select {RESULT} from final")
 def rerank_all_candidates(t: Tables):
-    return retrieval.rerank(_candidates(t), lexical_score).select(*COLUMNS)
+    return retrieval.rerank(_candidates(t), lexical_score, largest=20).select(*COLUMNS)
 
 
 @query(f"with {CANDIDATES} select {RESULT} from final where final_rank <= 3")
@@ -65,7 +65,9 @@ def rerank_top_3(t: Tables):
 
 @query(f"with {CANDIDATES} select {RESULT} from final where final_rank <= 5")
 def two_stage_top_5(t: Tables):
-    found = retrieval.two_stage(vector_queries(t), text_corpus(t), lexical_score)
+    found = retrieval.two_stage(
+        vector_queries(t), vector_corpus(t), lexical_score, texts=t.documents
+    )
     return found.select(*COLUMNS)
 
 

@@ -130,12 +130,6 @@ def stage1(t: Tables, k: int) -> DataFrame:
     return retrieve(vector_queries(t), vector_corpus(t), k)
 
 
-def text_corpus(t: Tables) -> DataFrame:
-    """Vectors with the text of the document of the same number, where there is one."""
-    texts = t.documents.select("doc_id", "text")
-    return vector_corpus(t).join(texts, "doc_id", "left")
-
-
 # Every pair of a label's query with one of its own documents.
 POSITIVES = """positives as (
   select cast(label as bigint) as query_id, vec_id as doc_id from embeddings)"""

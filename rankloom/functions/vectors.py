@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,9 @@ def cosine(left: Column, right: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
-    """Mean vector of each group, combined on the map side one dimension at a time."""
-    parts = df.select(*keys, F.posexplode(vector).alias("_dim", "_x"))
-    means = parts.groupBy(*keys, "_dim").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    packed = F.array_sort(F.collect_list(F.struct("_dim", "_x")))
-    return means.groupBy(*keys).agg(
-        F.transform(packed, lambda part: part["_x"]).alias(vector)
+    """Mean vector of each group; the sums combine before the shuffle."""
+    dense = array_to_vector(F.col(vector).cast("array<double>"))
+    means = df.where(F.col(vector).isNotNull()).groupBy(*keys).agg(
+        Summarizer.mean(dense).alias("_mean")
     )
+    return means.select(*keys, vector_to_array("_mean").alias(vector))

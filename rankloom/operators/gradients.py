@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import rank_math as rm
 from rankloom.operators.losses import with_gains
 from rankloom.operators.ranking import QUERY, by_score
-from rankloom.plans.groups import GroupSizes, measure_groups, scan_groups
+from rankloom.plans.groups import GroupSizes, per_group, scan_groups
 from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, map_pair_blocks, pair_slices
 
 PAIR_OBJECTIVES = ("lambdarank", "ranknet")
@@ -22,8 +22,14 @@ OBJECTIVES = PAIR_OBJECTIVES + POINT_OBJECTIVES
 _ADDED = "lambda double, hessian double"
 
 
+@per_group(QUERY)
 def lambda_gradients(
-    df: DataFrame, sigma: float = 1.0, k: int | None = None, block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    sigma: float = 1.0,
+    k: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """``lambda`` and ``hessian`` of each document (query_id, doc_id, label, score).
 
@@ -31,7 +37,6 @@ def lambda_gradients(
     swapped|, where rho = 1 / (1 + exp(sigma * (score_i - score_j))): up on i,
     down on j. Its curvature sigma^2 * rho * (1 - rho) * |change| counts on both.
     """
-    sizes = measure_groups(df, [QUERY])
     slim = df.select(QUERY, "doc_id", "label", "score")
     rows = with_gains(slim, k, score="score", sizes=sizes, tiebreak="doc_id").drop("rank")
     return pair_gradients(rows, sizes, [], sigma, k, block_rows=block_rows)

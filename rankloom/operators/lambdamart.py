@@ -29,7 +29,7 @@ from rankloom.operators.metrics import mean_ndcg
 from rankloom.operators.ranking import QUERY
 from rankloom.operators.trees import NODE_SCHEMA, Node, read_tree, tree_column, tree_scorer
 from rankloom.plans.durable import durable
-from rankloom.plans.groups import measure_groups
+from rankloom.plans.groups import measure_groups, split_groups
 from rankloom.plans.pair_blocks import BLOCK_ROWS
 from rankloom.sources.datasets import sample_queries
 
@@ -111,7 +111,9 @@ class LambdaMART:
                 # The partitioning by query outlasts the checkpoint, so no
                 # round has to shuffle the training rows again.
                 rows = rows.repartition(QUERY)
-            rows = with_gains(rows, self.k, score="score", sizes=sizes, tiebreak="doc_id").drop("rank")
+            rows = split_groups(rows, [QUERY], sizes, lambda part, own: with_gains(
+                part, self.k, score="score", tiebreak="doc_id", sizes=own
+            )).drop("rank")
         train = durable(rows)
         n_features = train.agg(F.max(F.size("features"))).first()[0] or 0
         return train, sizes, n_features
@@ -135,9 +137,9 @@ class LambdaMART:
         if self.query_subsample < 1.0:
             rows = sample_queries(rows, self.query_subsample, self.seed, round_)
         if self.objective in PAIR_OBJECTIVES:
-            pulled = pair_gradients(
-                rows, sizes, ["features"], self.sigma, self.k, self.objective, self.block_rows
-            )
+            pulled = split_groups(rows, [QUERY], sizes, lambda part, own: pair_gradients(
+                part, own, ["features"], self.sigma, self.k, self.objective, self.block_rows
+            ))
         else:
             pulled = point_gradients(rows, self.objective)
         slim = pulled.select("features", "lambda", "hessian").persist(StorageLevel.MEMORY_AND_DISK)

@@ -13,7 +13,7 @@ from rankloom.functions import rank_math as rm
 from rankloom.functions.log_sums import exp_sums
 from rankloom.operators.ranking import QUERY, by_score, suffix_exp_sums
 from rankloom.plans.groups import (
-    GroupSizes, group_totals, known_groups, measure_groups, scan_groups,
+    GroupSizes, group_totals, known_groups, measure_groups, per_group, scan_groups,
 )
 from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, map_pair_blocks, pair_slices
 
@@ -109,6 +109,7 @@ def listnet_loss(df: DataFrame, activation: Activation = None) -> DataFrame:
     return listnet_per_query(df, activation).agg(F.avg("loss").alias("loss"))
 
 
+@per_group(QUERY)
 def plistmle_per_query(
     df: DataFrame,
     weight: str | Callable[[Column], Column] | None = "exp2",
@@ -116,6 +117,8 @@ def plistmle_per_query(
     pad_to: int | None = None,
     eps: float = EPS,
     activation: Activation = None,
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """Position-aware list likelihood of each query.
 
@@ -124,9 +127,9 @@ def plistmle_per_query(
     None. ``pad_to`` adds what padding to that length adds to each
     denominator: one padded logit per missing place.
     """
-    sizes = measure_groups(df, [QUERY])
-    counted = group_totals(_activated(df, activation), [QUERY], {"n": F.count(F.lit(1))}, "pos", sizes)
-    tails = suffix_exp_sums(counted, by_label=not respect_input_order, sizes=sizes, rank="_back")
+    rows = _activated(df, activation)
+    counted = group_totals(rows, [QUERY], {"n": F.count(F.lit(1))}, "pos", sizes)
+    tails = suffix_exp_sums(counted, by_label=not respect_input_order, rank="_back", sizes=sizes)
     shift = F.col("shift")
     added = F.lit(eps)
     if pad_to is not None:
@@ -205,16 +208,17 @@ def mnrl_logit_gradients(df: DataFrame, scale: float = MNRL_SCALE) -> DataFrame:
 
 # -- pairwise ------------------------------------------------------------------
 
+@per_group(QUERY)
 def with_gains(
     df: DataFrame,
     k: int | None,
     eps: float = EPS,
     score: str = "logit",
-    sizes: GroupSizes | None = None,
     tiebreak: str = "pos",
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """Add ``rank`` by score and ``gain``: (2^label - 1) over the ideal DCG at k."""
-    sizes = sizes or measure_groups(df, [QUERY])
     ranked = scan_groups(df, [QUERY], by_score(score, tiebreak), rank="rank", sizes=sizes)
     ranked = scan_groups(ranked, [QUERY], by_score("label", tiebreak), rank="_ideal", sizes=sizes)
     gain = rm.gain(rm.clamp(F.col("label"), low=0.0))
@@ -224,6 +228,7 @@ def with_gains(
     return total.withColumn("gain", gain / F.greatest("_idcg", F.lit(eps))).drop("_ideal", "_idcg")
 
 
+@per_group(QUERY)
 def lambda_loss_sums(
     df: DataFrame,
     scheme: str = "ndcg2pp",
@@ -234,11 +239,12 @@ def lambda_loss_sums(
     mu: float = NDCG2PP_MU,
     activation: Activation = None,
     block_rows: int = BLOCK_ROWS,
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """Sum of the pair losses and number of pairs of each query."""
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
-    sizes = measure_groups(df, [QUERY])
     slim = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
     rows = with_gains(slim, k, eps, sizes=sizes)
     if k:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rank_math as rm
 from rankloom.operators.ranking import QUERY, by_score, positions, running_hits
-from rankloom.plans.groups import group_totals, measure_groups, scan_groups
+from rankloom.plans.groups import GroupSizes, group_totals, per_group, scan_groups
 
 
 def _within(rank: str, k: int | None) -> Column:
@@ -25,17 +25,23 @@ def _name(metric: str, k: int | None) -> str:
     return metric if k is None else f"{metric}_at_{k}"
 
 
-def dcg(df: DataFrame, k: int | None = None, score: str = "score") -> DataFrame:
+@per_group(QUERY)
+def dcg(
+    df: DataFrame, k: int | None = None, score: str = "score", *, sizes: GroupSizes
+) -> DataFrame:
     """DCG of each query: sum over the first k of (2^label - 1) / log2(rank + 1)."""
-    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank")
+    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank", sizes=sizes)
     return ranked.groupBy(QUERY).agg(_gain_sum("rank", k).alias(_name("dcg", k)))
 
 
+@per_group(QUERY)
 def ndcg(
     df: DataFrame,
     ks: int | None | Sequence[int | None] = None,
     ideal: str = "full",
     score: str = "score",
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """NDCG of each query at one cutoff or several, in one pass.
 
@@ -44,7 +50,6 @@ def ndcg(
     An ideal DCG of 0 gives 0.
     """
     cutoffs = list(ks) if isinstance(ks, (list, tuple)) else [ks]
-    sizes = measure_groups(df, [QUERY])
     if ideal == "full":
         ranked = positions(df, score=score, sizes=sizes)
         return _ratio(ranked, cutoffs, {k: "ideal_rank" for k in cutoffs}, ideal)
@@ -80,11 +85,17 @@ def mean_ndcg(df: DataFrame, k: int = 10) -> DataFrame:
     return ndcg(df, k).agg(F.coalesce(F.avg(name), F.lit(0.0)).alias(f"mean_{name}"))
 
 
+@per_group(QUERY)
 def reciprocal_rank(
-    df: DataFrame, k: int | None = None, min_rel: float = 1, score: str = "score"
+    df: DataFrame,
+    k: int | None = None,
+    min_rel: float = 1,
+    score: str = "score",
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """1 / rank of the first relevant row of each query, 0 without one."""
-    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank")
+    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank", sizes=sizes)
     return ranked.groupBy(QUERY).agg(_reciprocal(k, min_rel).alias("rr"))
 
 
@@ -99,12 +110,15 @@ def mrr(df: DataFrame, k: int | None = None, min_rel: float = 1) -> DataFrame:
     return per_query.agg(F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"))
 
 
+@per_group(QUERY)
 def average_precision(
     df: DataFrame,
     k: int | None = None,
     denominator: str = "hits",
     min_rel: float = 1,
     score: str = "score",
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """Average precision of each query.
 
@@ -112,7 +126,7 @@ def average_precision(
     ``"all_relevant"`` by all relevant rows. A query whose labels sum to 0
     scores 0.
     """
-    ranked = running_hits(df, min_rel, score)
+    ranked = running_hits(df, min_rel, score, sizes=sizes)
     return ranked.groupBy(QUERY).agg(_precision_mean(k, denominator, min_rel).alias("ap"))
 
 
@@ -134,9 +148,11 @@ def map_score(df: DataFrame, k: int | None = None, min_rel: float = 1) -> DataFr
     return per_query.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias(_name("map", k)))
 
 
-def ranking_report(df: DataFrame, k: int = 10, min_rel: float = 1) -> DataFrame:
+@per_group(QUERY)
+def ranking_report(
+    df: DataFrame, k: int = 10, min_rel: float = 1, *, sizes: GroupSizes
+) -> DataFrame:
     """NDCG@k, reciprocal rank and AP@k of each query from one shuffle by query."""
-    sizes = measure_groups(df, [QUERY])
     ranked = running_hits(df, min_rel, sizes=sizes)
     ranked = scan_groups(ranked, [QUERY], by_score("label"), rank="ideal_rank", sizes=sizes)
     per_query = ranked.groupBy(QUERY).agg(
@@ -149,16 +165,18 @@ def ranking_report(df: DataFrame, k: int = 10, min_rel: float = 1) -> DataFrame:
     return per_query.select(QUERY, ratio.alias(_name("ndcg", k)), "rr", "ap")
 
 
-def precision_at(df: DataFrame, k: int, min_rel: float = 1) -> DataFrame:
+@per_group(QUERY)
+def precision_at(df: DataFrame, k: int, min_rel: float = 1, *, sizes: GroupSizes) -> DataFrame:
     """Share of the first k places that hold a relevant row."""
-    ranked = scan_groups(df, [QUERY], by_score(), rank="rank")
+    ranked = scan_groups(df, [QUERY], by_score(), rank="rank", sizes=sizes)
     hit = (rm.is_relevant(F.col("label"), min_rel) & _within("rank", k)).cast("long")
     return ranked.groupBy(QUERY).agg((F.sum(hit) / F.lit(k)).alias("precision"))
 
 
-def recall_at(df: DataFrame, k: int, min_rel: float = 1) -> DataFrame:
+@per_group(QUERY)
+def recall_at(df: DataFrame, k: int, min_rel: float = 1, *, sizes: GroupSizes) -> DataFrame:
     """Share of the relevant rows found in the first k places; 0 without any."""
-    ranked = scan_groups(df, [QUERY], by_score(), rank="rank")
+    ranked = scan_groups(df, [QUERY], by_score(), rank="rank", sizes=sizes)
     relevant = rm.is_relevant(F.col("label"), min_rel)
     found = F.sum((relevant & _within("rank", k)).cast("long"))
     wanted = F.sum(relevant.cast("long"))
@@ -167,17 +185,20 @@ def recall_at(df: DataFrame, k: int, min_rel: float = 1) -> DataFrame:
     )
 
 
-def precision_above_mean(df: DataFrame, score: str = "score") -> DataFrame:
+@per_group(QUERY)
+def precision_above_mean(df: DataFrame, score: str = "score", *, sizes: GroupSizes) -> DataFrame:
     """Share of the scores of each query that exceed the mean of its scores."""
-    with_mean = group_totals(df, [QUERY], {"_mean": F.avg(score)}, "doc_id")
+    with_mean = group_totals(df, [QUERY], {"_mean": F.avg(score)}, "doc_id", sizes)
     above = (F.col(score) > F.col("_mean")).cast("double")
     return with_mean.groupBy(QUERY).agg(F.avg(above).alias("precision_above_mean"))
 
 
-def ndcg_random(df: DataFrame, k: int | None = None) -> DataFrame:
+@per_group(QUERY)
+def ndcg_random(df: DataFrame, k: int | None = None, *, sizes: GroupSizes) -> DataFrame:
     """Expected NDCG of a random order: each place holds the mean gain."""
-    ranked = scan_groups(df, [QUERY], by_score("label"), rank="rank")
-    places = F.sum(F.when(_within("rank", k), F.lit(1.0) / rm.discount(F.col("rank"))).otherwise(0.0))
+    ranked = scan_groups(df, [QUERY], by_score("label"), rank="rank", sizes=sizes)
+    place = F.lit(1.0) / rm.discount(F.col("rank"))
+    places = F.sum(F.when(_within("rank", k), place).otherwise(0.0))
     per_query = ranked.groupBy(QUERY).agg(
         (F.avg(rm.gain(F.col("label"))) * places).alias("_dcg"),
         _gain_sum("rank", k).alias("_idcg"),
@@ -186,39 +207,50 @@ def ndcg_random(df: DataFrame, k: int | None = None) -> DataFrame:
     return per_query.select(QUERY, ratio.alias("ndcg_random"))
 
 
-def evaluate_reranking(
-    documents: DataFrame, k: int = 10, base: str = "pos", reranked: str = "cross_score"
+@per_group(QUERY)
+def _reranked_sums(
+    documents: DataFrame, k: int, base: str, reranked: str, *, sizes: GroupSizes
 ) -> DataFrame:
-    """Metrics of the base order and of the reranked order of each query.
-
-    ``documents`` holds (query_id, doc_id, pos, label 0/1, n_positives and the
-    reranked score). ``pos`` is the base order. Positives that are not among
-    the documents have no rank, but count in the ideal DCG and as a
-    denominator of AP.
-    """
-    sizes = measure_groups(documents, [QUERY])
-    base_order = [F.col(base).asc(), F.col("doc_id").asc()]
+    """DCG, reciprocal rank and AP of both orders, per query."""
+    hits = F.col("label").cast("long")
     both = scan_groups(
-        documents, [QUERY], base_order, rank="base_rank", sizes=sizes,
-        running={"base_hits": F.col("label").cast("long")},
+        documents, [QUERY], [F.col(base).asc(), F.col("doc_id").asc()], rank="base_rank",
+        running={"base_hits": hits}, sizes=sizes,
     )
     both = scan_groups(
         both, [QUERY], [F.col(reranked).desc(), F.col("base_rank").asc()], rank="new_rank",
-        sizes=sizes, running={"new_hits": F.col("label").cast("long")},
+        running={"new_hits": hits}, sizes=sizes,
     )
     aggs = []
     for side in ("base", "new"):
-        rank, hits = F.col(f"{side}_rank"), F.col(f"{side}_hits")
+        rank, hits_to = F.col(f"{side}_rank"), F.col(f"{side}_hits")
         hit = F.col("label") == 1
         aggs += [
             F.sum(F.when(hit & (rank <= k), F.lit(1.0) / rm.discount(rank)).otherwise(0.0))
             .alias(f"{side}_dcg"),
             F.coalesce(F.lit(1.0) / F.min(F.when(hit & (rank <= k), rank)), F.lit(0.0))
             .alias(f"{side}_rr"),
-            (F.coalesce(F.sum(F.when(hit, hits / rank)), F.lit(0.0))
+            (F.coalesce(F.sum(F.when(hit, hits_to / rank)), F.lit(0.0))
              / F.greatest(F.max("n_positives"), F.lit(1))).alias(f"{side}_ap"),
         ]
-    per_query = both.groupBy(QUERY).agg(F.max("n_positives").alias("n_positives"), *aggs)
+    return both.groupBy(QUERY).agg(F.max("n_positives").alias("n_positives"), *aggs)
+
+
+def evaluate_reranking(
+    documents: DataFrame,
+    k: int = 10,
+    base: str = "pos",
+    reranked: str = "cross_score",
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """Metrics of the base order and of the reranked order of each query.
+
+    ``documents`` holds (query_id, doc_id, pos, label 0/1, n_positives and the
+    reranked score). ``pos`` is the base order. Positives that are not among
+    the documents have no rank, but count in the ideal DCG and as a
+    denominator of AP.
+    """
+    per_query = _reranked_sums(documents, k, base, reranked, sizes=sizes)
     ideal = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.least(F.col("n_positives"), F.lit(k)), F.lit(1))),
         F.lit(0.0),

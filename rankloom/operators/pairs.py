@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.keys import seeded_int
 from rankloom.operators.ranking import QUERY, by_score
-from rankloom.plans.groups import group_totals, measure_groups, scan_groups, top_rows
+from rankloom.plans.groups import GroupSizes, group_totals, per_group, scan_groups, top_rows
 
 # Rows of a side that may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
+BATCH = "batch_id"
 
 
 def pair_with_query(docs: DataFrame, query_id: int, query: str) -> DataFrame:
@@ -89,16 +90,18 @@ def pair_counts(df: DataFrame) -> DataFrame:
     )
 
 
+@per_group(BATCH)
 def in_batch_negatives(
     df: DataFrame,
     num_negatives: int | None = 4,
     seed: int = 12,
-    batch_col: str = "batch_id",
     drop_duplicates: bool = False,
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """Negatives of each anchor, drawn from the other rows of its batch.
 
-    Rows are (anchor_id, batch, anchor, positive[, negatives ARRAY]); every
+    Rows are (batch_id, anchor_id, anchor, positive[, negatives ARRAY]); every
     row of a batch must have as many negatives as the others. A batch of B
     rows with C candidates each offers (B - 1) * C negatives. Of these,
     ``num_negatives`` are drawn without replacement, or all are taken if there
@@ -112,31 +115,30 @@ def in_batch_negatives(
     candidates = F.array("positive")
     if "negatives" in df.columns:
         candidates = F.concat(candidates, F.coalesce("negatives", F.array().cast("array<string>")))
-    slim = df.select(batch_col, "anchor_id", "anchor", "positive", candidates.alias("_own"))
-    sizes = measure_groups(df, [batch_col])
-    numbered = scan_groups(slim, [batch_col], [F.col("anchor_id")], rank="_rank", sizes=sizes)
+    slim = df.select(BATCH, "anchor_id", "anchor", "positive", candidates.alias("_own"))
+    numbered = scan_groups(slim, [BATCH], [F.col("anchor_id")], rank="_rank", sizes=sizes)
     sized = group_totals(
-        numbered, [batch_col], {"_rows": F.count(F.lit(1))}, "anchor_id", sizes
+        numbered, [BATCH], {"_rows": F.count(F.lit(1))}, "anchor_id", sizes
     )
     others = F.col("_rows") - 1
     offered = (others * F.size("_own")).cast("long")
     drawn = sized.select(
-        batch_col, "anchor_id", "anchor", "positive", "_rank",
+        BATCH, "anchor_id", "anchor", "positive", "_rank",
         others.alias("_others"),
         F.explode(_draws(offered, num_negatives, seed)).alias("_draw"),
     )
     step = F.pmod("_draw", F.col("_others")) + 1
     picks = drawn.select(
-        batch_col, "anchor_id", "anchor", "positive",
+        BATCH, "anchor_id", "anchor", "positive",
         F.floor(F.col("_draw") / F.col("_others")).cast("int").alias("negative_col"),
         F.when(step >= F.col("_rank"), step + 1).otherwise(step).alias("_rank"),
     )
     owners = numbered.select(
-        batch_col, F.col("_rank").cast("long").alias("_rank"),
+        BATCH, F.col("_rank").cast("long").alias("_rank"),
         F.col("anchor_id").alias("negative_owner"), "_own",
     )
-    joined = picks.join(owners, [batch_col, "_rank"]).select(
-        batch_col, "anchor_id", "anchor", "positive", "negative_owner", "negative_col",
+    joined = picks.join(owners, [BATCH, "_rank"]).select(
+        BATCH, "anchor_id", "anchor", "positive", "negative_owner", "negative_col",
         F.element_at("_own", F.col("negative_col") + 1).alias("negative"),
     )
     return joined.where(F.col("negative") != F.col("positive")) if drop_duplicates else joined

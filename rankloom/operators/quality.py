@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from rankloom.plans.groups import group_totals, measure_groups, salted_join, scan_groups
 
 
+# Distinct values that may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
 def accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """Share of equal classes, in percent."""
     same = (F.col(label) == F.col(predicted)).cast("double")
@@ -186,7 +190,7 @@ def kendall(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     few, other = ("x", "y") if distinct["x"] <= distinct["y"] else ("y", "x")
     levels = max(1, math.ceil(math.log2(max(2, distinct[few]))))
     codes = scan_groups(counted.select(few).distinct(), [], [F.col(few)], rank="_code")
-    coded = salted_join(counted, codes, [few], other)
+    coded = _with_codes(counted, codes, few, other, distinct[few])
     split = coded.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).select(
         "_level",
         F.expr("shiftright(_code - 1, _level + 1)").alias("_prefix"),
@@ -221,6 +225,15 @@ def kendall(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     return row.select(F.when(bottom > 0, F.col("s") / bottom).alias("kendall"))
 
 
+def _with_codes(counted, codes, few, other, n_codes):
+    """Join the number of each value; a value of very many rows is spread out."""
+    if n_codes <= BROADCAST_ROWS:
+        return counted.join(F.broadcast(codes), few)
+    if measure_groups(counted, [few]).bounded:
+        return counted.join(codes, few)
+    return salted_join(counted, codes, [few], other)
+
+
 def _by_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     positive = (F.col(label) == 1).cast("long")
     return df.groupBy(F.col(score).alias("threshold")).agg(

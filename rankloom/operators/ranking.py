@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rank_math as rm
-from rankloom.plans.groups import (
-    GroupSizes, group_totals, measure_groups, scan_groups, top_rows,
-)
+from rankloom.plans.groups import GroupSizes, group_totals, per_group, scan_groups, top_rows
 
 QUERY = "query_id"
 
@@ -21,21 +19,24 @@ def by_score(score: str = "score", tiebreak: str = "doc_id") -> list[Column]:
     return [F.col(score).desc(), F.col(tiebreak).asc()]
 
 
+@per_group(QUERY)
 def rank_within_query(
-    df: DataFrame, score: str = "score", tiebreak: str = "pos", name: str = "new_order"
+    df: DataFrame,
+    score: str = "score",
+    tiebreak: str = "pos",
+    name: str = "new_order",
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """1-based rank of each row in its query by falling score (stable on ``tiebreak``)."""
-    return scan_groups(df, [QUERY], by_score(score, tiebreak), rank=name)
+    return scan_groups(df, [QUERY], by_score(score, tiebreak), rank=name, sizes=sizes)
 
 
+@per_group(QUERY)
 def positions(
-    df: DataFrame,
-    score: str = "score",
-    tiebreak: str = "doc_id",
-    sizes: GroupSizes | None = None,
+    df: DataFrame, score: str = "score", tiebreak: str = "doc_id", *, sizes: GroupSizes
 ) -> DataFrame:
     """Add the predicted position ``rank`` and the position by label ``ideal_rank``."""
-    sizes = sizes or measure_groups(df, [QUERY])
     ranked = scan_groups(df, [QUERY], by_score(score, tiebreak), rank="rank", sizes=sizes)
     return scan_groups(
         ranked, [QUERY], by_score("label", tiebreak), rank="ideal_rank", sizes=sizes
@@ -47,20 +48,22 @@ def top_per_query(df: DataFrame, n: int = 5, score: str = "score") -> DataFrame:
     return top_rows(df, [QUERY], by_score(score), n, "rank")
 
 
-def rank_change(candidates: DataFrame) -> DataFrame:
+@per_group(QUERY)
+def rank_change(candidates: DataFrame, *, sizes: GroupSizes) -> DataFrame:
     """Add ``final_rank`` by the second score and how far each document moved up.
 
     Rows are matched by document, and equal second scores keep their order
     from the first stage.
     """
     ranked = scan_groups(
-        candidates, [QUERY], by_score("cross_score", "stage1_rank"), rank="final_rank"
+        candidates, [QUERY], by_score("cross_score", "stage1_rank"), rank="final_rank", sizes=sizes
     )
     return ranked.withColumn("rank_change", F.col("stage1_rank") - F.col("final_rank"))
 
 
+@per_group(QUERY)
 def running_hits(
-    df: DataFrame, min_rel: float = 1, score: str = "score", sizes: GroupSizes | None = None
+    df: DataFrame, min_rel: float = 1, score: str = "score", *, sizes: GroupSizes
 ) -> DataFrame:
     """Add ``rank`` and the number of relevant rows down to each row."""
     hit = rm.is_relevant(F.col("label"), min_rel).cast("long")
@@ -69,12 +72,14 @@ def running_hits(
     )
 
 
+@per_group(QUERY)
 def suffix_exp_sums(
     df: DataFrame,
     logit: str = "logit",
     by_label: bool = False,
-    sizes: GroupSizes | None = None,
     rank: str | None = None,
+    *,
+    sizes: GroupSizes,
 ) -> DataFrame:
     """Add ``shift`` and ``suffix``: the sum of exp(logit - shift) to the end of the list.
 
@@ -85,7 +90,6 @@ def suffix_exp_sums(
     where exp would overflow: it serves tails so far below the largest logit
     that the shifted sum vanishes. ``rank``, if named, counts from the end.
     """
-    sizes = sizes or measure_groups(df, [QUERY])
     backwards = [F.col("label").asc()] if by_label else []
     backwards.append(F.col("pos").desc())
     x = F.col(logit)
@@ -104,9 +108,11 @@ def suffix_exp_sums(
     )
 
 
-def softmax_in_query(df: DataFrame, column: str, name: str = "softmax") -> DataFrame:
+@per_group(QUERY)
+def softmax_in_query(
+    df: DataFrame, column: str, name: str = "softmax", *, sizes: GroupSizes
+) -> DataFrame:
     """Add the softmax of a column over each query."""
-    sizes = measure_groups(df, [QUERY])
     top = group_totals(df, [QUERY], {"_top": F.max(column)}, "doc_id", sizes)
     weight = F.exp(F.col(column) - F.col("_top"))
     total = group_totals(top, [QUERY], {"_total": F.sum(weight)}, "doc_id", sizes)

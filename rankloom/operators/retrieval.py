@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +50,19 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def query_shape(queries: DataFrame) -> QueryShape:
-    shape = queries.where(F.col("embedding").isNotNull()).agg(
+def query_shape(vectors: DataFrame) -> QueryShape:
+    shape = vectors.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims")
     ).first()
     return QueryShape(shape["n"], shape["dims"] or 0)
 
 
 def query_blocks(
-    queries: DataFrame, shape: QueryShape, block_bytes: int = QUERY_BLOCK_BYTES
+    vectors: DataFrame, shape: QueryShape, block_bytes: int = QUERY_BLOCK_BYTES
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The queries as (ids, unit vectors), in blocks of bounded size."""
     if not shape.n:
         return
-    vectors = queries.select(QUERY, "embedding").where(F.col("embedding").isNotNull())
     per_block = max(1, block_bytes // (8 * shape.dims))
     n_blocks = -(-shape.n // per_block)
     for block in range(n_blocks):
@@ -164,15 +164,22 @@ def _over_blocks(queries, corpus, k, index):
         corpus = index.assign(corpus)
     rows = corpus.select("doc_id", "embedding", *(["cell"] if index else []))
     rows = rows.where(F.col("embedding").isNotNull())
-    shape, result = query_shape(queries), None
-    for ids, vectors in query_blocks(queries, shape):
-        probes = index.probes(vectors) if index else None
-        part = rows
-        if index:
-            part = rows.where(F.col("cell").isin(np.nonzero(probes.any(axis=0))[0].tolist()))
-        shared = spark.sparkContext.broadcast((ids, vectors, probes))
-        scored = part.mapInArrow(_block_scorer(shared, k), _SCORED)
-        result = scored if result is None else result.unionByName(scored)
+    vectors = queries.select(QUERY, "embedding").where(F.col("embedding").isNotNull())
+    # Encoded once: the vectors are counted first and then fetched block by block.
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        shape, result = query_shape(vectors), None
+        for ids, block in query_blocks(vectors, shape):
+            probes = index.probes(block) if index else None
+            part = rows
+            if index:
+                asked = np.nonzero(probes.any(axis=0))[0].tolist()
+                part = rows.where(F.col("cell").isin(asked))
+            shared = spark.sparkContext.broadcast((ids, block, probes))
+            scored = part.mapInArrow(_block_scorer(shared, k), _SCORED)
+            result = scored if result is None else result.unionByName(scored)
+    finally:
+        vectors.unpersist()
     if result is None:
         result = spark.createDataFrame([], _SCORED)
     return result, shape
@@ -234,12 +241,15 @@ def two_stage(
     scorer: PairScorer,
     initial_k: int = 20,
     final_k: int | None = 5,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Retrieve ``initial_k`` documents per query, re-rank them, keep ``final_k``.
 
-    The scorer sees only the retrieved rows. Texts are joined after retrieval,
-    so the vector scan reads ids and vectors only.
+    The scorer sees only the retrieved rows. Texts come from ``texts`` (doc_id,
+    text), or from the corpus itself, and are joined after retrieval, so the
+    vector scan reads ids and vectors only.
     """
     found, shape = retrieve_counted(queries, corpus, initial_k)
-    pairs = make_pairs(found, queries, corpus, shape.n * initial_k, shape.n)
+    source = corpus if texts is None else texts
+    pairs = make_pairs(found, queries, source, shape.n * initial_k, shape.n)
     return rerank(pairs, scorer, final_k, largest=initial_k)

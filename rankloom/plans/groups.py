@@ -1,26 +1,32 @@
 """Per-group order and totals that hold when one group is huge.
 
-``scan_groups`` and ``group_totals`` add ranks, running sums and totals to
-every row of a group. They first count the groups (one pass over the key
-column, combined on the map side). When every group fits the bound a plain
-window does the work: one shuffle by key. When some group is larger, rows are
-range-partitioned by (key, order), which cuts a large group into consecutive
-blocks; windows then run inside blocks and a small table of block offsets joins
-the blocks together. Both ways give the same rows.
+Operators first count their groups (one pass over the key column, combined on
+the map side). Groups that fit the bound of one task get plain windows: one
+shuffle by key. Groups beyond it, if there are any, are set apart and worked
+on in blocks: their rows are range-partitioned by (key, order), windows run
+inside the partitions, and a small table of offsets joins the blocks together.
+Both ways give the same rows.
+
+``per_group`` turns a function of (rows, sizes) into an operator that sets the
+large groups apart; ``scan_groups`` and ``group_totals`` are the two steps that
+such functions are made of.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rankloom.plans.durable import durable
 
 GROUP_LIMIT_KEY = "spark.rankloom.maxGroupRows"
 GROUP_LIMIT_DEFAULT = 1_000_000
+# Large groups that may be named one by one; there are at most rows / limit of them.
+NAMED_GROUPS = 10_000
 SALTS = 64
 
 _BLOCK = "_block"
@@ -28,11 +34,19 @@ _BLOCK = "_block"
 
 @dataclass(frozen=True)
 class GroupSizes:
-    """Rows of the largest group, rows in all, and the bound for one task."""
+    """Rows of the largest group, rows in all, and the bound for one task.
+
+    ``groups`` bounds the number of groups, if known. ``large`` are the keys
+    of the groups beyond the bound, and ``rest`` the sizes without them.
+    """
 
     largest: int
     total: int
     limit: int
+    groups: int | None = None
+    large: tuple[Row, ...] = field(default=(), repr=False)
+    large_total: int = 0
+    rest: int = 0
 
     @property
     def bounded(self) -> bool:
@@ -44,10 +58,23 @@ def group_limit(df: DataFrame) -> int:
 
 
 def measure_groups(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
-    """Count the rows of every group and return the largest (a small job)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return GroupSizes(row["largest"] or 0, row["total"] or 0, group_limit(df))
+    """Count the rows of every group, and find the groups beyond the bound."""
+    limit = group_limit(df)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    row = counts.agg(
+        F.max(n).alias("largest"), F.sum(n).alias("total"),
+        F.sum(F.when(n > limit, n)).alias("large_total"),
+        F.sum(F.when(n > limit, 1)).alias("large"),
+        F.max(F.when(n <= limit, n)).alias("rest"),
+    ).first()
+    large = ()
+    if keys and row["large"] and row["large"] <= NAMED_GROUPS:
+        large = tuple(counts.where(n > limit).select(*keys).collect())
+    return GroupSizes(
+        row["largest"] or 0, row["total"] or 0, limit, None, large,
+        row["large_total"] or 0, row["rest"] or 0,
+    )
 
 
 def known_groups(df: DataFrame, largest: int) -> GroupSizes:
@@ -55,6 +82,53 @@ def known_groups(df: DataFrame, largest: int) -> GroupSizes:
     return GroupSizes(largest, largest, group_limit(df))
 
 
+def split_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    sizes: GroupSizes,
+    work: Callable[[DataFrame, GroupSizes], DataFrame],
+) -> DataFrame:
+    """Work on the small groups and on the large ones by themselves.
+
+    The few large keys are named, so neither part is shuffled to tell them
+    apart. Without large groups, or with too many to name, ``work`` gets the
+    whole table.
+    """
+    if not sizes.large:
+        return work(df, sizes)
+    schema = df.select(*keys).schema
+    named = F.broadcast(df.sparkSession.createDataFrame(list(sizes.large), schema))
+    small = GroupSizes(sizes.rest, sizes.total - sizes.large_total, sizes.limit)
+    large = GroupSizes(sizes.largest, sizes.large_total, sizes.limit, len(sizes.large))
+    parts = [
+        work(df.join(named, list(keys), how), own)
+        for how, own in (("left_anti", small), ("left_semi", large))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def per_group(*keys: str):
+    """Make an operator of ``work(df, ..., sizes)`` that sets large groups apart.
+
+    Groups must not depend on each other. The groups are measured unless
+    ``sizes`` are given, in which case the whole table is worked on with them.
+    """
+
+    def decorate(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(work)
+        def run(df: DataFrame, *args, sizes: GroupSizes | None = None, **options) -> DataFrame:
+            if sizes is not None:
+                return work(df, *args, sizes=sizes, **options)
+            return split_groups(
+                df, keys, measure_groups(df, keys),
+                lambda part, own: work(part, *args, sizes=own, **options),
+            )
+
+        return run
+
+    return decorate
+
+
 def scan_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -118,8 +192,18 @@ def group_totals(
     if sizes.bounded:
         w = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(w) for name, agg in totals.items()})
-    per_group = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in totals.items()])
-    return salted_join(df, per_group, keys, salt_on)
+    per_key = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in totals.items()])
+    if not keys or (sizes.groups is not None and sizes.groups <= NAMED_GROUPS):
+        # One row per group, and few groups.
+        return _broadcast_join(df, per_key, keys)
+    return salted_join(df, per_key, keys, salt_on)
+
+
+def _broadcast_join(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if keys:
+        return df.join(F.broadcast(per_key), list(keys))
+    one = per_key.withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salt_on: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.keys import seeded_hash, seeded_int
-from rankloom.plans.groups import measure_groups, scan_groups
+from rankloom.plans.groups import scan_groups
 from rankloom.schema import require_columns, require_list
 
 # Rows per bucket of consecutive row numbers; bounds the work of one task.
@@ -14,6 +14,8 @@ INDEX_BUCKET = 100_000
 # Items of one list; a longer list goes on in a further part.
 LIST_ITEMS = 100_000
 SAMPLE_STEPS = 1_000_000
+# Relative error of the quantiles that bracket a cut.
+BRACKET = 1e-3
 
 
 # -- groups --------------------------------------------------------------------
@@ -68,11 +70,26 @@ def group_sizes(df: DataFrame) -> DataFrame:
 # -- splits --------------------------------------------------------------------
 
 def tail_split(df: DataFrame, frac: float = 0.1, order_col: str = "doc_id") -> DataFrame:
-    """The last rows by order, from row int(n * (1 - frac)) on."""
-    sizes = measure_groups(df, [])
-    numbered = scan_groups(df, [], [F.col(order_col)], rank="_row", sizes=sizes)
-    first = int(sizes.total * (1.0 - frac))
-    return numbered.where(F.col("_row") > first).drop("_row")
+    """The last rows by a unique numeric column, from row int(n * (1 - frac)) on.
+
+    Only the value at the cut is looked for. Approximate quantiles bracket it,
+    the rows below the bracket are counted, and the few rows inside are
+    ranked; the table itself is filtered and never shuffled.
+    """
+    n = df.count()
+    first = int(n * (1.0 - frac))
+    if first <= 0 or first >= n:
+        return df if first <= 0 else df.limit(0)
+    share, near = first / n, BRACKET
+    low, high = df.approxQuantile(
+        order_col, [max(0.0, share - 2 * near), min(1.0, share + 2 * near)], near
+    )
+    value = F.col(order_col)
+    below = df.where(value < F.lit(low)).count()
+    inside = df.where((value >= F.lit(low)) & (value <= F.lit(high))).select(order_col)
+    ranked = scan_groups(inside, [], [value], rank="_rank")
+    cut = ranked.where(F.col("_rank") == first - below + 1).first()[order_col]
+    return df.where(value >= F.lit(cut))
 
 
 def take_first(df: DataFrame, n: int, order_col: str) -> DataFrame:

@@ -6,11 +6,10 @@ works on a stream, and a reader over files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import densify
-from rankloom.plans.groups import scan_groups
 
 # Places of the fields in a raw test line, from the front or (negative) from the end.
 RAW_LINE_FIELDS = {
@@ -117,16 +116,29 @@ def read_ltr_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_index, value) of all lines that are not blank, from 0 in file order."""
-    lines = spark.read.text(path).select(
+    """(row_index, value) of all lines that are not blank, from 0 in file order.
+
+    Lines stay where they are read. Each file split is counted, the counts are
+    summed in file order, and a line adds its place within its split to the
+    lines of earlier splits. There is one offset per split, so the offsets are
+    small enough to send around.
+    """
+    split = ["_file", "_start"]
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block_start"),
+        F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    order = [F.col("_file"), F.col("_block_start"), F.col("_line")]
-    numbered = scan_groups(lines.where(F.trim("value") != ""), [], order, rank="_rank")
-    return numbered.select((F.col("_rank") - 1).cast("long").alias("row_index"), "value")
+    counts = lines.groupBy(*split).agg(
+        F.count(F.lit(1)).alias("_lines"), F.min("_line").alias("_first")
+    )
+    earlier = Window.partitionBy(F.lit(0)).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *split, "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")
+    )
+    placed = lines.join(F.broadcast(offsets), split)
+    return placed.select((F.col("_before") + F.col("_line") - F.col("_first")).alias("row_index"), "value")
 
 
 def read_group_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """File formats, groups, splits, lists, sinks and the document stream."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,7 +142,7 @@ def test_corpus(spark, tmp_path):
 def test_streamed_corpus_resumes(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     docs = spark.createDataFrame([(1, "a"), (2, "bb")], "doc_id long, text string")
-    name = f"docs-{tmp_path.name}"
+    name = f"docs-{uuid.uuid4().hex}"
     for rows, total in ((docs, 2), (docs.withColumn("doc_id", F.col("doc_id") + 10), 4)):
         rows.write.mode("append").parquet(source)
         run = stream_corpus(read_documents(spark, source, docs.schema), length, target, name)
