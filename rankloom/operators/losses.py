@@ -13,7 +13,7 @@ from rankloom.functions import rank_math as rm
 from rankloom.functions.log_sums import exp_sums
 from rankloom.operators.ranking import QUERY, by_score, suffix_exp_sums
 from rankloom.plans.groups import (
-    GroupSizes, group_totals, known_groups, measure_groups, per_group, scan_groups,
+    GroupSizes, group_totals, head_rows, known_groups, measure_groups, per_group, scan_groups,
 )
 from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, map_pair_blocks, pair_slices
 
@@ -127,7 +127,7 @@ def plistmle_per_query(
     None. ``pad_to`` adds what padding to that length adds to each
     denominator: one padded logit per missing place.
     """
-    rows = _activated(df, activation)
+    rows = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
     counted = group_totals(rows, [QUERY], {"n": F.count(F.lit(1))}, "pos", sizes)
     tails = suffix_exp_sums(counted, by_label=not respect_input_order, rank="_back", sizes=sizes)
     shift = F.col("shift")
@@ -246,7 +246,9 @@ def lambda_loss_sums(
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
     slim = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
-    rows = with_gains(slim, k, eps, sizes=sizes)
+    orders = [by_score("logit", "pos"), by_score("label", "pos")]
+    slim, sizes = head_rows(slim, [QUERY], orders, k or None, sizes, unique="pos")
+    rows = with_gains(slim, k or None, eps, sizes=sizes)
     if k:
         rows = rows.where(F.col("rank") <= k)
         sizes = known_groups(rows, min(k, sizes.largest))

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rank_math as rm
 from rankloom.operators.ranking import QUERY, by_score, positions, running_hits
-from rankloom.plans.groups import GroupSizes, group_totals, per_group, scan_groups
+from rankloom.plans.groups import GroupSizes, group_totals, head_rows, per_group, scan_groups
+
+
+def _judged(df: DataFrame, score: str = "score") -> DataFrame:
+    """The columns that a metric needs; nothing else is ranked or stored."""
+    return df.select(QUERY, "doc_id", "label", score)
 
 
 def _within(rank: str, k: int | None) -> Column:
@@ -30,7 +35,8 @@ def dcg(
     df: DataFrame, k: int | None = None, score: str = "score", *, sizes: GroupSizes
 ) -> DataFrame:
     """DCG of each query: sum over the first k of (2^label - 1) / log2(rank + 1)."""
-    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank", sizes=sizes)
+    rows, sizes = head_rows(_judged(df, score), [QUERY], [by_score(score)], k, sizes)
+    ranked = scan_groups(rows, [QUERY], by_score(score), rank="rank", sizes=sizes)
     return ranked.groupBy(QUERY).agg(_gain_sum("rank", k).alias(_name("dcg", k)))
 
 
@@ -50,12 +56,16 @@ def ndcg(
     An ideal DCG of 0 gives 0.
     """
     cutoffs = list(ks) if isinstance(ks, (list, tuple)) else [ks]
+    deepest = None if None in cutoffs else max(cutoffs)
+    rows, orders = _judged(df, score), [by_score(score), by_score("label")]
     if ideal == "full":
-        ranked = positions(df, score=score, sizes=sizes)
+        rows, sizes = head_rows(rows, [QUERY], orders, deepest, sizes)
+        ranked = positions(rows, score=score, sizes=sizes)
         return _ratio(ranked, cutoffs, {k: "ideal_rank" for k in cutoffs}, ideal)
     if ideal != "truncated":
         raise ValueError("ideal must be 'full' or 'truncated'")
-    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank", sizes=sizes)
+    rows, sizes = head_rows(rows, [QUERY], orders[:1], deepest, sizes)
+    ranked = scan_groups(rows, [QUERY], by_score(score), rank="rank", sizes=sizes)
     names = {}
     for k in cutoffs:
         names[k] = _name("_ideal_rank", k)
@@ -95,7 +105,8 @@ def reciprocal_rank(
     sizes: GroupSizes,
 ) -> DataFrame:
     """1 / rank of the first relevant row of each query, 0 without one."""
-    ranked = scan_groups(df, [QUERY], by_score(score), rank="rank", sizes=sizes)
+    rows, sizes = head_rows(_judged(df, score), [QUERY], [by_score(score)], k, sizes)
+    ranked = scan_groups(rows, [QUERY], by_score(score), rank="rank", sizes=sizes)
     return ranked.groupBy(QUERY).agg(_reciprocal(k, min_rel).alias("rr"))
 
 
@@ -126,7 +137,7 @@ def average_precision(
     ``"all_relevant"`` by all relevant rows. A query whose labels sum to 0
     scores 0.
     """
-    ranked = running_hits(df, min_rel, score, sizes=sizes)
+    ranked = running_hits(_judged(df, score), min_rel, score, sizes=sizes)
     return ranked.groupBy(QUERY).agg(_precision_mean(k, denominator, min_rel).alias("ap"))
 
 
@@ -153,7 +164,7 @@ def ranking_report(
     df: DataFrame, k: int = 10, min_rel: float = 1, *, sizes: GroupSizes
 ) -> DataFrame:
     """NDCG@k, reciprocal rank and AP@k of each query from one shuffle by query."""
-    ranked = running_hits(df, min_rel, sizes=sizes)
+    ranked = running_hits(_judged(df), min_rel, sizes=sizes)
     ranked = scan_groups(ranked, [QUERY], by_score("label"), rank="ideal_rank", sizes=sizes)
     per_query = ranked.groupBy(QUERY).agg(
         _gain_sum("rank", k).alias("_dcg"),
@@ -168,7 +179,8 @@ def ranking_report(
 @per_group(QUERY)
 def precision_at(df: DataFrame, k: int, min_rel: float = 1, *, sizes: GroupSizes) -> DataFrame:
     """Share of the first k places that hold a relevant row."""
-    ranked = scan_groups(df, [QUERY], by_score(), rank="rank", sizes=sizes)
+    rows, sizes = head_rows(_judged(df), [QUERY], [by_score()], k, sizes)
+    ranked = scan_groups(rows, [QUERY], by_score(), rank="rank", sizes=sizes)
     hit = (rm.is_relevant(F.col("label"), min_rel) & _within("rank", k)).cast("long")
     return ranked.groupBy(QUERY).agg((F.sum(hit) / F.lit(k)).alias("precision"))
 
@@ -176,7 +188,7 @@ def precision_at(df: DataFrame, k: int, min_rel: float = 1, *, sizes: GroupSizes
 @per_group(QUERY)
 def recall_at(df: DataFrame, k: int, min_rel: float = 1, *, sizes: GroupSizes) -> DataFrame:
     """Share of the relevant rows found in the first k places; 0 without any."""
-    ranked = scan_groups(df, [QUERY], by_score(), rank="rank", sizes=sizes)
+    ranked = scan_groups(_judged(df), [QUERY], by_score(), rank="rank", sizes=sizes)
     relevant = rm.is_relevant(F.col("label"), min_rel)
     found = F.sum((relevant & _within("rank", k)).cast("long"))
     wanted = F.sum(relevant.cast("long"))
@@ -196,7 +208,8 @@ def precision_above_mean(df: DataFrame, score: str = "score", *, sizes: GroupSiz
 @per_group(QUERY)
 def ndcg_random(df: DataFrame, k: int | None = None, *, sizes: GroupSizes) -> DataFrame:
     """Expected NDCG of a random order: each place holds the mean gain."""
-    ranked = scan_groups(df, [QUERY], by_score("label"), rank="rank", sizes=sizes)
+    rows = df.select(QUERY, "doc_id", "label")
+    ranked = scan_groups(rows, [QUERY], by_score("label"), rank="rank", sizes=sizes)
     place = F.lit(1.0) / rm.discount(F.col("rank"))
     places = F.sum(F.when(_within("rank", k), place).otherwise(0.0))
     per_query = ranked.groupBy(QUERY).agg(
@@ -214,7 +227,7 @@ def _reranked_sums(
     """DCG, reciprocal rank and AP of both orders, per query."""
     hits = F.col("label").cast("long")
     both = scan_groups(
-        documents, [QUERY], [F.col(base).asc(), F.col("doc_id").asc()], rank="base_rank",
+        documents.select(QUERY, "doc_id", "label", "n_positives", base, reranked), [QUERY], [F.col(base).asc(), F.col("doc_id").asc()], rank="base_rank",
         running={"base_hits": hits}, sizes=sizes,
     )
     both = scan_groups(

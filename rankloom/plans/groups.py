@@ -228,6 +228,32 @@ def top_rows(
     return ranked.where(F.col(rank) <= k)
 
 
+def head_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    orders: Sequence[Sequence[Column]],
+    k: int | None,
+    sizes: GroupSizes,
+    unique: str = "doc_id",
+) -> tuple[DataFrame, GroupSizes]:
+    """The rows of large groups that a cutoff at ``k`` can see, and their sizes.
+
+    These are the first ``k`` rows by each of the orders. Among them a row has
+    the same place as in its whole group, if that place is at most ``k``.
+    Rows past ``k`` are dropped before the shuffle. Groups within the bound,
+    and cutoffs beyond it, are left as they are.
+    """
+    if sizes.bounded or k is None or k * len(orders) > sizes.limit:
+        return df, sizes
+    heads = [top_rows(df, keys, order, max(k, 1), "_place").drop("_place") for order in orders]
+    rows = heads[0]
+    for head in heads[1:]:
+        rows = rows.unionByName(head)
+    if len(heads) > 1:
+        rows = rows.dropDuplicates([*keys, unique])
+    return rows, known_groups(df, max(k, 1) * len(heads))
+
+
 def _window(keys, order):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
 

@@ -28,6 +28,17 @@ CASES = {
     "suffix": ranking.suffix_exp_sums,
     "report": metrics.ranking_report,
     "ndcg": lambda df: metrics.ndcg(df, [3, None]),
+    "ndcg_at_3": lambda df: metrics.ndcg(df, [1, 3]),
+    "ndcg_at_0": lambda df: metrics.ndcg(df, 0),
+    "dcg_at_3": lambda df: metrics.dcg(df, 3),
+    "truncated_at_3": lambda df: metrics.ndcg(df, 3, ideal="truncated"),
+    "rr_at_3": lambda df: metrics.reciprocal_rank(df, 3, min_rel=3),
+    "ap_at_3": lambda df: metrics.average_precision(df, 3),
+    "precision_at_3": lambda df: metrics.precision_at(df, 3),
+    "recall_at_3": lambda df: metrics.recall_at(df, 3),
+    "random": lambda df: metrics.ndcg_random(df, 3),
+    "lambda_loss_at_3": lambda df: losses.lambda_loss_sums(df, k=3),
+    "listnet": losses.listnet_per_query,
     "truncated": lambda df: metrics.ndcg(df, 5, ideal="truncated"),
     "above_mean": metrics.precision_above_mean,
     "plistmle": losses.plistmle_per_query,
