@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from rankloom.functions import rank_math as rm
 from rankloom.operators.losses import with_gains
 from rankloom.operators.ranking import QUERY, by_score
 from rankloom.plans.groups import GroupSizes, per_group, scan_groups
-from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, map_pair_blocks, pair_slices
+from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, better_pairs, map_pair_blocks
 
 PAIR_OBJECTIVES = ("lambdarank", "ranknet")
 POINT_OBJECTIVES = ("mse", "bce")
@@ -59,23 +59,34 @@ def pair_gradients(
         place = F.when(F.col("rank") <= k, place).otherwise(0.0)
     ranked = ranked.withColumn("_place", place)
 
-    def kernel(left: Side, right: Side) -> dict[str, pa.Array]:
-        names = ("label", "score", "gain", "_place")
-        a = {c: left.column(c) for c in names}
-        b = a if right is left else {c: right.column(c) for c in names}
-        n = len(a["label"])
-        pull, curve = np.zeros(n), np.zeros(n)
-        for _, i, j in pair_slices(left, right):
-            side = np.sign(a["label"][i] - b["label"][j])
-            kept = side != 0
-            i, j, side = i[kept], j[kept], side[kept]
-            ahead = sigma * side * (a["score"][i] - b["score"][j])
+    def forces(better: Side, worse: Side) -> Iterator[tuple[np.ndarray, ...]]:
+        """(better, worse, pull, curvature) of the pairs of two blocks."""
+        names = ("score", "gain", "_place")
+        a, b = ({c: side.column(c) for c in names} for side in (better, worse))
+        for i, j in better_pairs(better, worse):
+            ahead = sigma * (a["score"][i] - b["score"][j])
             rho = np.exp(-np.logaddexp(0.0, ahead))
-            weight = np.ones(len(i))
+            weight = 1.0
             if weighted:
                 weight = np.abs((a["gain"][i] - b["gain"][j]) * (a["_place"][i] - b["_place"][j]))
-            pull += np.bincount(i, weights=sigma * side * rho * weight, minlength=n)
-            curve += np.bincount(i, weights=sigma**2 * rho * (1.0 - rho) * weight, minlength=n)
+            yield i, j, sigma * rho * weight, sigma**2 * rho * (1.0 - rho) * weight
+
+    def kernel(left: Side, right: Side) -> dict[str, pa.Array]:
+        n = int(left.starts[-1])
+        pull, curve = np.zeros(n), np.zeros(n)
+
+        def add(items, force, bend):
+            nonlocal pull, curve
+            pull += np.bincount(items, weights=force, minlength=n)
+            curve += np.bincount(items, weights=bend, minlength=n)
+
+        for i, j, force, bend in forces(left, right):
+            add(i, force, bend)
+            if right is left:
+                add(j, -force, bend)
+        if right is not left:
+            for _, j, force, bend in forces(right, left):
+                add(j, -force, bend)
         return {"lambda": pa.array(pull), "hessian": pa.array(curve)}
 
     payload = ["doc_id", "label", "score", "gain", "_place", *carry]

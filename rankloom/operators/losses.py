@@ -15,7 +15,7 @@ from rankloom.operators.ranking import QUERY, by_score, suffix_exp_sums
 from rankloom.plans.groups import (
     GroupSizes, group_totals, head_rows, known_groups, measure_groups, per_group, scan_groups,
 )
-from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, map_pair_blocks, pair_slices
+from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, all_pairs, better_pairs, map_pair_blocks
 
 Activation = str | Callable[[Column], Column] | None
 
@@ -262,12 +262,11 @@ def lambda_loss_sums(
     def kernel(left: Side, right: Side) -> dict[str, pa.Array]:
         n = len(left.sizes)
         losses, pairs = np.zeros(n), np.zeros(n, dtype=np.int64)
-        a = {c: left.column(c) for c in ("label", "logit", "gain", "rank")}
+        a = {c: left.column(c) for c in ("logit", "gain", "rank")}
         b = a if right is left else {c: right.column(c) for c in a}
-        for row, i, j in pair_slices(left, right):
-            if scheme != "ndcg1":
-                kept = a["label"][i] > b["label"][j]
-                row, i, j = row[kept], i[kept], j[kept]
+        rows_of, pairs_of = left.rows, all_pairs if scheme == "ndcg1" else better_pairs
+        for i, j in pairs_of(left, right):
+            row = rows_of[i]
             diff = np.clip(a["logit"][i] - b["logit"][j], -rm.SCORE_DIFF_CLAMP, rm.SCORE_DIFF_CLAMP)
             weight = pair_weights(
                 scheme, a["gain"][i], b["gain"][j], a["rank"][i], b["rank"][j], mu

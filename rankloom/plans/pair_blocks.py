@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankloom.plans.groups import GroupSizes
 
 BLOCK_ROWS = 1024
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 500_000
 
 
 class Side:
@@ -32,24 +32,49 @@ class Side:
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
         self.values = lists.flatten()
 
+    @property
+    def rows(self) -> np.ndarray:
+        """The batch row of each item."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
     def column(self, name: str) -> np.ndarray:
         return self.values.field(name).to_numpy(zero_copy_only=False)
 
 
-def pair_slices(left: Side, right: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield (batch row, left index, right index) of all pairs, in slices."""
-    counts = left.sizes * right.sizes
-    ends = np.cumsum(counts)
-    row = 0
-    while row < len(counts):
-        done = ends[row - 1] if row else 0
-        stop = max(row + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
-        here = counts[row:stop]
-        rows = np.repeat(np.arange(row, stop), here)
+def all_pairs(left: Side, right: Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (left index, right index) of all pairs of each batch row, in slices."""
+    counts = right.sizes[left.rows]
+    return _slices(left, right, counts, np.arange(right.starts[-1]))
+
+
+def better_pairs(
+    left: Side, right: Side, column: str = "label"
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield the pairs in which the left item has the larger value, in slices.
+
+    The right items are put in the order of their values, so the partners of a
+    left item are the first ones of its row and no other pair is looked at.
+    """
+    a, b = left.column(column), right.column(column)
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    width = int(codes.max(initial=0)) + 1
+    keys = right.rows * width + codes[len(a):]
+    order = np.argsort(keys, kind="stable")
+    below = np.searchsorted(keys[order], left.rows * width + codes[: len(a)], side="left")
+    return _slices(left, right, below - right.starts[left.rows], order)
+
+
+def _slices(left, right, counts, order):
+    """Pair each left item with the first ``counts`` right items of its row."""
+    ends, rows, item = np.cumsum(counts), left.rows, 0
+    while item < len(counts):
+        done = ends[item - 1] if item else 0
+        stop = max(item + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        here = counts[item:stop]
+        i = np.repeat(np.arange(item, stop), here)
         within = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here)
-        i, j = np.divmod(within, right.sizes[rows])
-        yield rows, left.starts[rows] + i, right.starts[rows] + j
-        row = stop
+        yield i, order[right.starts[rows[i]] + within]
+        item = stop
 
 
 def map_pair_blocks(
