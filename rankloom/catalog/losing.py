@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.mining import NEGATIVES, batched_negatives
-from rankloom.catalog.registry import Tables, query, r
+from rankloom.catalog.registry import QUERIES, Tables, query, r
 from rankloom.catalog.views import JUDGMENTS, PREDICTIONS, judgments, lexical, predictions
 from rankloom.operators import gradients, losses
 from rankloom.operators.scorers import lexical_score, score_pairs
@@ -18,10 +18,8 @@ def binary(t: Tables):
     return judgments(t).withColumn("label", F.least("label", F.lit(1.0)))
 
 
-def bce_sql(weight: float) -> str:
-    return r(
-        f"avg(-({weight} * y * ln({SIGMOID}) + (1 - y) * ln(1 - {SIGMOID})))"
-    )
+def bce_sql(weight: float, label: str = "y") -> str:
+    return r(f"avg(-({weight} * {label} * ln({SIGMOID}) + (1 - {label}) * ln(1 - {SIGMOID})))")
 
 
 @query(f"with {BINARY} select {bce_sql(1.0)} as loss from binary_labels")
@@ -283,6 +281,17 @@ def loss_comparison(t: Tables):
     return losses.loss_report(binary(t), {"bce": losses.bce_loss, "mse": losses.mse_loss})
 
 
-@query()
+COMPARED = {
+    "bce": f"with {JUDGMENTS} select {bce_sql(1.0, 'label')} as loss from judgments",
+    "mse": QUERIES["mean_squared_error"].sql,
+    "listnet": QUERIES["listnet"].sql,
+    "listmle": QUERIES["listmle"].sql,
+    "plistmle": QUERIES["plistmle"].sql,
+    "ranknet": QUERIES["lambda_loss_unweighted"].sql,
+    "lambda": QUERIES["lambda_loss_ndcg2pp"].sql,
+}
+
+
+@query(" union all ".join(f"select '{name}' as loss_name, loss from ({sql})" for name, sql in COMPARED.items()))
 def all_losses_compared(t: Tables):
     return losses.loss_report(judgments(t))

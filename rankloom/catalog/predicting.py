@@ -72,7 +72,25 @@ def kendall_correlation(t: Tables):
     return quality.kendall(predictions(t), "label", "logit")
 
 
-@query()
+# The p-value is the share of the t density beyond |r|: with r = sin(angle), the
+# integral of cos^(n - 3) from that angle to a right angle, by Simpson's rule.
+STEPS = 20_000
+
+
+def tail_integral(start: str) -> str:
+    step = f"(pi() / 2 - {start}) / {STEPS}"
+    weight = f"case when i in (0, {STEPS}) then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"sum({weight} * pow(abs(cos({start} + i * {step})), n - 3)) * max({step}) / 3"
+
+
+@query(f"""with {RANKS},
+found as (
+  select 'pearson' as statistic, corr(label, logit) as value, count(*) as n from predictions
+  union all select 'spearman', corr(rx, ry), count(*) from averaged),
+grid as (select unnest(range(0, {STEPS} + 1)) as i)
+select statistic, {r('max(value)')} as value,
+  {r(f"({tail_integral('asin(abs(value))')}) / ({tail_integral('0.0')})")} as p_value
+from found, grid group by statistic, value, n""")
 def correlations_with_p_values(t: Tables):
     return quality.correlation_report(predictions(t), "label", "logit")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.registry import Tables, query, r
+from rankloom.catalog.registry import QUERIES, Tables, query, r
 from rankloom.catalog.views import (
     VECTORS, lexical, stage1, vector_corpus, vector_queries,
 )
@@ -71,6 +71,13 @@ def two_stage_top_5(t: Tables):
     return found.select(*COLUMNS)
 
 
+@query(QUERIES["retrieve_top_20"].sql)
+def retrieve_with_every_cell_probed(t: Tables):
+    """Sixteen cells, all of which every query looks into: exact again."""
+    every = HyperplaneCells(64, bits=4, radius=4)
+    return retrieval.retrieve(vector_queries(t), vector_corpus(t), 20, every)
+
+
 # Approximate search has no SQL: its cells come from training or from random planes.
 
 def _kmeans(t: Tables):

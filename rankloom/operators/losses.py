@@ -16,6 +16,7 @@ from rankloom.plans.groups import (
     GroupSizes, group_totals, head_rows, known_groups, measure_groups, per_group, scan_groups,
 )
 from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, all_pairs, better_pairs, map_pair_blocks
+from rankloom.schema import require_columns
 
 Activation = str | Callable[[Column], Column] | None
 
@@ -28,6 +29,7 @@ SCHEMES = ("none", "ndcg1", "ndcg2", "lambdarank", "ndcg2pp")
 
 
 def _activated(df: DataFrame, activation: Activation) -> DataFrame:
+    require_columns(df, "label", "logit")
     return df.withColumn("logit", rm.activate(F.col("logit").cast("double"), activation))
 
 
