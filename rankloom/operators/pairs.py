@@ -34,17 +34,15 @@ def make_pairs(
     queries: DataFrame,
     corpus: DataFrame,
     n_candidates: int | None = None,
-    n_queries: int | None = None,
 ) -> DataFrame:
     """Add ``query`` and ``document`` texts to candidates (query_id, doc_id).
 
-    With ``n_candidates`` known to be small the candidates travel to the
-    corpus, which is then not shuffled. Documents without text keep NULL.
+    With ``n_candidates`` known to be small their ids travel to the corpus,
+    which is then not shuffled. Texts may be of any size and are never hinted
+    to travel. Documents without text keep NULL.
     """
     texts = corpus.select("doc_id", F.col("text").alias("document"))
     asked = queries.select(QUERY, F.col("text").alias("query"))
-    if n_queries is not None and n_queries <= BROADCAST_ROWS // 10:
-        asked = F.broadcast(asked)
     if n_candidates is None or n_candidates > BROADCAST_ROWS:
         joined = candidates.join(texts, "doc_id", "left")
     else:

@@ -3,7 +3,8 @@
 The corpus is read once per block of queries and never shuffled: a block of
 query vectors of bounded size goes to every executor, each task multiplies it
 with its part of the corpus and keeps the best ``k`` documents per query, and
-only those are shuffled. More queries than a block holds make further blocks.
+only those are shuffled. More queries than a block holds make further blocks;
+more blocks than may be sent around meet the corpus in a shuffle, block by block.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from rankloom.operators.scorers import PairScorer, score_pairs
 from rankloom.plans.groups import known_groups, scan_groups, top_rows
 
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+# Blocks of queries that may be sent around; beyond that both sides are shuffled.
+BROADCAST_BLOCKS = 16
+CORPUS_BLOCK_ROWS = 100_000
 SCORES_AT_ONCE = 4_000_000
 
 _SCORED = f"{QUERY} long, doc_id long, bi_score double"
@@ -32,10 +36,11 @@ _SCORED = f"{QUERY} long, doc_id long, bi_score double"
 
 @dataclass(frozen=True)
 class QueryShape:
-    """Number of queries and length of their vectors."""
+    """Number of queries, length of their vectors, and blocks they make."""
 
     n: int
     dims: int
+    blocks: int
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -51,24 +56,22 @@ def as_matrix(column: pa.Array) -> np.ndarray:
 
 
 def query_shape(vectors: DataFrame) -> QueryShape:
-    shape = vectors.agg(
+    row = vectors.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims")
     ).first()
-    return QueryShape(shape["n"], shape["dims"] or 0)
+    n, dims = row["n"], row["dims"] or 0
+    per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(dims, 1)))
+    return QueryShape(n, dims, -(-n // per_block))
 
 
 def query_blocks(
-    vectors: DataFrame, shape: QueryShape, block_bytes: int = QUERY_BLOCK_BYTES
+    vectors: DataFrame, shape: QueryShape
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The queries as (ids, unit vectors), in blocks of bounded size."""
-    if not shape.n:
-        return
-    per_block = max(1, block_bytes // (8 * shape.dims))
-    n_blocks = -(-shape.n // per_block)
-    for block in range(n_blocks):
+    for block in range(shape.blocks):
         part = vectors
-        if n_blocks > 1:
-            part = vectors.where(F.pmod(F.xxhash64(QUERY), F.lit(n_blocks)) == block)
+        if shape.blocks > 1:
+            part = vectors.where(F.pmod(F.xxhash64(QUERY), F.lit(shape.blocks)) == block)
         table = part.toArrow()
         if table.num_rows:
             ids = table.column(QUERY).to_numpy().astype(np.int64)
@@ -159,7 +162,6 @@ def retrieve_counted(queries, corpus, k, index=None) -> tuple[DataFrame, QuerySh
 
 
 def _over_blocks(queries, corpus, k, index):
-    spark = corpus.sparkSession
     if index is not None and "cell" not in corpus.columns:
         corpus = index.assign(corpus)
     rows = corpus.select("doc_id", "embedding", *(["cell"] if index else []))
@@ -168,45 +170,84 @@ def _over_blocks(queries, corpus, k, index):
     # Encoded once: the vectors are counted first and then fetched block by block.
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        shape, result = query_shape(vectors), None
-        for ids, block in query_blocks(vectors, shape):
-            probes = index.probes(block) if index else None
-            part = rows
-            if index:
-                asked = np.nonzero(probes.any(axis=0))[0].tolist()
-                part = rows.where(F.col("cell").isin(asked))
-            shared = spark.sparkContext.broadcast((ids, block, probes))
-            scored = part.mapInArrow(_block_scorer(shared, k), _SCORED)
-            result = scored if result is None else result.unionByName(scored)
+        shape = query_shape(vectors)
+        if shape.blocks <= BROADCAST_BLOCKS:
+            return _with_broadcast_blocks(vectors, rows, k, index, shape), shape
     finally:
         vectors.unpersist()
-    if result is None:
-        result = spark.createDataFrame([], _SCORED)
-    return result, shape
+    return _with_shuffled_blocks(vectors, rows, k, index, shape), shape
+
+
+def _with_broadcast_blocks(vectors, rows, k, index, shape):
+    """Send the query blocks to the corpus, which is read once per block."""
+    context, result = rows.sparkSession.sparkContext, None
+    for ids, block in query_blocks(vectors, shape):
+        probes = index.probes(block) if index else None
+        part = rows
+        if index:
+            asked = np.nonzero(probes.any(axis=0))[0].tolist()
+            part = rows.where(F.col("cell").isin(asked))
+        shared = context.broadcast((ids, block, probes))
+        scored = part.mapInArrow(_block_scorer(shared, k), _SCORED)
+        result = scored if result is None else result.unionByName(scored)
+    return rows.sparkSession.createDataFrame([], _SCORED) if result is None else result
+
+
+def _with_shuffled_blocks(vectors, rows, k, index, shape):
+    """Bring every block of queries together with every block of the corpus.
+
+    For more queries than may be sent around. Both sides are cut into blocks
+    of bounded size by a hash of their ids, and each pair of blocks is one
+    group; nothing passes through the driver.
+    """
+    query_parts = shape.blocks
+    corpus_parts = max(1, -(-rows.count() // CORPUS_BLOCK_ROWS))
+
+    def spread(df, key, own, n_own, other, n_other):
+        partners = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        part = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
+        return df.withColumn(own, part).withColumn(other, partners).groupBy("_queries", "_docs")
+
+    def score(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and docs.num_rows:
+            ids = asked.column(QUERY).to_numpy().astype(np.int64)
+            block = unit_rows(as_matrix(asked.column("embedding").combine_chunks()))
+            probes = index.probes(block) if index else None
+            found = list(_found(ids, block, probes, docs.to_batches(), k))
+        return pa.Table.from_batches(found, _rows([], [], []).schema)
+
+    left = spread(vectors, QUERY, "_queries", query_parts, "_docs", corpus_parts)
+    right = spread(rows, "doc_id", "_docs", corpus_parts, "_queries", query_parts)
+    return left.cogroup(right).applyInArrow(score, _SCORED)
 
 
 def _block_scorer(shared, k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, probes = shared.value
-        docs_at_once = max(1, SCORES_AT_ONCE // len(ids))
-        best = BestRows(len(ids), k) if k else None
-        for batch in batches:
-            if not batch.num_rows or k == 0:
-                continue
-            for asking, docs, scores in _scores(ids, vectors, batch, docs_at_once, probes):
-                if best is None:
-                    yield _rows(
-                        np.repeat(ids[asking], len(docs)), np.tile(docs, len(asking)), scores.ravel()
-                    )
-                else:
-                    best.add(asking, docs, scores)
-        if best is not None:
-            query, doc, score = best.merge()
-            yield _rows(ids[query], doc, score)
+        yield from _found(*shared.value, batches, k)
 
     return run
 
 
+def _found(ids, vectors, probes, batches, k):
+    """Scores of the documents for the queries: the best ``k`` per query, or all."""
+    docs_at_once = max(1, SCORES_AT_ONCE // len(ids))
+    best = BestRows(len(ids), k) if k else None
+    for batch in batches:
+        if not batch.num_rows or k == 0:
+            continue
+        for asking, docs, scores in _scores(ids, vectors, batch, docs_at_once, probes):
+            if best is None:
+                yield _rows(
+                    np.repeat(ids[asking], len(docs)), np.tile(docs, len(asking)), scores.ravel()
+                )
+            else:
+                best.add(asking, docs, scores)
+    if best is not None:
+        query, doc, score = best.merge()
+        yield _rows(ids[query], doc, score)
+
+
 def _rows(query, doc, score):
     return pa.RecordBatch.from_pydict({
         QUERY: pa.array(query, pa.int64()),
@@ -251,5 +292,5 @@ def two_stage(
     """
     found, shape = retrieve_counted(queries, corpus, initial_k)
     source = corpus if texts is None else texts
-    pairs = make_pairs(found, queries, source, shape.n * initial_k, shape.n)
+    pairs = make_pairs(found, queries, source, shape.n * initial_k)
     return rerank(pairs, scorer, final_k, largest=initial_k)

@@ -57,10 +57,22 @@ def test_exact_top_k(queries, corpus, k):
 def test_slabs_merges_and_query_blocks(queries, corpus, monkeypatch):
     monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 90)
     monkeypatch.setattr(retrieval.BestRows, "MERGE_AT", 50)
-    monkeypatch.setattr(retrieval.query_blocks, "__defaults__", (8 * 8 * 3,))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 8 * 8 * 3)
     assert ranks(retrieval.retrieve(queries, corpus, 20)) == brute(20)
 
 
+def test_more_queries_than_may_be_sent(queries, corpus, monkeypatch):
+    few = HyperplaneCells(8, 5, 1)
+    near = ranks(retrieval.retrieve(queries, corpus, 10, few))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 8 * 8 * 3)
+    monkeypatch.setattr(retrieval, "BROADCAST_BLOCKS", 2)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK_ROWS", 70)
+    assert ranks(retrieval.retrieve(queries, corpus, 20)) == brute(20)
+    assert ranks(retrieval.retrieve(queries, corpus, 10, few)) == near
+    assert retrieval.cosine_scores(queries, corpus).count() == SCORES.size
+    assert retrieval.retrieve(queries, corpus, 0).count() == 0
+
+
 def test_all_scores(queries, corpus):
     rows = retrieval.cosine_scores(queries, corpus).collect()
     assert len(rows) == SCORES.size
