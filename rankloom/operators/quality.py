@@ -11,7 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.plans.groups import group_totals, measure_groups, salted_join, scan_groups
+from rankloom.plans.groups import (
+    GroupSizes, group_totals, known_groups, measure_groups, salted_join, scan_groups,
+)
 
 
 # Distinct values that may be sent to every executor.
@@ -100,15 +102,22 @@ def pearson(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     return df.agg(F.corr(x, y).alias("pearson"))
 
 
-def _average_ranks(counted: DataFrame, by: str, then: str, name: str) -> DataFrame:
+def _average_ranks(
+    counted: DataFrame, by: str, then: str, name: str, sizes: GroupSizes
+) -> DataFrame:
     """Add the average rank of ``by`` over all rows, of which each row stands for ``n``."""
     order = [F.col(by), F.col(then)]
-    scanned = scan_groups(counted, [], order, running={"_to": F.col("n")})
+    scanned = scan_groups(counted, [], order, running={"_to": F.col("n")}, sizes=sizes)
     ends = {"_first": F.min(F.col("_to") - F.col("n")), "_last": F.max("_to")}
-    tied = group_totals(scanned, [by], ends, then)
+    tied = group_totals(scanned, [by], ends, then, _of_parts(sizes))
     return tied.withColumn(name, (F.col("_first") + F.col("_last") + 1) / 2).drop("_to", "_first", "_last")
 
 
+def _of_parts(sizes: GroupSizes) -> GroupSizes | None:
+    """Sizes that hold for any grouping of a table that fits the bound as a whole."""
+    return sizes if sizes.bounded else None
+
+
 def _counted(df: DataFrame, x: str, y: str) -> DataFrame:
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
@@ -116,8 +125,10 @@ def _counted(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     """Pearson correlation of the average ranks."""
-    ranked = _average_ranks(_counted(df, x, y), "x", "y", "rx")
-    ranked = _average_ranks(ranked, "y", "x", "ry")
+    counted = _counted(df, x, y)
+    sizes = measure_groups(counted, [])
+    ranked = _average_ranks(counted, "x", "y", "rx", sizes)
+    ranked = _average_ranks(ranked, "y", "x", "ry", sizes)
     n, rx, ry = F.col("n").cast("double"), F.col("rx"), F.col("ry")
     sums = ranked.agg(
         F.sum(n).alias("n"), F.sum(n * rx).alias("x"), F.sum(n * ry).alias("y"),
@@ -186,10 +197,15 @@ def kendall(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     bits, never with pairs.
     """
     counted = _counted(df, x, y)
-    distinct = counted.agg(F.countDistinct("x").alias("x"), F.countDistinct("y").alias("y")).first()
+    distinct = counted.agg(
+        F.countDistinct("x").alias("x"), F.countDistinct("y").alias("y"), F.count(F.lit(1)).alias("n")
+    ).first()
+    parts = _of_parts(known_groups(counted, distinct["n"]))
     few, other = ("x", "y") if distinct["x"] <= distinct["y"] else ("y", "x")
     levels = max(1, math.ceil(math.log2(max(2, distinct[few]))))
-    codes = scan_groups(counted.select(few).distinct(), [], [F.col(few)], rank="_code")
+    codes = scan_groups(
+        counted.select(few).distinct(), [], [F.col(few)], rank="_code", sizes=parts
+    )
     coded = _with_codes(counted, codes, few, other, distinct[few])
     split = coded.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).select(
         "_level",
@@ -206,6 +222,7 @@ def kendall(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     scanned = scan_groups(
         sums, ["_level", "_prefix"], [F.col("_by")],
         running={"_ones_to": F.col("_ones"), "_zeros_to": F.col("_zeros")},
+        sizes=parts,
     )
     concordant = F.sum(F.col("_ones") * (F.col("_zeros_to") - F.col("_zeros")))
     discordant = F.sum(F.col("_zeros") * (F.col("_ones_to") - F.col("_ones")))
