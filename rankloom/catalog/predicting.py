@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from rankloom.catalog.registry import Tables, query, r
 from rankloom.catalog.views import PREDICTIONS, predictions
 from rankloom.operators import quality
