@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import line_runs
-from rankloom.llm.common import whole_text
+from rankloom.llm import line_runs, packing, records
+from rankloom.llm.common import fresh_folder, whole_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "token-records")
+    index = records.write_records(
+        _documents(spark, sf_dir), folder, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return records.digests(index, folder).join(records.starts(index), "part").select(
+        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        _documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.drop_frequent_lines(
         _documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -42,5 +61,9 @@ from keyed k left join frequent f on k.key = f.key
 group by doc_id
 """
 
-QUERIES = {"op6_line_dedup": op6_line_dedup}
+QUERIES = {
+    "op1_token_records": op1_token_records,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_line_dedup": op6_line_dedup,
+}
 SQL = {"op6_line_dedup": OP6_SQL}
