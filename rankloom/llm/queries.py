@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import line_runs, packing, records
+from rankloom.llm import line_runs, mixing, packing, records, sharding
 from rankloom.llm.common import fresh_folder, whole_text
 
 
@@ -32,6 +32,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op4_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "n_tokens",
+    )
+
+
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir), block_rows=64, temperature=0.5)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.drop_frequent_lines(
         _documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -64,6 +75,8 @@ group by doc_id
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_vector_shards": op4_vector_shards,
     "op6_line_dedup": op6_line_dedup,
+    "op10_pfair_mixing": op10_pfair_mixing,
 }
 SQL = {"op6_line_dedup": OP6_SQL}
