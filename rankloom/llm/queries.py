@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import line_runs, mixing, packing, records, sharding
+from rankloom.llm import line_runs, mixing, packing, records, secret_scan, sharding
 from rankloom.llm.common import fresh_folder, whole_text
 
 
@@ -32,6 +32,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, sf_dir), rate=0.01)
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.written(F.col("all")).alias("spans"),
+    )
+
+
 def op4_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -75,6 +84,7 @@ group by doc_id
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_vector_shards": op4_vector_shards,
     "op6_line_dedup": op6_line_dedup,
     "op10_pfair_mixing": op10_pfair_mixing,
