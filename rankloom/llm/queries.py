@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import line_runs, mixing, packing, records, secret_scan, sharding
+from rankloom.llm import digests, line_runs, mixing, packing, records, secret_scan, sharding, toxicity
 from rankloom.llm.common import fresh_folder, whole_text
 
 
@@ -48,10 +48,23 @@ def op4_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.digest_with_next(_documents(spark, sf_dir))
+
+
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), block_rows=64, temperature=0.5)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.drop_frequent_lines(
         _documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -86,7 +99,9 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_vector_shards": op4_vector_shards,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quartile_digests": op7_quartile_digests,
     "op10_pfair_mixing": op10_pfair_mixing,
 }
 SQL = {"op6_line_dedup": OP6_SQL}
