@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import digests, line_runs, mixing, packing, records, secret_scan, sharding, toxicity
+from rankloom.llm import digests, line_runs, minmax, mixing, packing, records, secret_scan, sharding, toxicity
 from rankloom.llm.common import fresh_folder, whole_text
 
 
@@ -52,6 +52,10 @@ def op7_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digest_with_next(_documents(spark, sf_dir))
 
 
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_documents(spark, sf_dir), threshold=85, words=5)
+
+
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), block_rows=64, temperature=0.5)
 
@@ -102,6 +106,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_quartile_digests": op7_quartile_digests,
+    "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op10_pfair_mixing": op10_pfair_mixing,
 }
 SQL = {"op6_line_dedup": OP6_SQL}
