@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import digests, line_runs, minmax, mixing, packing, records, secret_scan, sharding, toxicity
+from rankloom.llm import digests, graph_index, line_runs, minmax, mixing, packing, records, secret_scan, sharding, toxicity
 from rankloom.llm.common import fresh_folder, whole_text
 
 
@@ -13,7 +13,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,14 +23,14 @@ def _vocabulary(name: str) -> str:
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-records")
     index = records.write_records(
-        _documents(spark, sf_dir), folder, _vocabulary("byte_bpe_50k.json"), end_id=0)
+        _documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end_id=0)
     return records.digests(index, folder).join(records.starts(index), "part").select(
         "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
-        _documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+        _documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,12 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(_documents(spark, sf_dir), threshold=85, words=5)
 
 
+def op9_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = graph_index.build_index(vectors)
+    return graph_index.search(index, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), block_rows=64, temperature=0.5)
 
@@ -107,6 +114,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_quartile_digests": op7_quartile_digests,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
+    "op9_pruned_graph_search": op9_pruned_graph_search,
     "op10_pfair_mixing": op10_pfair_mixing,
 }
 SQL = {"op6_line_dedup": OP6_SQL}
