@@ -39,6 +39,8 @@ WORD = r"[^\W\d_]+"
 SHOUTING, EXCLAIMING = r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b", r"!{2,}"
 INSULT = r"(?i)\b(?:you|your|u)\s+(?:are\s+)?(?:an?\s+)?(?:stupid|idiots?|dumb|morons?|losers?|trash|pathetic|ugly|scum)\b"
 TOXIC_VOTERS, CLEAN_VOTERS, PATTERN_VOTERS = 5, 2, 3
+#: So many of the toxic voters hold words that are nearly always toxic.
+SURE_VOTERS = 3
 VOTERS = TOXIC_VOTERS + CLEAN_VOTERS + PATTERN_VOTERS
 
 
@@ -50,9 +52,14 @@ class Settings:
     toxic_words: int = 100
     clean_words: int = 100
     vocabulary: int = 4096
-    #: A lexicon word is in so many sampled rows at least, and that much likelier in its class.
+    #: A lexicon word is in so many sampled rows at least, the toxic share of its rows is so
+    #: many times the usual one, and stands out by so many standard deviations; words of the
+    #: classifier stand out by fewer.
     least_rows: int = 5
-    least_lift: float = 1.5
+    least_lift: float = 2.0
+    lexicon_deviations: float = 5.0
+    word_deviations: float = 4.0
+    sure_share: float = 0.9
     #: Folds of crc32(doc_id): fold 0 of so many is held out.
     folds: int = 5
 
@@ -122,17 +129,23 @@ def word_counts(sample: DataFrame, settings: Settings) -> list:
     ).filter(F.col("rows") >= settings.least_rows)
     expected = F.col("rows") * share
     strength = F.abs(F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
-    return counted.withColumn("strength", strength).orderBy(
+    return counted.withColumn("strength", strength).filter(
+        F.col("strength") >= settings.word_deviations).orderBy(
         F.desc("strength"), "word").limit(settings.vocabulary).collect()
 
 
 def lexicons(counts: list, share: float, settings: Settings) -> Voters:
-    """The strongest words of each class, dealt to voters in turn."""
-    toxic = [r["word"] for r in counts if r["toxic"] > settings.least_lift * share * r["rows"]]
-    clean = [r["word"] for r in counts if (r["rows"] - r["toxic"]) / r["rows"] > max(0.97, 1 - share / 2)]
+    """The strongest words of each class, dealt to voters in turn; nearly sure ones apart."""
+    counts = [r for r in counts if r["strength"] >= settings.lexicon_deviations]
+    toxic = [r for r in counts if r["toxic"] >= min(0.9, settings.least_lift * share) * r["rows"]]
+    clean = [r for r in counts if r["toxic"] < share * r["rows"]]
+    toxic = toxic[:settings.toxic_words]
+    sure = [r["word"] for r in toxic if r["toxic"] >= settings.sure_share * r["rows"]]
+    others = [r["word"] for r in toxic if r["toxic"] < settings.sure_share * r["rows"]]
     return Voters(
-        {w: i % TOXIC_VOTERS for i, w in enumerate(toxic[:settings.toxic_words])},
-        {w: i % CLEAN_VOTERS for i, w in enumerate(clean[:settings.clean_words])})
+        {w: i % SURE_VOTERS for i, w in enumerate(sure)}
+        | {w: SURE_VOTERS + i % (TOXIC_VOTERS - SURE_VOTERS) for i, w in enumerate(others)},
+        {r["word"]: i % CLEAN_VOTERS for i, r in enumerate(clean[:settings.clean_words])})
 
 
 def vote_patterns(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -180,7 +193,7 @@ class LabelModel:
                 self.given[label] /= self.given[label].sum(axis=1, keepdims=True)
 
     def _scales(self, seen: np.ndarray, weight: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """1 / (1 + excess correlation with the others), by voter."""
+        """1 / sqrt(1 + excess correlation with the others), by voter."""
         value = seen @ np.array([-1.0, 0.0, 1.0])
         inside = np.zeros((VOTERS, VOTERS))
         for mass in (weight * posterior, weight * (1 - posterior)):
@@ -191,7 +204,7 @@ class LabelModel:
         self.correlations = inside / np.outer(deviation, deviation)
         excess = np.maximum(self.correlations - np.eye(VOTERS), 0).clip(0, 1)
         np.fill_diagonal(excess, 0)
-        return 1 / (1 + excess.sum(axis=1))
+        return 1 / np.sqrt(1 + excess.sum(axis=1))
 
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.given)
@@ -249,7 +262,7 @@ def train(sample: DataFrame, voters: Voters, posterior: dict[str, float], vocabu
     rows = stored(sample.select(features("text").alias("features"), believed("text")[0].alias("p")), "toxicity-rows")
     both = rows.select("features", "p", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("label")).select(
         "features", "label", F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p")).alias("weight"))
-    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60, standardization=False).fit(both)
+    model = LogisticRegression(weightCol="weight", regParam=max(1e-4, 1 / rows.count()), maxIter=60, standardization=False).fit(both)
     weights = model.coefficients.toArray()
     return Classifier(
         float(model.intercept),
