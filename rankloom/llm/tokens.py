@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import sys
 import types
 import unicodedata
@@ -19,27 +20,34 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words kept per Python worker and dictionary: about 100 MB each at most.
-KEPT_WORDS = 400_000
+#: Words kept per Python worker and dictionary: about 250 MB at most.
+KEPT_WORDS = 1_000_000
 #: Marks that may end a word. The apostrophe is left out: it opens contractions.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: White space for Python but not for the tokenizers' patterns.
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Ids are handed out as little-endian unsigned 32-bit integers.
 IDS = np.dtype("<u4")
 
 
+class Odd(ValueError):
+    """A word with white space in it, or an empty one."""
+
+
 class Kept(dict):
-    """Values by key, made on demand; emptied when full."""
+    """Values by key, made on demand. When full, one older generation stays at hand."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -52,12 +60,17 @@ class Encoder:
     """
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = Kept(self._encoded, kept_words)
-        self.bare = Kept(functools.partial(self._word, ""), kept_words // 4)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.symbols = {
+            b: pre_tokenizers.ByteLevel(False, use_regex=False).pre_tokenize_str(chr(b))[0][0][-1]
+            for b in range(128)}
+        self.symbols |= _upper_symbols(pre_tokenizers.ByteLevel(False, use_regex=False))
+        self.marks = Kept(self._encoded, 10_000)
+        self.bare = Kept(functools.partial(self._word, ""), kept_words)
         self.spaced = Kept(functools.partial(self._word, " "), kept_words)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
@@ -75,34 +88,64 @@ class Encoder:
         return np.asarray(
             self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Letters, perhaps with a space before them, are one piece: straight to the model."""
+        if self.normalizer is not None:
+            piece = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+
     def _word(self, space: str, word: str) -> bytes:
         """A word without white space. Letters and the marks behind them are separate pieces."""
-        core = word.rstrip(MARKS)
-        if core and _stays_letters(core):
-            ids = self.pieces[space + core]
-            return ids + self.pieces[word[len(core):]] if len(core) < len(word) else ids
+        if word.isalpha():
+            if _stays_letters(word):
+                return self._piece(space + word)
+        else:
+            core = word.rstrip(MARKS)
+            if core.isalpha() and _stays_letters(core):
+                return (self.spaced if space else self.bare)[core] + self.marks[word[len(core):]]
+            if word.split() != [word]:
+                raise Odd(word)
         return self._encoded(space + word)
 
     def _of_separate_words(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
+        if any(c in text for c in SEPARATORS):
             return self._encoded(text)
         return b"".join(map(self.bare.__getitem__, text.split()))
 
     def _of_spaced_words(self, text: str) -> bytes:
         """A space belongs to the word behind it, and a single line break stands alone."""
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            return self.line_break.join([self._line(line) for line in text.split("\n")])
-        first, *rest = SINGLE_SPACE.split(text)
-        return self._encoded(first) + b"".join(
-            [self._encoded(" " + x) if len(x) > 100 else self.spaced[x] for x in rest])
+        try:
+            return self.line_break.join(map(self._line, text.split("\n")))
+        except Odd:
+            first, *rest = SINGLE_SPACE.split(text)
+            return self._encoded(first) + b"".join(map(self._spaced_or_odd, rest))
 
     def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        words = line.split(" ")
+        return self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
+
+    def _spaced_or_odd(self, piece: str) -> bytes:
+        try:
+            return self.spaced[piece]
+        except Odd:
+            return self._encoded(" " + piece)
 
 
 def _stays_letters(core: str) -> bool:
-    return core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
+    """Whether composing and lower-casing leave letters only."""
+    return core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()
+
+
+def _upper_symbols(as_bytes) -> dict[int, str]:
+    """The symbols of bytes above 127, taken from characters of two bytes and their leads."""
+    found = {}
+    for point in [*range(0x80, 0x800), *range(0x800, 0x10000, 0x40), *range(0x10000, 0x110000, 0x1000)]:
+        if 0xD800 <= point < 0xE000:
+            continue
+        for byte, symbol in zip(chr(point).encode(), as_bytes.pre_tokenize_str(chr(point))[0][0], strict=True):
+            found[byte] = symbol
+    return found
 
 
 def _drops_blanks(normalizer: dict | None, pre_tokenizer: dict) -> bool:
