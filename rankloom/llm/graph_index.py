@@ -53,8 +53,8 @@ def beam_search(
 ) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` nearest vectors found for each query, nearest first, with squared distances.
 
-    Per step every query opens its nearest vector not yet opened. A vector without
-    another edge points to itself.
+    Per step every query opens its nearest vector not yet opened. No edge of a vector
+    is there twice, but for those to itself, which stand for none.
     """
     n, q = len(data), len(queries)
     squares = np.einsum("nd,nd->n", data, data)
@@ -124,9 +124,9 @@ def build_graph(data: np.ndarray, degree: int, beam: int, relax: float, seed: in
     n, rng = len(data), np.random.default_rng(seed)
     start = int(np.argmin(((data - data.mean(axis=0)) ** 2).sum(axis=1)))
     if n <= degree + 1:
-        everyone = np.tile(np.arange(n), (n, 1))
-        return np.pad(everyone, ((0, 0), (0, max(0, degree - n))), mode="edge"), start
-    edges = rng.integers(0, n, (n, degree))
+        return np.tile(np.arange(n), (n, 1)), start
+    edges = np.sort(rng.integers(0, n, (n, degree)), axis=1)
+    edges[:, 1:] = np.where(edges[:, 1:] == edges[:, :-1], np.arange(n)[:, None], edges[:, 1:])
     for factor in (1.0, relax):
         for block in np.array_split(rng.permutation(n), max(1, n // BLOCK)):
             found, _ = beam_search(data, edges, start, data[block], beam)

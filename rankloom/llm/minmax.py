@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
     active = members.select("id").distinct()
     if active.count() <= BROADCAST_IDS:
         active = F.broadcast(active)
-    shingle_sets = _sets(docs.join(active, F.col("doc_id") == F.col("id"), "left_semi"), words)
+    texts = docs.select("doc_id", "text").join(active, F.col("doc_id") == F.col("id"), "left_semi")
+    shingle_sets = _sets(texts, words)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     tiled = members.withColumns({"tile": F.pmod(F.xxhash64("id", F.lit(4)), tiles).cast("int"), "tiles": tiles})
     groups = tiled.select(
