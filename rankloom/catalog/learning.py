@@ -12,7 +12,7 @@ from rankloom.functions.keys import seeded_int
 from rankloom.operators.lambdamart import LambdaMART, LambdaMARTModel, decayed_rate, feature_importance
 from rankloom.operators.metrics import mean_ndcg
 
-TREES = 3
+TREES = 10
 
 
 def training_rows(t: Tables) -> DataFrame:

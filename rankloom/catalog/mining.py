@@ -138,7 +138,7 @@ def mined(t: Tables, **options):
 
 @query(f"with {mined_sql(5, 0, 100, 0.0)} select {MINED}")
 def hard_negatives(t: Tables):
-    return mined(t, num_negatives=5, absolute_margin=0.0)
+    return mined(t, num_negatives=5, range_max=100, absolute_margin=0.0)
 
 
 @query(f"with {mined_sql(3, 10, 60, 0.05)} select {MINED}")
@@ -153,20 +153,20 @@ def hard_negatives_at_random(t: Tables):
 
 @query(f"with {mined_sql(30, 0, 100, None, keep_positives=True)} select {MINED}")
 def evaluation_lists_with_positives(t: Tables):
-    return mined(t, num_negatives=30, include_positives=True)
+    return mined(t, num_negatives=30, range_max=100, include_positives=True)
 
 
 FIVE = mined_sql(5, 0, 100, 0.0)
 
 
 def mined_five(t: Tables):
-    return mined(t, num_negatives=5, absolute_margin=0.0)
+    return mined(t, num_negatives=5, range_max=100, absolute_margin=0.0)
 
 
-@query(f"""with {FIVE} select query_id, doc_id, cast(1 as integer) as label from mined where place = 1
+@query(f"""with {FIVE} select query_id, doc_id, cast(1 as integer) as label from positives
 union all select query_id, negative_id, 0 from mined""")
 def negatives_as_labeled_pairs(t: Tables):
-    return mining.shape_negatives(mined_five(t), "labeled-pair")
+    return mining.shape_negatives(mined_five(t), "labeled-pair", pairs=positives(t))
 
 
 @query(f"with {FIVE} select query_id, doc_id as positive_id, negative_id from mined")
@@ -182,10 +182,12 @@ def negatives_as_tuples(t: Tables):
     return shaped.select("query_id", "positive_id", joined.alias("negatives"))
 
 
-@query(f"""with {FIVE} select query_id, doc_id || ',' || string_agg(negative_id, ',' order by place) as docs,
-  '1' || repeat(',0', count(*)::bigint) as labels from mined group by query_id, doc_id""")
+@query(f"""with {FIVE} select p.query_id, p.doc_id || coalesce(',' || string_agg(m.negative_id, ',' order by m.place), '') as docs,
+  '1' || repeat(',0', count(m.place)::bigint) as labels
+from positives p left join mined m on m.query_id = p.query_id and m.doc_id = p.doc_id
+group by p.query_id, p.doc_id""")
 def negatives_as_labeled_lists(t: Tables):
-    shaped = mining.shape_negatives(mined_five(t), "labeled-list")
+    shaped = mining.shape_negatives(mined_five(t), "labeled-list", pairs=positives(t))
     return shaped.select(
         "query_id",
         F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"),

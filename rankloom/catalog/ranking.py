@@ -12,7 +12,7 @@ from rankloom.plans.groups import known_groups
 
 
 @query(f"""with {JUDGMENTS} select query_id, doc_id,
-  cast(row_number() over (partition by query_id order by score desc, pos) as integer) as new_order
+  cast(row_number() over (partition by query_id order by score desc, pos) as bigint) as new_order
 from judgments""")
 def rank_within_query(t: Tables):
     return ranking.rank_within_query(judgments(t)).select("query_id", "doc_id", "new_order")
@@ -24,8 +24,8 @@ moved as (
          row_number() over (partition by query_id order by round(-abs(bi_score - 0.3), 9) desc, stage1_rank)
            as final_rank
   from stage1 where stage1_rank <= 20)
-select query_id, doc_id, cast(stage1_rank as integer) as stage1_rank, cast(final_rank as integer) as final_rank,
-  cast(stage1_rank - final_rank as integer) as rank_change from moved""")
+select query_id, doc_id, cast(stage1_rank as integer) as stage1_rank, cast(final_rank as bigint) as final_rank,
+  cast(stage1_rank - final_rank as bigint) as rank_change from moved""")
 def rank_change(t: Tables):
     second = F.round(-F.abs(F.col("bi_score") - F.lit(0.3)), 9)
     found = stage1(t, 20).withColumn("cross_score", second)
@@ -40,7 +40,7 @@ def top_five_per_query(t: Tables):
     return ranking.top_per_query(judgments(t), 5).select("query_id", "doc_id", "score", "rank")
 
 
-@query(f"""with {RANKED} select query_id, doc_id, cast(rk as integer) as rank, cast(ik as integer) as ideal_rank
+@query(f"""with {RANKED} select query_id, doc_id, cast(rk as bigint) as rank, cast(ik as bigint) as ideal_rank
 from ranked""")
 def predicted_and_ideal_positions(t: Tables):
     return ranking.positions(judgments(t)).select("query_id", "doc_id", "rank", "ideal_rank")
@@ -64,6 +64,6 @@ def suffix_sums_by_label(t: Tables):
     return ranking.suffix_exp_sums(judgments(t), by_label=True).select("query_id", "doc_id", "suffix")
 
 
-@query(f"with {HITS} select query_id, doc_id, cast(rk as integer) as rank, cast(hits as bigint) as hits from hits")
+@query(f"with {HITS} select query_id, doc_id, cast(rk as bigint) as rank, cast(hits as bigint) as hits from hits")
 def running_hit_count(t: Tables):
     return ranking.running_hits(judgments(t)).select("query_id", "doc_id", "rank", "hits")

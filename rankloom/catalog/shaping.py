@@ -48,12 +48,17 @@ VALUES = """parts as (
          cast(generate_subscripts(embedding, 1) - 1 as integer) as place from embeddings)"""
 
 
+def width(t: Tables) -> int:
+    """The number of features, from the data."""
+    return t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+
+
 @query(f"with {VALUES} select vec_id, cast(label as double) as label, place, {r('x')} as value from parts")
 def svmlight_lines(t: Tables):
     line = F.concat_ws(" ", F.col("label").cast("string"), index_values(0))
     lines = t.embeddings.select("vec_id", line.alias("value"))
     parsed = text_formats.parse_svmlight(lines)
-    dense = parsed.select("vec_id", "label", densify(F.col("features"), 64).alias("features"))
+    dense = parsed.select("vec_id", "label", densify(F.col("features"), width(t)).alias("features"))
     return exploded(dense, "vec_id", "label")
 
 
@@ -62,12 +67,12 @@ def densified_features(t: Tables):
     """Only the positive values are stored; the others come back as 0."""
     pairs = F.transform("embedding", lambda x, i: F.struct(i + 1, x.cast("double").alias("x")))
     stored = F.map_from_entries(F.filter(pairs, lambda p: p["x"] > 0))
-    dense = t.embeddings.select("vec_id", densify(stored, 64).alias("features"))
+    dense = t.embeddings.select("vec_id", densify(stored, width(t)).alias("features"))
     return exploded(dense, "vec_id")
 
 
 @query("""select vec_id, cast(label as double) as label, 'q' || (vec_id % 7) as qid,
-  cast(64 as integer) as n_features, 'vector ' || vec_id as comment from embeddings""")
+  cast(len(embedding) as integer) as n_features, 'vector ' || vec_id as comment from embeddings""")
 def letor_lines(t: Tables):
     qid = F.concat(F.lit("qid:q"), F.pmod("vec_id", F.lit(7)).cast("string"))
     comment = F.concat(F.lit("# vector "), F.col("vec_id").cast("string"))
@@ -160,13 +165,13 @@ def collected_lists(t: Tables):
 
 
 @query(f"""with {JUDGMENTS} select query_id,
-  cast(row_number() over (partition by query_id order by doc_id) - 1 as integer) as pos,
+  row_number() over (partition by query_id order by doc_id) - 1 as pos,
   cast(doc_id as varchar) as doc, label from judgments""")
 def exploded_lists(t: Tables):
     return datasets.explode_lists(datasets.collect_lists(placed(t)))
 
 
-@query(f"""with {JUDGMENTS} select query_id, cast(count(*) as integer) as n_docs,
+@query(f"""with {JUDGMENTS} select query_id, cast(0 as bigint) as part, cast(count(*) as integer) as n_docs,
   cast(count(*) filter (where score >= 1) as integer) as n_labels
 from judgments group by query_id having count(*) <> count(*) filter (where score >= 1)""")
 def lists_with_missing_labels(t: Tables):
@@ -181,26 +186,34 @@ def lists_with_missing_labels(t: Tables):
 
 WIDE = """wide as (
   select conv_id, max(text) filter (where turn = 0) as question, max(text) filter (where turn = 1) as answer,
-         max(text) filter (where turn = 3) as other, max(text) filter (where turn = 5) as another
+         coalesce(list(text order by turn) filter (where role = 'assistant' and text is not null), []) as answers
   from conversations group by conv_id)"""
 
 
-def wide(t: Tables) -> DataFrame:
+def wide(t: Tables) -> tuple[DataFrame, list[str]]:
+    """A row per conversation with every assistant turn in a column, and these columns."""
+    turns = [
+        row["turn"] for row in
+        t.conversations.where("role = 'assistant'").select("turn").distinct().orderBy("turn").collect()
+    ]
+
     def at(turn, name):
         return F.max(F.when(F.col("turn") == turn, F.col("text"))).alias(name)
 
-    return t.conversations.groupBy("conv_id").agg(
-        at(0, "question"), at(1, "answer"), at(3, "other"), at(5, "another")
-    )
+    answers = [
+        F.max(F.when((F.col("turn") == n) & (F.col("role") == "assistant"), F.col("text"))).alias(f"answer_{n}")
+        for n in turns
+    ]
+    rows = t.conversations.groupBy("conv_id").agg(at(0, "question"), at(1, "answer"), *answers)
+    return rows, [f"answer_{n}" for n in turns]
 
 
 @query(f"""with {WIDE} select md5(question) as query, md5(answer) as positive,
-  cast((other is not null)::int + (another is not null)::int + (answer is not null)::int as integer) as n_documents
+  cast(len(answers) as integer) as n_documents
 from wide""")
 def reranking_samples(t: Tables):
-    samples = datasets.to_rerank_samples(
-        wide(t), "question", "answer", ["answer", "other", "another"]
-    )
+    rows, answers = wide(t)
+    samples = datasets.to_rerank_samples(rows, "question", "answer", answers)
     return samples.select(
         F.md5("query").alias("query"), F.md5(F.element_at("positive", 1)).alias("positive"),
         F.size("documents").alias("n_documents"),
@@ -208,13 +221,12 @@ def reranking_samples(t: Tables):
 
 
 @query(f"""with {WIDE},
-docs as (select question, answer, unnest(list_filter([answer, other, another], lambda d: d is not null)) as document from wide)
+docs as (select question, answer, unnest(answers) as document from wide)
 select md5(question) as query, md5(document) as document,
   case when answer is null then null else cast(document = answer as integer) end as label from docs""")
 def labels_by_membership(t: Tables):
-    samples = datasets.to_rerank_samples(
-        wide(t), "question", "answer", ["answer", "other", "another"]
-    )
+    rows, answers = wide(t)
+    samples = datasets.to_rerank_samples(rows, "question", "answer", answers)
     labeled = datasets.label_by_membership(samples)
     return labeled.select(F.md5("query").alias("query"), F.md5("document").alias("document"), "label")
 

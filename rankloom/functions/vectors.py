@@ -14,12 +14,18 @@ SCORE_DIGITS = 12
 def densify(features: Column, n_features: int) -> Column:
     """Dense array of a map from 1-based feature index to value; missing is 0.
 
+    An index outside 1 to ``n_features`` is an error.
+
     The map is walked once: a look-up per index inside a lambda would build
     the map anew for every index.
     """
     indices = F.sequence(F.lit(1), F.lit(n_features))
     zeros = F.map_from_arrays(indices, F.array_repeat(F.lit(0.0), n_features))
-    filled = F.map_zip_with(zeros, features, lambda _, zero, value: F.coalesce(value, zero))
+    outside = F.exists(F.map_keys(features), lambda i: (i < 1) | (i > n_features))
+    checked = F.when(~outside, features).otherwise(
+        F.raise_error(F.lit(f"feature index outside 1 to {n_features}")).cast("map<int,double>"))
+    checked = F.when(features.isNotNull(), checked)
+    filled = F.map_zip_with(zeros, checked, lambda _, zero, value: F.coalesce(value, zero))
     ordered = F.array_sort(F.map_entries(filled))
     return F.transform(F.slice(ordered, 1, n_features), lambda entry: entry["value"])
 

@@ -89,18 +89,20 @@ def pair_gradients(
                 add(j, -force, bend)
         return {"lambda": pa.array(pull), "hessian": pa.array(curve)}
 
-    payload = ["doc_id", "label", "score", "gain", "_place", *carry]
+    payload = ["doc_id", "label", "score", "gain", "_place", "rank", *carry]
     pulled = map_pair_blocks(
-        ranked.select(QUERY, "rank", *payload), QUERY, "rank", payload, kernel, _ADDED,
+        ranked.select(QUERY, *payload), QUERY, "rank", payload, kernel, _ADDED,
         sizes, block_rows, per_item=True,
     ).drop("gain", "_place")
     if sizes.largest <= block_rows:
-        return pulled
-    same = [c for c in pulled.columns if c not in (QUERY, "doc_id", "lambda", "hessian")]
-    return pulled.groupBy(QUERY, "doc_id").agg(
+        return pulled.drop("rank")
+    # A row of a list is known by its rank: documents may repeat.
+    same = [c for c in pulled.columns if c not in (QUERY, "rank", "lambda", "hessian")]
+    summed = pulled.groupBy(QUERY, "rank").agg(
         *[F.first(c).alias(c) for c in same],
         F.sum("lambda").alias("lambda"), F.sum("hessian").alias("hessian"),
     )
+    return summed.drop("rank")
 
 
 def point_gradients(rows: DataFrame, objective: str) -> DataFrame:

@@ -132,14 +132,14 @@ def plistmle_per_query(
     rows = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
     counted = group_totals(rows, [QUERY], {"n": F.count(F.lit(1))}, "pos", sizes)
     tails = suffix_exp_sums(counted, by_label=not respect_input_order, rank="_back", sizes=sizes)
-    shift = F.col("shift")
     added = F.lit(eps)
     if pad_to is not None:
         missing = F.greatest(F.lit(pad_to) - F.col("n"), F.lit(0))
         added = added + missing * F.exp(F.lit(PADDED_LOGIT))
-    log_total = F.when(
-        F.col("suffix") > F.lit(1e-280), shift + F.log(F.col("suffix") + added * F.exp(-shift))
-    ).otherwise(F.log(F.col("plain") + added))
+    here = F.coalesce(
+        F.get(F.filter("tails", lambda t: t["sum"] > F.lit(1e-280)), F.lit(0)), F.element_at("tails", -1)
+    )
+    log_total = here["shift"] + F.log(here["sum"] + added * F.exp(-here["shift"]))
     log_p = F.col("logit") - log_total
     if weight is None:
         return tails.groupBy(QUERY).agg((-F.sum(log_p)).alias("loss"))
@@ -249,7 +249,7 @@ def lambda_loss_sums(
         raise ValueError(f"scheme must be one of {SCHEMES}")
     slim = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
     orders = [by_score("logit", "pos"), by_score("label", "pos")]
-    slim, sizes = head_rows(slim, [QUERY], orders, k or None, sizes, unique="pos")
+    slim, sizes = head_rows(slim, [QUERY], orders, k or None, sizes)
     rows = with_gains(slim, k or None, eps, sizes=sizes)
     if k:
         rows = rows.where(F.col("rank") <= k)

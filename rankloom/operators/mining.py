@@ -18,7 +18,6 @@ from rankloom.operators.retrieval import retrieve_counted
 from rankloom.operators.scorers import PairScorer
 from rankloom.plans.groups import salted_join
 
-RANGE_MAX = 100
 BROADCAST_BYTES = 64 * 1024 * 1024
 FORMATS = ("labeled-pair", "triplet", "n-tuple", "labeled-list")
 
@@ -36,7 +35,8 @@ def mine_hard_negatives(
     corpus: DataFrame,
     num_negatives: int = 5,
     range_min: int = 0,
-    range_max: int | None = None,
+    *,
+    range_max: int,
     absolute_margin: float | None = None,
     sampling: str = "top",
     include_positives: bool = False,
@@ -45,8 +45,8 @@ def mine_hard_negatives(
     """Mine up to ``num_negatives`` passages per pair.
 
     ``pairs`` has (query_id, doc_id) of the positives, ``queries`` and
-    ``corpus`` have embeddings. ``range_max`` is the depth of the search
-    (default: 100, or deeper if that many are asked for). ``sampling="top"`` takes the most
+    ``corpus`` have embeddings. ``range_max`` is the depth of the search, which
+    a margin may need to be far larger than ``num_negatives``. ``sampling="top"`` takes the most
     similar, ``"random"`` a seeded choice. ``include_positives`` leaves
     positives at their place in the list and applies no margin.
 
@@ -56,7 +56,7 @@ def mine_hard_negatives(
     """
     if sampling not in ("top", "random"):
         raise ValueError("sampling must be 'top' or 'random'")
-    depth = range_max or max(RANGE_MAX, range_min + num_negatives)
+    depth = range_max
     found, shape = retrieve_counted(queries, corpus, depth)
     found = found.where(F.col("stage1_rank") > range_min)
     if not include_positives:
@@ -70,7 +70,8 @@ def mine_hard_negatives(
     if absolute_margin is not None and not include_positives:
         asked = queries.select(QUERY, F.col("embedding").alias("_asked"))
         rows = _join_queries(rows, asked, shape.n * shape.dims * 8)
-        rows = rows.join(corpus.select("doc_id", "embedding"), "doc_id")
+        own = corpus.select("doc_id", "embedding").join(pairs.select("doc_id"), "doc_id", "left_semi")
+        rows = rows.join(own, "doc_id")
         rows = rows.withColumn("_own", cosine(F.col("_asked"), F.col("embedding")))
         chosen = F.filter(
             chosen, lambda x: x["score"] <= F.col("_own") - F.lit(float(absolute_margin))
@@ -93,9 +94,14 @@ def mine_hard_negatives(
     )
 
 
-def shape_negatives(mined: DataFrame, fmt: str, num_negatives: int = 5) -> DataFrame:
+def shape_negatives(
+    mined: DataFrame, fmt: str, num_negatives: int = 5, pairs: DataFrame | None = None
+) -> DataFrame:
     """Bring mined negatives to a training shape, by document ids.
 
+    ``pairs`` are the positives that were mined for. The labeled shapes keep every one
+    of them, with or without negatives, and so need them.
+
     ``labeled-pair``: (query_id, doc_id, label); ``triplet``: (query_id,
     positive_id, negative_id); ``n-tuple``: (query_id, positive_id, negatives
     ARRAY), without pairs that have fewer than ``num_negatives``;
@@ -103,11 +109,19 @@ def shape_negatives(mined: DataFrame, fmt: str, num_negatives: int = 5) -> DataF
     """
     if fmt == "triplet":
         return mined.select(QUERY, F.col("doc_id").alias("positive_id"), "negative_id")
+    if fmt in ("labeled-pair", "labeled-list") and pairs is None:
+        raise ValueError(f"{fmt} needs the pairs")
     if fmt == "labeled-pair":
-        own = mined.where(F.col("place") == 1).select(QUERY, "doc_id", F.lit(1).alias("label"))
+        own = pairs.select(QUERY, "doc_id", F.lit(1).alias("label"))
         others = mined.select(QUERY, F.col("negative_id").alias("doc_id"), F.lit(0).alias("label"))
         return own.unionByName(others)
-    ordered = F.array_sort(F.collect_list(F.struct("place", "negative_id")))
+    if fmt == "labeled-list":
+        # One row per pair and negative, and one with nothing for each pair.
+        nothing = [F.lit(None).cast(mined.schema[c].dataType).alias(c) for c in ("negative_id", "place")]
+        mined = mined.select(QUERY, "doc_id", "negative_id", "place").unionByName(
+            pairs.select(QUERY, "doc_id", *nothing))
+    found = F.when(F.col("place").isNotNull(), F.struct("place", "negative_id"))
+    ordered = F.array_sort(F.collect_list(found))
     grouped = mined.groupBy(QUERY, F.col("doc_id").alias("positive_id")).agg(
         F.transform(ordered, lambda x: x["negative_id"]).alias("negatives")
     )

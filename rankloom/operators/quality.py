@@ -6,6 +6,7 @@ when there are many distinct values, so no global window sees the whole table.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -148,28 +149,43 @@ def corr_pvalue(r: float, n: int) -> float:
         return 0.0
     freedom = n - 2
     t_square = r * r * freedom / (1.0 - r * r)
-    return _incomplete_beta(freedom / 2.0, 0.5, freedom / (freedom + t_square))
+    if freedom > 1e6:
+        # Normal tail with its first correction: the error is of the order of 1 / n^2.
+        z = math.sqrt(t_square) * (1.0 - (t_square + 1.0) / (4.0 * freedom))
+        return math.erfc(z / math.sqrt(2.0)) if t_square < 1500.0 else 0.0
+    both = freedom + t_square
+    return _incomplete_beta(freedom / 2.0, 0.5, freedom / both, t_square / both)
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
+def _log_gamma_step(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)); for large a and small b without the difference of large terms."""
+    if a < 1e3 or b > 1.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    return b * math.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+
+
+def _incomplete_beta(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function at x = 1 - y by its continued fraction."""
+    if x <= 0.0 or y <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    # Evaluated from the far end; the terms die out long before the first one used.
-    value = 1.0
-    for step in range(2000, 0, -1):
+        return 1.0 - _incomplete_beta(b, a, y, x)
+    logs = [n * (math.log(p) if p < 0.5 else math.log1p(-q)) for n, p, q in ((a, x, y), (b, y, x))]
+    steps = _log_gamma_step(max(a, b), min(a, b)) - math.lgamma(min(a, b))
+    front = math.exp(steps + sum(logs)) / a
+    # From the near end until it stands still, with numerators and denominators as ratios.
+    tiny = 1e-300
+    value, up, down = 1.0, 1.0, 0.0
+    for step in itertools.count(1):
         m = step // 2
         if step % 2:
             term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         else:
             term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        value = 1.0 + term / value
-    return front / value
+        up, down = (1.0 + term / up) or tiny, 1.0 / ((1.0 + term * down) or tiny)
+        value *= up * down
+        if step > 2 and abs(up * down - 1.0) < 1e-15:
+            return front / value
 
 
 def correlation_report(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:

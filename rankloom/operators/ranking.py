@@ -6,6 +6,8 @@ column is named), so that results do not depend on how rows are spread.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from rankloom.functions import rank_math as rm
 from rankloom.plans.groups import GroupSizes, group_totals, per_group, scan_groups, top_rows
 
 QUERY = "query_id"
+# Sums of exponentials at neighbouring shifts overlap: one is above 1e-280 until the next holds all.
+SHIFT_STEP, MAX_EXPONENT, MAX_SHIFTS = 600.0, 700.0, 64
 
 
 def by_score(score: str = "score", tiebreak: str = "doc_id") -> list[Column]:
@@ -86,26 +90,36 @@ def suffix_exp_sums(
     The list runs by ``pos``, or by falling label with ``by_label``. The shift is the largest
     logit of the query, at least 0, which keeps exp from overflowing. It is
     summed in reversed order, since Spark recomputes a frame that ends
-    unbounded for each row. ``plain`` is the same sum without shift, cut off
-    where exp would overflow: it serves tails so far below the largest logit
-    that the shifted sum vanishes. ``rank``, if named, counts from the end.
+    unbounded for each row. ``rank``, if named, counts from the end.
+
+    Tails far below the largest logit vanish in that sum. ``tails`` holds the sums
+    (shift, sum) for shifts in steps of ``SHIFT_STEP`` down to 0; the first one that is not
+    vanishingly small is exact, since everything behind it is near its shift or below.
     """
     backwards = [F.col("label").asc()] if by_label else []
     backwards.append(F.col("pos").desc())
     x = F.col(logit)
     shifted = group_totals(df, [QUERY], {"shift": F.max(x)}, "pos", sizes)
     shifted = shifted.withColumn("shift", F.greatest("shift", F.lit(0.0)))
-    return scan_groups(
+    largest = df.agg(F.max(x)).first()[0] or 0.0
+    steps = max(1, math.ceil(largest / SHIFT_STEP))
+    if steps > MAX_SHIFTS:
+        raise ValueError(f"logits beyond {MAX_SHIFTS * SHIFT_STEP:g} are not supported")
+    shifts = [F.greatest(F.col("shift") - F.lit(i * SHIFT_STEP), F.lit(0.0)) for i in range(steps + 1)]
+    names = ["suffix", *[f"_tail_{i}" for i in range(1, steps + 1)]]
+    summed = scan_groups(
         shifted,
         [QUERY],
         backwards,
         rank=rank,
         running={
-            "suffix": F.exp(x - F.col("shift")),
-            "plain": F.exp(F.least(x, F.lit(700.0))),
+            name: F.exp(F.least(x - shift, F.lit(MAX_EXPONENT)))
+            for name, shift in zip(names, shifts, strict=True)
         },
         sizes=sizes,
     )
+    tails = [F.struct(s.alias("shift"), F.col(n).alias("sum")) for s, n in zip(shifts, names, strict=True)]
+    return summed.withColumn("tails", F.array(*tails)).drop(*names[1:])
 
 
 @per_group(QUERY)

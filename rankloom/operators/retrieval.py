@@ -273,7 +273,8 @@ def rerank(
     if k is None:
         sizes = known_groups(candidates, largest) if largest else None
         return scan_groups(scored, [QUERY], order, rank="final_rank", sizes=sizes)
-    return top_rows(scored, [QUERY], order, k, "final_rank")
+    ranked = top_rows(scored, [QUERY], order, k, "final_rank")
+    return ranked.withColumn("final_rank", F.col("final_rank").cast("int"))
 
 
 def two_stage(

@@ -97,11 +97,11 @@ def split_groups(
     if not sizes.large:
         return work(df, sizes)
     schema = df.select(*keys).schema
-    named = F.broadcast(df.sparkSession.createDataFrame(list(sizes.large), schema))
+    named = df.sparkSession.createDataFrame(list(sizes.large), schema)
     small = GroupSizes(sizes.rest, sizes.total - sizes.large_total, sizes.limit)
     large = GroupSizes(sizes.largest, sizes.large_total, sizes.limit, len(sizes.large))
     parts = [
-        work(df.join(named, list(keys), how), own)
+        work(null_safe_join(df, named, keys, how, broadcast=True), own)
         for how, own in (("left_anti", small), ("left_semi", large))
     ]
     return parts[0].unionByName(parts[1])
@@ -137,7 +137,7 @@ def scan_groups(
     running: Mapping[str, Column] | None = None,
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Add the 1-based ``rank`` and the ``running`` sums of each group.
+    """Add the 1-based ``rank`` (long) and the ``running`` sums of each group.
 
     ``order`` must order the rows of a group totally (end it with a unique
     column). ``keys`` may be empty: then the whole table is one group.
@@ -165,13 +165,13 @@ def scan_groups(
         F.sum("_rows").over(earlier).alias("_rows_before"),
         *[F.sum(name).over(earlier).alias(f"{name}_before") for name in sums],
     ).where(F.col("_rows_before").isNotNull())
-    joined = placed.join(F.broadcast(offsets), [*keys, _BLOCK], "left")
+    joined = null_safe_join(placed, offsets, [*keys, _BLOCK], "left", broadcast=True)
     scan = _local_scan(
         _window([*keys, _BLOCK], order),
         rank,
         running,
         F.coalesce("_rows_before", F.lit(0)),
-        {name: F.coalesce(f"_sum_{name}_before", F.lit(0.0)) for name in running},
+        {name: F.coalesce(f"_sum_{name}_before", F.lit(0)) for name in running},
     )
     added = [name for name in ([rank] if rank else []) + list(running) if name not in df.columns]
     return joined.withColumns(scan).select(*df.columns, *added)
@@ -201,7 +201,7 @@ def group_totals(
 
 def _broadcast_join(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
-        return df.join(F.broadcast(per_key), list(keys))
+        return null_safe_join(df, per_key, keys, broadcast=True)
     one = per_key.withColumn("_one", F.lit(1))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
@@ -211,7 +211,19 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salt_o
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     left = rows.withColumn("_salt", F.pmod(F.hash(salt_on), F.lit(SALTS)))
     right = per_key.withColumn("_salt", salts)
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return null_safe_join(left, right, [*keys, "_salt"]).drop("_salt")
+
+
+def null_safe_join(
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False
+) -> DataFrame:
+    """Join by keys of which NULL is one like any other; the columns of ``rows`` come first."""
+    names = {key: f"_right_{i}" for i, key in enumerate(keys)}
+    right = per_key.withColumnsRenamed(names)
+    if broadcast:
+        right = F.broadcast(right)
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()]
+    return rows.join(right, same, how).drop(*names.values())
 
 
 def top_rows(
@@ -234,7 +246,6 @@ def head_rows(
     orders: Sequence[Sequence[Column]],
     k: int | None,
     sizes: GroupSizes,
-    unique: str = "doc_id",
 ) -> tuple[DataFrame, GroupSizes]:
     """The rows of large groups that a cutoff at ``k`` can see, and their sizes.
 
@@ -246,11 +257,16 @@ def head_rows(
     if sizes.bounded or k is None or k * len(orders) > sizes.limit:
         return df, sizes
     heads = [top_rows(df, keys, order, max(k, 1), "_place").drop("_place") for order in orders]
+    if len(heads) > 1:
+        # A row in both heads counts once, but equal rows are rows of their own:
+        # they are numbered in each head, and the head with more of them decides.
+        equal = Window.partitionBy(*df.columns).orderBy(F.lit(0))
+        heads = [head.withColumn("_copy", F.row_number().over(equal)) for head in heads]
     rows = heads[0]
     for head in heads[1:]:
         rows = rows.unionByName(head)
     if len(heads) > 1:
-        rows = rows.dropDuplicates([*keys, unique])
+        rows = rows.dropDuplicates().drop("_copy")
     return rows, known_groups(df, max(k, 1) * len(heads))
 
 
@@ -262,7 +278,7 @@ def _local_scan(window, rank, running, rows_before, sums_before):
     to_here = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {}
     if rank:
-        columns[rank] = F.row_number().over(window) + rows_before
+        columns[rank] = F.row_number().over(window).cast("long") + rows_before
     for name, value in running.items():
         here = F.sum(value).over(to_here)
         columns[name] = here + sums_before[name] if name in sums_before else here

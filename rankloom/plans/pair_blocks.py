@@ -2,10 +2,11 @@
 
 The rows of a group are packed into blocks of at most ``block_rows`` rows.
 Each task gets two blocks of one group as arrays, goes through their pairs in
-memory and returns sums, so what is shuffled grows with the rows. A group
-that fits one block is paired with itself. Larger groups get one row for each
-ordered pair of blocks, placed by (group, block), which spreads a large group
-over the cluster.
+memory and returns sums. A group that fits one block is paired with itself and
+is shuffled once, also if other groups are larger. Larger groups get one row for
+each ordered pair of blocks, placed by (group, block), which spreads a large group
+over the cluster; a block is copied once per block of its group, so a list of n
+rows shuffles n * n / block_rows items.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.plans.groups import GroupSizes
+from rankloom.plans.durable import durable
+from rankloom.plans.groups import GroupSizes, null_safe_join
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 8192
 PAIRS_AT_ONCE = 500_000
 
 
@@ -96,22 +98,23 @@ def map_pair_blocks(
     back with the columns added, once for each block they were paired with.
     """
     item = F.struct(*payload)
-    if sizes.largest <= block_rows:
-        pairs = rows.groupBy(key).agg(F.collect_list(item).alias("left"))
-    else:
-        numbered = rows.withColumn("_block", F.floor((F.col(rank) - 1) / F.lit(block_rows)))
-        blocks = numbered.groupBy(key, "_block").agg(F.collect_list(item).alias("left"))
+    fits = sizes.largest <= block_rows
+    numbered = rows.withColumn("_block", F.floor((F.col(rank) - 1) / F.lit(block_rows)))
+    blocks = numbered.groupBy(key, *([] if fits else ["_block"])).agg(F.collect_list(item).alias("left"))
+    if not fits:
         counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_n"))
-        ids = counts.select(
+        several = durable(counts.where(F.col("_n") > 1))
+        ids = several.select(
             key, "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block")
         )
         # Blocks meet their partner numbers first, then the partner blocks.
-        with_partner = blocks.join(ids, [key, "_block"]).select(
+        with_partner = null_safe_join(blocks, ids, [key, "_block"]).select(
             key, "left", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block")
         )
-        pairs = with_partner.join(
-            blocks.withColumnRenamed("left", "right"), [key, "_block"]
+        meeting = null_safe_join(
+            with_partner, blocks.withColumnRenamed("left", "right"), [key, "_block"]
         ).select(key, "left", "right")
+        alone = null_safe_join(blocks, several, [key], "left_anti").select(key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,4 +129,7 @@ def map_pair_blocks(
 
     kept = [key, *(payload if per_item else [])]
     fields = [f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in kept]
-    return pairs.mapInArrow(run, ", ".join([*fields, schema]))
+    out = ", ".join([*fields, schema])
+    if fits:
+        return blocks.mapInArrow(run, out)
+    return alone.mapInArrow(run, out).unionByName(meeting.mapInArrow(run, out))

@@ -139,14 +139,19 @@ def assign_batches(df: DataFrame, size: int, seed: int, key: str, exact: bool =
 # -- lists ---------------------------------------------------------------------
 
 def explode_lists(df: DataFrame, docs: str = "docs", labels: str = "labels") -> DataFrame:
-    """One row per list item: (query_id, pos, doc, label), pos from 0."""
+    """One row per list item: (query_id, pos, doc, label), pos from 0.
+
+    Lists in parts go on counting: ``start`` is the position of a part's first item.
+    """
     zipped = F.arrays_zip(F.col(docs).alias("doc"), F.col(labels).alias("label"))
-    exploded = df.select("query_id", F.posexplode(zipped).alias("pos", "_item"))
-    return exploded.select("query_id", "pos", "_item.doc", "_item.label")
+    start = F.col("start") if "start" in df.columns else F.lit(0)
+    exploded = df.select("query_id", start.alias("_start"), F.posexplode(zipped).alias("pos", "_item"))
+    return exploded.select(
+        "query_id", (F.col("_start") + F.col("pos")).cast("long").alias("pos"), "_item.doc", "_item.label")
 
 
 def collect_lists(df: DataFrame, doc: str = "doc", items: int = LIST_ITEMS) -> DataFrame:
-    """Ragged lists (query_id, part, docs, labels) in the order of ``pos``.
+    """Ragged lists (query_id, part, start, docs, labels) in the order of ``pos``.
 
     A list of more than ``items`` places goes on in the next ``part``, which
     keeps every row of the result within bounds. ``pos`` counts from 0.
@@ -156,7 +161,7 @@ def collect_lists(df: DataFrame, doc: str = "doc", items: int = LIST_ITEMS) -> D
         F.array_sort(F.collect_list(F.struct("pos", F.col(doc).alias("doc"), "label"))).alias("_list")
     )
     return grouped.select(
-        "query_id", "part",
+        "query_id", "part", (F.col("part") * F.lit(items)).alias("start"),
         F.transform("_list", lambda x: x["doc"]).alias("docs"),
         F.transform("_list", lambda x: x["label"]).alias("labels"),
     )
@@ -168,7 +173,7 @@ def validate_lists(df: DataFrame, docs: str = "docs", labels: str = "labels") ->
     n_docs = F.coalesce(F.size(docs), F.lit(0))
     n_labels = F.coalesce(F.size(labels), F.lit(0))
     return df.where(n_docs != n_labels).select(
-        "query_id", n_docs.alias("n_docs"), n_labels.alias("n_labels")
+        "query_id", *[c for c in ("part",) if c in df.columns], n_docs.alias("n_docs"), n_labels.alias("n_labels")
     )
 
 

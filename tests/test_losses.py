@@ -167,3 +167,14 @@ def test_gradients_of_a_query_sum_to_zero(toy):
     df = toy.withColumnsRenamed({"pos": "doc_id", "logit": "score"})
     sums = gradients.lambda_gradients(df).groupBy("query_id").agg(F.sum("lambda").alias("s"))
     assert values(sums, "s") == pytest.approx([0.0, 0.0], abs=1e-12)
+
+
+def test_list_likelihood_of_logits_that_are_far_apart(spark):
+    rows = [(1, i, float(i == 0), x) for i, x in enumerate((2000.0, 1000.0, 999.0))]
+    rows += [(2, i, 0.0, x) for i, x in enumerate((-3000.0, 0.0, 5000.0, 4399.5, 10.0))]
+    df = spark.createDataFrame(rows, "query_id long, pos int, label double, logit double")
+    got = {r["query_id"]: r["loss"] for r in losses.plistmle_per_query(df, weight=None, eps=0.0).collect()}
+    for q in (1, 2):
+        x = [r[3] for r in rows if r[0] == q]
+        want = sum(np.logaddexp.reduce(x[i:]) - x[i] for i in range(len(x)))
+        assert got[q] == pytest.approx(want, rel=1e-9)

@@ -1,5 +1,7 @@
 """Pairs, in-batch negatives, and prediction quality against brute force."""
 
+import math
+
 import itertools
 from collections import Counter
 
@@ -163,3 +165,10 @@ def test_errors_and_report(spark):
     assert report["weighted avg"]["precision"] == pytest.approx((2 * 1.0 + 2 * 0.5) / 5)
     scores = df.select(F.col("label").cast("double").alias("label"), F.col("predicted").cast("double").alias("score"))
     assert only(quality.rmse(scores)) == pytest.approx(np.sqrt(2 / 5))
+
+
+def test_p_values_of_very_many_rows():
+    for n, rel in ((10**5, 1e-4), (10**7, 1e-6), (10**12, 1e-9)):
+        r = 2.0 / math.sqrt(n + 2.0)
+        assert quality.corr_pvalue(r, n) == pytest.approx(0.04550026389635842, rel=rel)
+    assert quality.corr_pvalue(0.5, 10**9) == 0

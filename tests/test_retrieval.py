@@ -182,26 +182,29 @@ def test_random_and_inclusive_mining(queries, corpus, positives):
     other = mining.mine_hard_negatives(positives, queries, corpus, seed=2, **options).collect()
     assert sorted(first) == sorted(again) != sorted(other)
     assert all(r["negative_rank"] <= 40 for r in first)
-    whole = mining.mine_hard_negatives(positives, queries, corpus, 30, include_positives=True)
+    whole = mining.mine_hard_negatives(positives, queries, corpus, 30, range_max=100, include_positives=True)
     assert whole.groupBy("query_id", "doc_id").count().where(F.col("count") != 30).count() == 0
     with pytest.raises(ValueError):
-        mining.mine_hard_negatives(positives, queries, corpus, sampling="best")
+        mining.mine_hard_negatives(positives, queries, corpus, range_max=9, sampling="best")
 
 
 def test_shapes(queries, corpus, positives):
-    mined = mining.mine_hard_negatives(positives, queries, corpus, 5, absolute_margin=0.2).cache()
+    mined = mining.mine_hard_negatives(positives, queries, corpus, 5, range_max=100, absolute_margin=0.2).cache()
     rows = mined.count()
     complete = mined.where(F.col("place") == 5).count()
-    pairs = mined.where(F.col("place") == 1).count()
+    pairs = positives.count()
+    assert mined.where(F.col("place") == 1).count() < pairs
     assert mining.shape_negatives(mined, "triplet").count() == rows
-    labels = mining.shape_negatives(mined, "labeled-pair").groupBy("label").count().collect()
+    labels = mining.shape_negatives(mined, "labeled-pair", pairs=positives).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in labels} == {1: pairs, 0: rows}
     tuples = mining.shape_negatives(mined, "n-tuple")
     assert tuples.count() == complete and tuples.where(F.size("negatives") != 5).count() == 0
-    lists = mining.shape_negatives(mined, "labeled-list")
+    lists = mining.shape_negatives(mined, "labeled-list", pairs=positives)
     assert lists.count() == pairs
     assert lists.where(F.size("docs") != F.size("labels")).count() == 0
     counted = mining.short_tuples(mined, positives).first()
     assert tuple(counted) == (positives.count(), positives.count() - complete)
     with pytest.raises(ValueError):
         mining.shape_negatives(mined, "wide")
+    with pytest.raises(ValueError):
+        mining.shape_negatives(mined, "labeled-pair")

@@ -61,27 +61,56 @@ CASES = {
 
 def table(df):
     names = sorted(df.columns)
-    return sorted(tuple(row[n] for n in names) for row in df.collect())
+    rows = [tuple(flat(row[n]) for n in names) for row in df.collect()]
+    return sorted(rows, key=lambda row: tuple((x is not None, 0 if x is None else x) for x in row))
+
+
+def flat(value):
+    """Lists of structs to one tuple of numbers."""
+    if isinstance(value, (list, tuple)):
+        return tuple(x for v in value for x in (flat(v) if isinstance(v, (list, tuple)) else (v,)))
+    return value
 
 
 def same(got, want):
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        assert a == b or a == pytest.approx(b, rel=1e-9, abs=1e-12)
+        for x, y in zip(a, b, strict=True):
+            assert x == y or x == pytest.approx(y, rel=1e-9, abs=1e-12)
+
+
+def odd(spark):
+    """The hot list has a NULL key, and some rows are there three times."""
+    df = skewed(spark).withColumn("query_id", F.when(F.col("query_id") > 0, F.col("query_id")))
+    some = df.where(F.col("doc_id") % 10 == 0)
+    return df.union(some).union(some)
+
+
+#: Cases whose rows follow from the values alone, also if rows or keys repeat.
+BY_QUERY = (
+    "positions", "hits", "softmax", "report", "ndcg", "ndcg_at_3", "dcg_at_3", "truncated_at_3", "rr_at_3",
+    "ap_at_3", "precision_at_3", "recall_at_3", "lambda_loss_at_3", "listnet", "above_mean", "lambda_loss",
+    "lambda_loss_in_blocks", "gradients", "gradients_in_blocks",
+)
+CASES["gradients_in_blocks"] = lambda df: gradients.lambda_gradients(df, block_rows=5)
 
 
-@pytest.mark.parametrize("case", CASES)
-def test_blocks_give_the_same_rows(spark, case):
-    from rankloom.plans.groups import GROUP_LIMIT_KEY
+@pytest.mark.parametrize("rows,case", [(skewed, c) for c in CASES] + [(odd, c) for c in BY_QUERY])
+def test_blocks_give_the_same_rows_and_schema(spark, monkeypatch, rows, case):
+    from rankloom.plans import groups
 
-    df = skewed(spark)
-    want = table(CASES[case](df))
-    spark.conf.set(GROUP_LIMIT_KEY, "7")
+    df = rows(spark)
+    whole = CASES[case.replace("_in_blocks", "")](df)
+    want = table(whole)
+    spark.conf.set(groups.GROUP_LIMIT_KEY, "7")
     try:
-        got = table(CASES[case](df))
+        for named in (groups.NAMED_GROUPS, 0):
+            monkeypatch.setattr(groups, "NAMED_GROUPS", named)
+            blocks = CASES[case](df)
+            same(table(blocks), want)
+            assert sorted(blocks.dtypes) == sorted(whole.dtypes)
     finally:
-        spark.conf.unset(GROUP_LIMIT_KEY)
-    same(got, want)
+        spark.conf.unset(groups.GROUP_LIMIT_KEY)
 
 
 def test_the_large_group_is_split(small_groups):

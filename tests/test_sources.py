@@ -86,7 +86,7 @@ def test_lists(spark):
     )
     flat = datasets.explode_lists(lists)
     assert flat.count() == 4
-    back = datasets.collect_lists(flat).drop("part")
+    back = datasets.collect_lists(flat).drop("part", "start")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, lists.collect()))
     parts = datasets.collect_lists(flat, items=2).orderBy("query_id", "part").collect()
     assert [(r["query_id"], r["part"], r["docs"]) for r in parts] == [
@@ -148,3 +148,23 @@ def test_streamed_corpus_resumes(spark, tmp_path):
         run = stream_corpus(read_documents(spark, source, docs.schema), length, target, name)
         run.awaitTermination()
         assert corpus.read_corpus(spark, target).count() == total
+
+
+def test_long_lists_go_on_in_parts(spark):
+    rows = [(q, i, f"d{i}", float(i)) for q in (1, 2) for i in range(11)]
+    flat = spark.createDataFrame(rows, "query_id long, pos long, doc string, label double")
+    parts = datasets.collect_lists(flat, items=5)
+    assert sorted(map(tuple, datasets.explode_lists(parts).collect())) == sorted(rows)
+    broken = parts.withColumn("labels", F.slice("labels", 1, 4))
+    assert sorted((r["query_id"], r["part"]) for r in datasets.validate_lists(broken).collect()) == [
+        (1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_features_beyond_the_width_are_an_error(spark):
+    from rankloom.functions.vectors import densify
+
+    df = spark.sql("select map(1, 1D, 5, 9D) as features")
+    assert df.select(densify(F.col("features"), 5)).first()[0] == [1, 0, 0, 0, 9]
+    for width in (3, 4):
+        with pytest.raises(Exception, match="feature index"):
+            df.select(densify(F.col("features"), width)).collect()
