@@ -50,7 +50,9 @@ def candidate_text_pairs(t: Tables):
 
 
 def _candidates(t: Tables):
-    return make_pairs(stage1(t, 20), vector_queries(t), t.documents)
+    asked = vector_queries(t)
+    found, shape = retrieval.retrieve_counted(asked, vector_corpus(t), 20)
+    return make_pairs(found, asked, t.documents, shape.n * 20)
 
 
 @query(f"with {CANDIDATES} select {RESULT} from final")

@@ -31,13 +31,14 @@ def densify(features: Column, n_features: int) -> Column:
 
 
 def cosine(left: Column, right: Column) -> Column:
-    """Cosine of two vectors, rounded so that equal vectors tie; 0 for a zero vector."""
+    """Cosine of two vectors, rounded so that equal vectors tie; 0 for a zero or non-finite vector."""
     def dot(a, b):
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
 
     norms = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
-    return F.when(norms > 0, F.round(dot(left, right) / norms, SCORE_DIGITS)).otherwise(0.0)
+    # NaN is larger than any number here.
+    return F.when((norms > 0) & (norms < float("inf")), F.round(dot(left, right) / norms, SCORE_DIGITS)).otherwise(0.0)
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:

@@ -44,7 +44,9 @@ class QueryShape:
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; zero rows stay zero, so their cosine is 0."""
+    """Rows scaled to length 1. Zero rows and rows that are not finite are zero, so their cosine is 0."""
+    finite = np.isfinite(vectors).all(axis=1, keepdims=True)
+    vectors = np.where(finite, vectors, 0.0)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(norms > 0, norms, 1.0)
 

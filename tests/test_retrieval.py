@@ -208,3 +208,16 @@ def test_shapes(queries, corpus, positives):
         mining.shape_negatives(mined, "wide")
     with pytest.raises(ValueError):
         mining.shape_negatives(mined, "labeled-pair")
+
+
+def test_vectors_that_are_not_finite_score_zero(spark):
+    from rankloom.functions.vectors import cosine
+    from rankloom.operators.retrieval import retrieve
+
+    bad = [[float("nan"), 1.0], [float("inf"), 1.0], [0.0, 0.0], [1.0, 2.0]]
+    docs = spark.createDataFrame(list(enumerate(bad)), "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    got = {r["doc_id"]: r["bi_score"] for r in retrieve(asked, docs, 4).collect()}
+    pairs = asked.select(F.col("embedding").alias("q")).join(docs)
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1}
+    assert {r["doc_id"]: r["c"] for r in pairs.select("doc_id", cosine(F.col("q"), F.col("embedding")).alias("c")).collect()} == got
