@@ -274,8 +274,9 @@ def rerank(
     order = by_score("cross_score", tiebreak)
     if k is None:
         sizes = known_groups(candidates, largest) if largest else None
-        return scan_groups(scored, [QUERY], order, rank="final_rank", sizes=sizes)
-    ranked = top_rows(scored, [QUERY], order, k, "final_rank")
+        ranked = scan_groups(scored, [QUERY], order, rank="final_rank", sizes=sizes)
+    else:
+        ranked = top_rows(scored, [QUERY], order, k, "final_rank")
     return ranked.withColumn("final_rank", F.col("final_rank").cast("int"))
 
 
