@@ -35,7 +35,7 @@ FAR_STEP, LENGTH_BOUND = 6, 64
 SLAB = 1 << 20
 
 DIGESTED = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double, part int, is_first boolean, is_last boolean, text string")
 
 
@@ -66,10 +66,15 @@ def codes(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return code
 
 
-def written(code: np.ndarray) -> str:
-    """Hexadecimal: the length code, then four buckets a byte."""
+def packed(code: np.ndarray) -> bytes:
+    """The length code, then four buckets a byte."""
     four = code[:-1].reshape(-1, 4).astype(np.uint8)
-    return bytes([code[-1], *(four << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8)]).hex()
+    return bytes([code[-1], *(four << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8)])
+
+
+def written(code: np.ndarray) -> str:
+    """The packed digest in hexadecimal."""
+    return packed(code).hex()
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
@@ -91,7 +96,7 @@ def compared(text: str, code: np.ndarray, following: str, next_code: np.ndarray)
     changed = edited(text, following)
     changed_code = codes(changed)
     return (
-        hashlib.sha256(changed.encode()).hexdigest(), written(changed_code),
+        hashlib.sha256(changed.encode()).digest(), packed(changed_code),
         likeness(code, changed_code), likeness(code, next_code))
 
 
@@ -104,7 +109,7 @@ def digest_with_next(docs: DataFrame) -> DataFrame:
     texts and are matched afterwards.
     """
     spark = docs.sparkSession
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in DIGESTED.split(", "))])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -130,7 +135,7 @@ def digest_with_next(docs: DataFrame) -> DataFrame:
         doc_id, text, code = doc
         sha, fingerprint, near, near_next = compared(text, code, *following) if following else (None,) * 4
         return (
-            doc_id, len(text), sha, written(code), fingerprint, near, near_next,
+            doc_id, len(text), sha, packed(code), fingerprint, near, near_next,
             part, first, following is None, text if first or following is None else None)
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,4 +160,6 @@ def digest_with_next(docs: DataFrame) -> DataFrame:
         .join(following, "part").join(heads, "next").select("doc_id", "text", "head", "part")
         .mapInArrow(join_ends, DIGESTED)
     )
-    return walked.filter("not is_last").union(ends).drop("part", "is_first", "is_last", "text")
+    hexadecimal = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    return walked.filter("not is_last").union(ends).select(
+        "doc_id", "n_chars", *hexadecimal, "near_edited", "near_next")
