@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2,048 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+    """Sequences of at most 2,048 tokens; their ids follow the order the mixing stage wrote."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0, in_order=True)
 
 
 STAGES = [

@@ -8,6 +8,13 @@ tree as an item of the size it has. ``fan_in`` groups meet in each round, until
 A group hands up at most ``carry`` bins, those with most room; others it hands out as
 they are. So a task holds at most ``fan_in * carry`` bins, and no piece is ever dropped.
 
+With ``in_order`` the order of the documents is kept as far as packing allows: groups are
+contiguous ranges of ``group_items`` pieces, neighbouring groups meet first, and
+``sequence_id`` is the number of the sequence's middle piece, so sequences in order of
+their ids follow the documents. A sequence closed in the first round holds pieces of one
+range; only bins carried up take pieces of further ones. The order is that of the files
+a table was written to (file number, then row), or of the partitions of any other table.
+
 Edge cases: a null text is an empty one, a piece of the end id alone; a null ``doc_id``
 stays null; repeated rows are packed each; an empty table gives no pieces; further
 columns are not read.
@@ -21,42 +28,78 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import stored, whole_text
 from rankloom.llm.tokens import IDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long, used long, grp long, open boolean"
+ORDERED = f"{PIECES}, at string, row long"
+PACKED = f"{PIECES}, number long, sequence_id long, offset long, used long, grp long, open boolean"
 #: Bits of a sequence id for the bin within its group, and for the group within its round.
 BIN_BITS, GROUP_BITS = 20, 36
+#: Bits of Spark's monotonic ids for the row within its partition.
+ROW_BITS = 33
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at, row): where each row stands, by its file or else by its partition."""
+    columns = [F.col("doc_id"), whole_text().alias("text")]
+    name = F.col("_metadata.file_name")
+    try:  # file numbers have five digits or more, so shorter names come first
+        return docs.select(
+            *columns, F.concat(F.lpad(F.length(name).cast("string"), 4, "0"), name).alias("at"),
+            F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs.select(*columns, F.lit("").alias("at"), F.monotonically_increasing_id().alias("row"))
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
+def cut_documents(
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, in_order: bool = False,
+) -> DataFrame:
     """The pieces of all (doc_id, text), in the partitions where the texts are."""
     kinds = pa.schema([
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
         ("length", pa.int64()), ("ids_crc32", pa.int64()),
+        *([("at", pa.string()), ("row", pa.int64())] if in_order else []),
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.asarray([end_id], IDS).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for doc_id, text, *place in zip(*[column.to_pylist() for column in batch.columns], strict=True):
                 ids = memoryview(encode.ids(text) + end)
                 for piece, at in enumerate(range(0, len(ids), capacity * IDS.itemsize)):
                     part = ids[at:at + capacity * IDS.itemsize]
                     rows.append((
-                        doc_id, piece, at // IDS.itemsize, len(part) // IDS.itemsize, zlib.crc32(part)))
+                        doc_id, piece, at // IDS.itemsize, len(part) // IDS.itemsize, zlib.crc32(part), *place))
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, kind) for x, kind in zip(columns, kinds.types, strict=True)], schema=kinds)
 
+    if in_order:
+        return with_places(docs).mapInArrow(cut, ORDERED)
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(cut, PIECES)
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces with places become pieces with a ``number`` from 0 in that order."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["at", "row", "piece"]
+    sorted_ = stored(
+        pieces.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        .withColumn("place", F.monotonically_increasing_id()).drop("at", "row"), "ordered-pieces"
+    ).withColumn("part", F.shiftright("place", ROW_BITS))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sorted_.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(  # one row per task
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("place").bitwiseAND((1 << ROW_BITS) - 1)
+    return sorted_.join(F.broadcast(offsets), "part").withColumn("number", number).drop("part", "place", "before")
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item: the largest first, each into the fullest bin that takes it.
 
@@ -88,34 +131,40 @@ def pack(
     pieces: DataFrame, capacity: int, group_items: int = 8192, fan_in: int = 8,
     nearly_full: float = 0.99, carry: int = 4096,
 ) -> DataFrame:
-    """``pieces`` with sequence_id and the offset there."""
+    """``pieces`` with sequence_id and the offset there; in order if they have a ``number``."""
     n = pieces.count()
     groups = max(1, -(-n // group_items))
+    in_order = "number" in pieces.columns
+    if in_order:
+        group = F.floor(F.col("number") / group_items)
+    else:
+        pieces = pieces.withColumn("number", F.lit(None).cast("long"))
+        group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
     rows = pieces.select(
-        "*", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("grp"),
+        "*", group.alias("grp"),
         F.monotonically_increasing_id().alias("item"), F.lit(0).cast("long").alias("inner"),
     )
     closed, level = [], 0
     while True:
         packed = stored(
             rows.groupBy("grp").applyInPandas(
-                _packer(capacity, level, 0 if groups == 1 else carry, nearly_full), PACKED),
+                _packer(capacity, level, 0 if groups == 1 else carry, nearly_full, in_order), PACKED),
             "packed")
         closed.append(packed.filter(~F.col("open")))
         if groups == 1:
             break
         groups, level = -(-groups // fan_in), level + 1
         rows = packed.filter("open").select(
-            *[x.split()[0] for x in PIECES.split(", ")], F.floor(F.col("grp") / fan_in).alias("grp"),
+            *[x.split()[0] for x in PIECES.split(", ")], "number", F.floor(F.col("grp") / fan_in).alias("grp"),
             F.col("sequence_id").alias("item"), F.col("offset").alias("inner"),
         )
     out = closed[0]
     for more in closed[1:]:
         out = out.union(more)
-    return out.drop("used", "grp", "open")
+    return out.drop("used", "grp", "open", "number")
 
 
-def _packer(capacity: int, level: int, carry: int, nearly_full: float):
+def _packer(capacity: int, level: int, carry: int, nearly_full: float, in_order: bool):
     """Packs the items of a group. An item is a piece, or a bin of the round before."""
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,9 +179,12 @@ def _packer(capacity: int, level: int, carry: int, nearly_full: float):
         is_open = np.zeros(len(used), bool)
         is_open[roomy] = used[roomy] < nearly_full * capacity
         group = int(rows["grp"].iloc[0])
-        name = (level << GROUP_BITS | group) << BIN_BITS
+        if in_order:
+            names = _middle(bins[which], rows["number"].to_numpy(np.int64))
+        else:
+            names = ((level << GROUP_BITS | group) << BIN_BITS) + np.arange(len(used))
         return rows.drop(columns=["item", "inner"]).assign(
-            sequence_id=name + bins[which],
+            sequence_id=names[bins[which]],
             offset=offsets[which] + rows["inner"].to_numpy(),
             used=used[bins][which], grp=group, open=is_open[bins][which],
         )[[x.split()[0] for x in PACKED.split(", ")]]
@@ -140,6 +192,16 @@ def _packer(capacity: int, level: int, carry: int, nearly_full: float):
     return packed
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, **tree) -> DataFrame:
+def _middle(bins: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """For each bin the number of its middle piece: no other bin has it."""
+    order = np.lexsort((numbers, bins))
+    counts = np.bincount(bins)
+    return numbers[order][np.cumsum(counts) - counts + (counts - 1) // 2]
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, in_order: bool = False, **tree,
+) -> DataFrame:
     """Tokenise, cut and pack whole documents; texts are tokenised once."""
-    return pack(stored(cut_documents(docs, tokenizer, capacity, end_id), "pieces"), capacity, **tree)
+    pieces = stored(cut_documents(docs, tokenizer, capacity, end_id, in_order), "pieces")
+    return pack(numbered(pieces) if in_order else pieces, capacity, **tree)

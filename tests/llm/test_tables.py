@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from rankloom.llm import graph_index, mixing, sharding
+from rankloom.llm import graph_index, mixing, packing, sharding
+from rankloom.llm.common import stored
 from rankloom.llm.components import components
 from tests.conftest import SMALL
 from tests.llm.common import SCHEMA, no_documents, odd_documents, odd_rows
@@ -157,3 +158,42 @@ def test_pipeline_stages_take_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, SMALL).count() > 0, name
         assert stage(spark, no_documents(spark), SMALL).count() == 0, name
+
+
+def test_sequences_follow_the_mixed_order(spark):
+    """Any prefix of sequences has the target shares up to one group of pieces."""
+    rows = [(i, f"w{i % 7} " * 60, "en", "big" if i % 8 else "small", 1) for i in range(8000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+    def shares(mixed):
+        packed = packing.pack_documents(
+            stored(mixed, "test-mixed"), corpus_pipeline.vocabulary("word_bpe_49k.json"),
+            capacity=512, in_order=True, group_items=200).collect()
+        assert sorted(r["doc_id"] for r in packed) == list(range(8000))
+        room = collections.Counter()
+        for r in packed:
+            room[r["sequence_id"]] += r["length"]
+        assert max(room.values()) <= 512
+        small = [r["doc_id"] % 8 == 0 for r in sorted(packed, key=lambda r: r["sequence_id"])]
+        return np.cumsum(small)
+
+    weights = {"big": 3, "small": 1}  # small is used up after 4,000 documents
+    got = shares(mixing.in_mixed_order(docs, weights=weights, block_rows=10))
+    seen = np.arange(1, 4001)
+    assert np.abs(got[:4000] - seen / 4)[:3800].max() <= 200
+    plain = shares(docs.orderBy("doc_id"))
+    assert np.abs(plain[:4000] - seen / 4)[:3800].max() > 400
+
+
+def test_the_mixing_stage_changes_the_sequences(spark):
+    rows = [(i, f"w{i} " * 300, "en", "big" if i % 8 else "small", 1) for i in range(2000)]
+    docs = stored(spark.createDataFrame(rows, SCHEMA).orderBy("doc_id"), "test-docs")
+    mixed = stored(corpus_pipeline.mix_sources(spark, docs, SMALL), "test-mixed")
+
+    def sources(table):
+        packed = corpus_pipeline.pack(spark, table, SMALL).orderBy("sequence_id", "offset").collect()
+        return [rows[r["doc_id"]][3] for r in packed]
+
+    target = 250 ** 0.5 / (250 ** 0.5 + 1750 ** 0.5)
+    with_it, without = (sources(t)[:800].count("small") / 800 for t in (mixed, docs))
+    assert abs(with_it - target) < 0.05 < abs(without - target)
