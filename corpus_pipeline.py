@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest ``doc_id`` stays."""
-    kept = minmax.near_duplicates(docs, threshold=85, words=5).filter("kept").select("doc_id")
+    kept = minmax.near_duplicates(docs, threshold=80, words=5).filter("kept").select("doc_id")
     ids = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"))
     same = F.col("id").eqNullSafe(F.col("doc_id"))
     return ids.join(kept, same, "left_semi").select("doc.*").select(*COLUMNS)

@@ -2,9 +2,10 @@
 
 1. Each text becomes the set of the hashes of its five-word shingles. Texts with equal
    sets are one class, so copies cost no further work, however many there are.
-2. Each permutation gives two values, the least and the greatest; bands of ``BAND`` values
-   are hashed into buckets. A pair at the threshold shares none of the 26 bands with a
-   probability of about 5 in a million, more alike pairs far less often.
+2. Each permutation gives two values, the least and the greatest; bands of these values
+   are hashed into buckets. Bands are as wide as the threshold allows (``layout``): a pair
+   at the threshold shares no band with a probability of at most ``MISSED``, 5 in a million,
+   more alike pairs far less often. At 85 % these are 26 bands of 6 values, at 80 % 32 of 5.
 3. Buckets with the same members are worked on once. A bucket is a task's group; one of
    more than ``tile`` classes is cut into tiles, and every two tiles meet. The group
    counts the shared shingles of its members on the whole sets and returns, for those it
@@ -21,6 +22,7 @@ gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,10 @@ from rankloom.llm.common import stored, whole_text
 from rankloom.llm.components import components
 
 WORDS = 5
-#: Permutations (each gives two values), and values per band.
-PERMUTATIONS, BAND = 80, 6
-BANDS = 2 * PERMUTATIONS // BAND
+#: Permutations (each gives two values); low thresholds take more.
+PERMUTATIONS = 80
+#: Bound of the probability that a pair at the threshold shares no band.
+MISSED = 5e-6
 #: Shingles permuted at once, and bytes of text split at once.
 SLAB, PIECE = 1 << 14, 1 << 22
 #: Ids of classes in buckets go to the tasks whole only up to this number (8 bytes each).
@@ -50,10 +53,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and summands."""
-    numbers = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return numbers[:PERMUTATIONS] | np.uint64(1), numbers[PERMUTATIONS:]
+def layout(threshold: float) -> tuple[int, int, int]:
+    """(permutations, bands, values per band) for a threshold in percent: the widest bands within ``MISSED``."""
+    if not 0 < threshold <= 100:
+        raise ValueError(f"a threshold in percent, above 0 and up to 100: {threshold}")
+    alike = threshold / 100
+    for width in range(PERMUTATIONS, 0, -1):
+        bands = 2 * PERMUTATIONS // width
+        if (1 - alike ** width) ** bands <= MISSED:
+            return PERMUTATIONS, bands, width
+    bands = math.ceil(math.log(MISSED) / math.log1p(-alike))
+    return -(-bands // 2), bands, 1
+
+
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` odd factors and summands."""
+    numbers = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return numbers[:n] | np.uint64(1), numbers[n:]
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -83,22 +99,23 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed(total)).astype(HASH)
 
 
-def band_hashes(shingle_set: np.ndarray) -> list[int]:
-    """One hash per band of the min-max signature."""
-    factors, summands = permutations()
-    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    greatest = np.zeros(PERMUTATIONS, np.uint64)
+def band_hashes(shingle_set: np.ndarray, count: int, bands: int, width: int) -> list[int]:
+    """One hash per band of the min-max signature, for a ``layout``."""
+    factors, summands = permutations(count)
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    greatest = np.zeros(count, np.uint64)
     for at in range(0, len(shingle_set), SLAB):
         values = shingle_set[None, at:at + SLAB] * factors[:, None] + summands[:, None]
         least = np.minimum(least, values.min(axis=1))
         greatest = np.maximum(greatest, values.max(axis=1))
-    signature = np.concatenate([least, greatest])[:BANDS * BAND].reshape(BANDS, BAND).astype(HASH)
+    signature = np.concatenate([least, greatest])[:bands * width].reshape(bands, width).astype(HASH)
     hashes = [xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(signature)]
     return np.array(hashes, np.uint64).view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS, threshold: float = 85) -> DataFrame:
     """(doc_id, key, n_shingles, bands); the key of a set is null if it is empty."""
+    shape = layout(threshold)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -109,7 +126,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 found = shingles(text, words)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                bands.append(band_hashes(found) if len(found) else None)
+                bands.append(band_hashes(found, *shape) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch[0], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.array(bands, schema.field("bands").type)], schema=schema)
@@ -199,7 +216,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
 
     Linked are texts of which ``threshold`` percent of all shingles are shared.
     """
-    signed = stored(signatures(docs, words), "min-max")
+    signed = stored(signatures(docs, words, threshold), "min-max")
     classes = stored(
         signed.filter(F.col("key").isNotNull()).groupBy("key").agg(
             F.min("doc_id").alias("id"), F.first("bands").alias("bands"),

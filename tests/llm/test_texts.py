@@ -10,9 +10,10 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from rankloom.llm import digests, line_runs, minmax, queries, secret_scan, toxicity
 from tests.conftest import SMALL
-from tests.llm.common import CLASHES, no_documents, odd_documents, odd_rows, unique_documents, unique_rows
+from tests.llm.common import CLASHES, SCHEMA, no_documents, odd_documents, odd_rows, unique_documents, unique_rows
 
 PATTERNS = (
     re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -211,3 +212,28 @@ def test_line_query_equals_its_sql(spark):
     found = duck(SMALL).execute(queries.SQL["op6_line_dedup"])
     names = [x[0] for x in found.description]
     assert table_of(df.columns, [tuple(r) for r in df.collect()]) == table_of(names, found.fetchall())
+
+
+def test_near_duplicates_between_80_and_85_percent(spark):
+    """One changed word in texts of 50 to 65 words: 0.804 to 0.848; the pipeline's stage drops the copies."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for length in (48, 50, 55, 60, 65):  # 48 words: 0.796, so both stay
+        for _ in range(6):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, length)]
+            for _ in range(2):
+                texts[len(texts)] = " ".join(words)
+                words[length // 2] = "other"
+    want = near_classes(texts, threshold=80)
+    assert {c for i, (_, c) in want.items() if i >= 12} == set(range(12, 60, 2))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()}
+    assert kept == {c for _, c in want.values()}
+
+
+@pytest.mark.parametrize("threshold", [2, 10, 50, 80, 85, 99])
+def test_bands_follow_the_threshold(threshold):
+    count, bands, width = minmax.layout(threshold)
+    assert bands * width <= 2 * count
+    assert (1 - (threshold / 100) ** width) ** bands <= 5e-6
+    assert minmax.layout(85) == (80, 26, 6)
