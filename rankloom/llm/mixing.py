@@ -2,16 +2,18 @@
 
 The documents of a source are cut into blocks of ``block_rows``. With a weight w (shares
 sum to 1), block j of a source is released at slot floor(j / w) and due by slot
-ceil((j + 1) / w); each slot takes the released block that is due first. The weights are
-rounded to fractions of ``period`` slots, so the schedule repeats: only one period is
-computed, on the driver, and every block finds its slot by arithmetic. At any slot a
-source is less than one block away from its share.
+ceil((j + 1) / w); each slot takes the released block that is due first. Weights are exact
+fractions. At any slot of the run a source is less than one block away from its share.
+
+The driver runs the schedule once, one heap step for each block, and keeps only how many
+blocks of each source are done where a stretch of ``period`` slots begins. Tasks run the
+stretches again from there and hand out the slots.
 
 Sources are finite. When one runs out, the weights of the others are scaled up and a new
 phase begins, so there are at most as many phases as sources. No document is dropped.
 
 Edge cases: a null source is a source of its own; a source without a weight gets
-``default_weight``; a null ``doc_id`` comes first; repeated rows get places of their own;
+``default_weight``; sources of weight zero come after all others, in equal shares; a null ``doc_id`` comes first; repeated rows get places of their own;
 an empty table gives no rows; further columns pass through ``in_mixed_order`` unchanged.
 """
 
@@ -19,10 +21,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +34,8 @@ from rankloom.llm.common import stored
 
 #: Rows of a source are numbered in so many buckets at least; a bucket has about so many rows.
 BUCKET_ROWS = 50_000
+#: Slots of blocks go to the tasks whole only up to this number (20 bytes each).
+BROADCAST_BLOCKS = 1_000_000
 
 
 def whole_weights(weights: dict, period: int) -> dict:
@@ -47,56 +53,109 @@ def whole_weights(weights: dict, period: int) -> dict:
 
 def one_period(slots: dict, period: int) -> dict[object, list[int]]:
     """The slots of each source's blocks in one period, earliest deadline first."""
-    released: list[list[tuple]] = [[] for _ in range(period)]
     names = sorted(slots, key=str)
-    for k, s in enumerate(names):
-        for j in range(slots[s]):
-            released[j * period // slots[s]].append((-(-(j + 1) * period // slots[s]), k, j))
     places: dict[object, list[int]] = {s: [] for s in slots}
-    ready: list[tuple] = []
-    for slot in range(period):
-        for block in released[slot]:
-            heapq.heappush(ready, block)
-        if ready:
-            places[names[heapq.heappop(ready)[1]]].append(slot)
+    for slot, (k, _) in enumerate(Pfair([slots[s] for s in names], period).run([0] * len(names), 0)):
+        places[names[k]].append(slot)
     return places
 
 
+def exact_shares(weights: list) -> list[int]:
+    """Whole numbers in the exact proportion of the weights; equal ones if all are zero."""
+    exact = [Fraction(w) for w in weights]
+    if min(exact) < 0:
+        raise ValueError("weights are not negative")
+    if not any(exact):
+        return [1] * len(exact)
+    scale = math.lcm(*[x.denominator for x in exact])
+    return [int(x * scale) for x in exact]
+
+
+@dataclass(frozen=True)
+class Pfair:
+    """Sources with ``shares`` of the slots, scheduled by stretches of ``length`` slots."""
+
+    shares: list[int]
+    length: int
+
+    def run(self, done: list[int], at: int) -> list[tuple[int, int]]:
+        """(source, block) of each slot of the stretch from ``at``, where ``done`` blocks are placed."""
+        shares, total = self.shares, sum(self.shares)
+        coming = [(j * total // w, k, j) for k, (j, w) in enumerate(zip(done, shares, strict=True))]
+        heapq.heapify(coming)
+        ready: list[tuple] = []
+        taken = []
+        for slot in range(at, at + self.length):
+            while coming and coming[0][0] <= slot:
+                _, k, j = heapq.heappop(coming)
+                heapq.heappush(ready, (-(-(j + 1) * total // shares[k]), k, j))
+            _, k, j = heapq.heappop(ready)  # more blocks are released than slots have passed
+            taken.append((k, j))
+            heapq.heappush(coming, ((j + 1) * total // shares[k], k, j + 1))
+        return taken
+
+
 @dataclass(frozen=True)
 class Phase:
-    """Sources that still have blocks: where their first block here counts from, and their slots."""
+    """Sources (by number) that still have blocks, until the first of them ends.
+
+    ``states`` has the blocks of this phase done where each stretch begins.
+    """
 
     start: int
-    first: dict
-    places: dict[object, list[int]]
-    period: int
-
-
-def schedule(blocks: dict, weights: dict, period: int) -> list[Phase]:
-    """The phases until every source has placed its number of blocks."""
-    done, start, phases = dict.fromkeys(blocks, 0), 0, []
-    while alive := {s: n for s, n in blocks.items() if done[s] < n}:
-        length = max(period, 4 * len(alive))
-        places = one_period(whole_weights({s: weights[s] for s in alive}, length), length)
-        phases.append(Phase(start, {s: done[s] for s in alive}, places, length))
-        end = min(_slot_of(n - done[s] - 1, places[s], length) for s, n in alive.items()) + 1
-        for s in alive:
-            whole, rest = divmod(end, length)
-            done[s] += whole * len(places[s]) + sum(x < rest for x in places[s])
-        start += end
+    slots: int
+    numbers: list[int]
+    first: list[int]
+    pfair: Pfair
+    states: list[list[int]]
+    ended: int
+
+
+def schedule(blocks: list[int], weights: list, period: int) -> list[Phase]:
+    """The phases until every source, by number, has placed its number of blocks."""
+    done, start, phases = [0] * len(blocks), 0, []
+    while alive := [k for k, n in enumerate(blocks) if done[k] < n]:
+        shares = exact_shares([weights[k] for k in alive])
+        alive, shares = zip(*[(k, w) for k, w in zip(alive, shares, strict=True) if w], strict=True)
+        pfair = Pfair(list(shares), max(period, 4 * len(alive)))
+        first, state, states, slots, ended = [done[k] for k in alive], [0] * len(alive), [], 0, None
+        while ended is None:
+            states.append(list(state))
+            for i, j in pfair.run(state, slots):
+                state[i], slots = j + 1, slots + 1
+                if first[i] + j + 1 == blocks[alive[i]]:
+                    ended = alive[i]
+                    break
+        phases.append(Phase(start, slots, list(alive), first, pfair, states, ended))
+        for k, n, m in zip(alive, first, state, strict=True):
+            done[k] = n + m
+        start += slots
     return phases
 
 
-def _slot_of(j: int, places: list[int], period: int) -> int:
-    return j // len(places) * period + places[j % len(places)]
+STRETCHES = "phase int, at long, done array<long>"
+
+
+def slot_table(spark: SparkSession, phases: list[Phase]) -> DataFrame:
+    """(source_no, block, slot) of every block; each stretch of each phase is a row of work."""
+    length = [phase.pfair.length for phase in phases]
+    work = [(i, m * length[i], done) for i, phase in enumerate(phases) for m, done in enumerate(phase.states)]
+    plans = [replace(phase, states=[]) for phase in phases]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, at, done in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                plan = plans[i]
+                taken = plan.pfair.run(done, at)[:plan.slots - at]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([plan.numbers[k] for k, _ in taken], pa.int32()),
+                    pa.array([plan.first[k] + j for k, j in taken], pa.int64()),
+                    pa.array(range(plan.start + at, plan.start + at + len(taken)), pa.int64()),
+                ], ["source_no", "block", "slot"])
+
+    return spark.createDataFrame(work, STRETCHES).mapInArrow(place, "source_no int, block long, slot long")
 
 
-PHASES = T.StructType([
-    T.StructField("source_no", T.IntegerType()), T.StructField("phase", T.IntegerType()),
-    T.StructField("first", T.LongType()), T.StructField("until", T.LongType()),
-    T.StructField("start", T.LongType()), T.StructField("period", T.IntegerType()),
-    T.StructField("places", T.ArrayType(T.IntegerType())),
-])
 SOURCES = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.IntegerType())])
 
 
@@ -119,10 +178,10 @@ def mix(
         target = {s: n ** temperature for s, n in sizes.items()}
     else:
         target = {s: weights.get(s, default_weight) for s in sizes}
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    phases = schedule(blocks, target, period)
     names = sorted(sizes, key=lambda s: (s is not None, s))
     number = {s: i for i, s in enumerate(names)}
+    blocks = [-(-sizes[s] // block_rows) for s in names]
+    phases = schedule(blocks, [target[s] for s in names], period)
 
     buckets = max(1, -(-sum(sizes.values()) // BUCKET_ROWS))
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -140,37 +199,24 @@ def mix(
         "k", F.row_number().over(Window.partitionBy("source_no", "bucket").orderBy("doc_id")) - 1,
     ).join(offsets, ["source_no", "bucket"]).withColumn("index", F.col("before") + F.col("k"))
 
-    table = []
-    for i, phase in enumerate(phases):
-        later = phases[i + 1].first if i + 1 < len(phases) else {}
-        for s, first in phase.first.items():
-            table.append((number[s], i, first, later.get(s, blocks[s]), phase.start, phase.period, phase.places[s]))
-    # At most sources times phases rows: bounded by the square of the number of sources.
-    by_phase = spark.createDataFrame(table, PHASES)
-    placed = (
-        numbered.withColumn("block", F.floor(F.col("index") / block_rows))
-        .join(F.broadcast(by_phase), "source_no")
-        .filter((F.col("block") >= F.col("first")) & (F.col("block") < F.col("until")))
-    )
-    j, size = F.col("block") - F.col("first"), F.size("places")
-    slot = F.col("start") + F.floor(j / size) * F.col("period") + F.get("places", F.pmod(j, size).cast("int"))
+    slots = slot_table(spark, phases)
+    if sum(blocks) <= BROADCAST_BLOCKS:
+        slots = F.broadcast(slots)
+    placed = numbered.withColumn("block", F.floor(F.col("index") / block_rows).cast("long")).join(
+        slots, ["source_no", "block"])
     # Every slot holds block_rows documents, but for the last block of a source.
-    short = sorted(
-        (_last_slot(phases, s, blocks[s]), blocks[s] * block_rows - n)
-        for s, n in sizes.items() if n % block_rows)
+    short = []
+    for phase in phases:  # a phase ends with the last block of a source
+        n = sizes[names[phase.ended]]
+        if n % block_rows:
+            short.append((phase.start + phase.slots - 1, blocks[phase.ended] * block_rows - n))
     missing = sum((F.when(F.col("slot") > at, n).otherwise(0) for at, n in short), F.lit(0))
-    return placed.withColumn("slot", slot.cast("long")).select(
-        *keys, F.col("index").cast("long").alias("index"), F.col("block").cast("long").alias("block"), "slot",
+    return placed.select(
+        *keys, F.col("index").cast("long").alias("index"), "block", "slot",
         (F.col("slot") * block_rows + F.pmod(F.col("index"), F.lit(block_rows)) - missing).cast("long").alias("position"),
     )
 
 
-def _last_slot(phases: list[Phase], source, blocks: int) -> int:
-    """The slot of a source's last block."""
-    phase = [p for p in phases if source in p.first][-1]
-    return phase.start + _slot_of(blocks - 1 - phase.first[source], phase.places[source], phase.period)
-
-
 def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
     """The whole rows of ``docs`` in mixed order: range-partitioned and sorted by position.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -197,3 +198,40 @@ def test_the_mixing_stage_changes_the_sequences(spark):
     target = 250 ** 0.5 / (250 ** 0.5 + 1750 ** 0.5)
     with_it, without = (sources(t)[:800].count("small") / 800 for t in (mixed, docs))
     assert abs(with_it - target) < 0.05 < abs(without - target)
+
+
+@pytest.mark.parametrize("weights", [
+    [40_000 ** 0.5, 900_000 ** 0.5, 11 ** 0.5, 3_000_000 ** 0.5, 77 ** 0.5, 1_500_000 ** 0.5, 560_000 ** 0.5],
+    [0.0005, 0.9995], [1.0], [1, 1, 1], [0.01] * 10 + [0.5, 0.2, 0.2], [1e-4, 3e-4, 0.123, 0.4, 0.4766]])
+@pytest.mark.parametrize("length", [64, 1024])
+def test_shares_hold_against_the_target_weights_over_many_periods(weights, length):
+    plan = mixing.Pfair(mixing.exact_shares(weights), max(length, 4 * len(weights)))
+    taken, state = [], [0] * len(weights)
+    while len(taken) < 40_000:
+        for k, j in plan.run(state, len(taken)):
+            state[k] = j + 1
+            taken.append((k, j))
+    done = np.zeros((len(taken), len(weights)))
+    done[np.arange(len(taken)), [k for k, _ in taken]] = 1
+    done = np.cumsum(done, axis=0)
+    assert all(done[i, k] == j + 1 for i, (k, j) in enumerate(taken))
+    shares = [Fraction(w) for w in weights]
+    for k, w in enumerate(shares):  # in fractions: the bound is strict
+        assert all(abs(int(n) * sum(shares) - slot * w) < sum(shares) for slot, n in enumerate(done[:, k], 1))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_a_mixed_table_holds_its_target_weights(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    docs = spark.range(12_000).selectExpr(
+        "id as doc_id", "case when id < 9000 then 'a' when id < 11990 then 'b' else 'c' end as source")
+    weights = {"a": 0.7495, "b": 0.25, "c": 0.0005}
+    rows = mixing.mix(docs, weights, block_rows=1, period=16).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(12_000)) == [r["slot"] for r in rows]
+    alive = next(i for i, r in enumerate(rows) if r["source"] == "b" and r["index"] == 2989)
+    for source, share in weights.items():
+        done = np.cumsum([r["source"] == source for r in rows[:alive + 1]])
+        assert np.abs(done - share * np.arange(1, alive + 2)).max() < 1
+    for r in mixing.mix(docs, {"a": 1, "b": 1, "c": 0}, block_rows=7).collect():
+        assert r["source"] != "c" or r["position"] >= 11_990
