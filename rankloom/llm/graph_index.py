@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Vectors are dealt to shards of bounded size. Within a shard every vector starts from random
+Vectors are dealt to shards of bounded size. A shard's graph is over its distinct vectors;
+each has the list of its ids, which a search expands, the smallest first. All is
+done in double precision on centred, scaled vectors, so no two become one. Every vector starts from random
 edges; greedy beam searches through the graph so far propose neighbours, and relaxed
 distance pruning keeps those that no kept edge makes needless: a candidate goes if a kept
 neighbour is closer to it, times ``relax``, than the vector itself. Edges run back as
@@ -154,7 +156,10 @@ def _link_back(data: np.ndarray, edges: np.ndarray, block: np.ndarray, degree: i
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE,
                 beam: int = BEAM, relax: float = RELAX) -> DataFrame:
-    """(shard, ids, vectors, edges, start): one row per shard, arrays as bytes. Every vector is in it."""
+    """(shard, ids, begin, vectors, edges, start): one row per shard, arrays as bytes. Every vector is in it.
+
+    ``vectors`` are distinct; those of place i have the ids from ``begin[i]`` to ``begin[i + 1]``.
+    """
     rows = stored(
         vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
             F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")), "vectors")
@@ -167,23 +172,29 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int =
     def build(key, rows):
         ids = rows["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        data = np.stack(rows["v"].to_numpy()[order])
-        edges, start = build_graph(_scaled(data), degree, beam, relax)
+        places: dict[bytes, list[int]] = {}
+        for vec_id, v in zip(ids[order].tolist(), rows["v"].to_numpy()[order], strict=True):
+            places.setdefault((v + 0.0).astype("<f8").tobytes(), []).append(vec_id)  # -0.0 is 0.0
+        data = np.stack([np.frombuffer(v, "<f8") for v in places])
+        edges, start = build_graph(_framed(data, data), degree, beam, relax)
         import pandas as pd
 
         return pd.DataFrame([{
-            "shard": int(key[0]), "ids": ids[order].astype("<i8").tobytes(),
+            "shard": int(key[0]), "ids": np.concatenate(list(places.values())).astype("<i8").tobytes(),
+            "begin": np.cumsum([0, *map(len, places.values())]).astype("<i8").tobytes(),
             "vectors": data.astype("<f8").tobytes(), "edges": edges.astype("<i4").tobytes(),
             "start": start, "width": data.shape[1],
         }])
 
     return stored(dealt.groupBy("shard").applyInPandas(
-        build, "shard long, ids binary, vectors binary, edges binary, start int, width int"), "graph-index")
+        build, "shard long, ids binary, begin binary, vectors binary, edges binary, start int, width int"), "graph-index")
 
 
-def _scaled(data: np.ndarray) -> np.ndarray:
-    """Single precision within range; a common factor changes no order."""
-    return (data / max(np.abs(data).max(), 1e-300)).astype(np.float32)
+def _framed(points: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``points`` in the frame of ``data``: centred and within range, which changes no order."""
+    scale = max(np.abs(data).max(), 1e-300)
+    centre = (data / scale).mean(axis=0)
+    return (points / scale - centre) / max(np.abs(data / scale - centre).max(), 1e-300)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, block_rows: int = BLOCK) -> DataFrame:
@@ -200,33 +211,34 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM,
     shards = [row["shard"] for row in index.select("shard").collect()]  # one number per shard
     meeting = grouped.select("queries", F.explode(F.array(*[F.lit(s) for s in shards]) if shards else F.array().cast(
         "array<bigint>")).alias("shard")).join(index, "shard").select(
-        "ids", "vectors", "edges", "start", "width", "queries")
+        "ids", "begin", "vectors", "edges", "start", "width", "queries")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, vectors, edges, start, width, queries = (batch[c][i].as_py() for c in range(6))
-                yield found_in(ids, vectors, edges, start, width, queries)
+                yield found_in(*(batch[c][i].as_py() for c in range(7)))
 
-    def found_in(ids, vectors, edges, start, width, queries) -> pa.RecordBatch:
-        ids = np.frombuffer(ids, "<i8")
+    def found_in(ids, begin, vectors, edges, start, width, queries) -> pa.RecordBatch:
+        ids, begin = np.frombuffer(ids, "<i8"), np.frombuffer(begin, "<i8")
         data = np.frombuffer(vectors, "<f8").reshape(-1, width)
-        edges = np.frombuffer(edges, "<i4").reshape(len(ids), -1).astype(np.int64)
+        edges = np.frombuffer(edges, "<i4").reshape(len(data), -1).astype(np.int64)
         queries = [x for x in queries if len(x["q"]) == width]
         if not queries:
             return result([], [], [])
         asked = np.array([x["q"] for x in queries])
-        scale = max(np.abs(data).max(), 1e-300)
-        places, _ = beam_search(
-            (data / scale).astype(np.float32), edges, start, (asked / scale).astype(np.float32), max(beam, 2 * k))
+        places, _ = beam_search(_framed(data, data), edges, start, _framed(asked, data), max(beam, 2 * k))
         out: tuple[list, list, list] = ([], [], [])
         for i, query in enumerate(queries):
-            here = places[i][places[i] < len(ids)]
-            here = here[ids[here] != query["query_id"]]
+            here = places[i][places[i] < len(data)]
             exact = np.sqrt(((data[here] - asked[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[here], exact))[:k]
+            counts = begin[here + 1] - begin[here]
+            rows = np.repeat(begin[here] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            mine, exact = ids[rows], np.repeat(exact, counts)
+            other = mine != query["query_id"]
+            mine, exact = mine[other], exact[other]
+            best = np.lexsort((mine, exact))[:k]
             out[0].extend([query["query_id"]] * len(best))
-            out[1].extend(ids[here][best].tolist())
+            out[1].extend(mine[best].tolist())
             out[2].extend(exact[best].tolist())
         return result(*out)
 

@@ -235,3 +235,33 @@ def test_a_mixed_table_holds_its_target_weights(spark, monkeypatch, few):
         assert np.abs(done - share * np.arange(1, alive + 2)).max() < 1
     for r in mixing.mix(docs, {"a": 1, "b": 1, "c": 0}, block_rows=7).collect():
         assert r["source"] != "c" or r["position"] >= 11_990
+
+
+def test_pairs_of_a_small_table_and_middling_groups_stay_together(spark):
+    texts = [f"pair {i // 2}" for i in range(400)] + ["group of ten"] * 10 + [f"lone {i}" for i in range(90)]
+    for shards, texts in ((2, texts), (16, ["copies"] * 90 + [f"lone {i} text" for i in range(7910)])):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+        got = sharding.shard_documents(docs, shards=shards).collect()
+        where, slots = collections.defaultdict(set), collections.defaultdict(list)
+        for r in got:
+            where[texts[r["doc_id"]]].add(r["shard"])
+            slots[r["shard"]].append(r["slot"])
+        assert all(len(s) == 1 for s in where.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_few_copies_of_a_very_long_text_are_split(spark):
+    texts = ["long " * 20_000] * 4 + [f"short text {i}" for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = sharding.shard_documents(docs, shards=8).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 4}) == 4
+
+
+def test_graph_search_finds_copies(spark):
+    rng = np.random.default_rng(11)
+    groups = [2, 3, 12, 40, 150, 400]
+    copies = np.repeat(rng.normal(size=(len(groups), 16)), groups, axis=0)
+    mixed = rng.permutation(np.vstack([copies, rng.normal(size=(700, 16))]))
+    assert graph_recall(spark, mixed, shard_rows=300) >= 0.98
+    assert graph_recall(spark, 1000 + mixed / 1000, shard_rows=300) >= 0.98
+    assert graph_recall(spark, np.ones((200, 4)), shard_rows=300) == 1
