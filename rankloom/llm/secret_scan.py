@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a randomness test battery for what no pattern names.
 
 Runs of characters that encodings use are candidates. The encoding of a run is inferred
-from its alphabet; three tests then ask whether it was drawn at random from it: a
+from its alphabet; a run that fits none (KEY=value, parameters, paths) is cut at its inner
+'=', and what still fits none at '/' and at '-' or '_', each in its own right and then both.
+All parts of ``RUN_CHARS`` characters are candidates. Three tests then ask whether it was drawn at random from it: a
 chi-squared test of uniform use, a runs test about the middle of the alphabet, and the
 serial correlation of neighbours. Their p-values are joined by Fisher's method, and a run
 for which randomness is rejected is no secret.
@@ -36,7 +38,10 @@ KINDS = ("assign", "access", "hex", "random")
 #: A match of ASSIGN counts if its value has so many characters.
 ASSIGNED_CHARS = 8
 #: Candidates of the battery.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN_CHARS = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_CHARS},}}"
+#: Cuts of a run that fits no encoding. Padding at its end stays with the last part.
+INNER, BETWEEN_SLASHES, BETWEEN_DASHES, BETWEEN_BOTH = r"[^=]+(?:=+\z)?", r"[^/]+", r"[^_-]+", r"[^/_-]+"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings: pattern, alphabet; how prose behaves within that alphabet: the share of its
@@ -45,10 +50,13 @@ ENCODINGS = (
     (r"^[0-9a-f]+$", DIGITS + "abcdef", 0.30, 0.27, 0.105),
     (r"^[0-9A-F]+$", DIGITS + "ABCDEF", 0.30, 0.27, 0.105),
     (r"^[A-Z2-7]+$", UPPER + "234567", 1.0, 0.066, 0.0055),
+    (r"^[A-Z0-9]+$", UPPER + DIGITS, 1.0, 0.066, 0.0055),
     (r"^[a-z0-9]+$", LOWER + DIGITS, 1.0, 0.066, 0.0055),
     (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 1.0, 0.064, 0.0053),
     (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 1.0, 0.064, 0.0053),
 )
+#: Runs that some encoding takes; the others' alphabets are within these two.
+FITS = r"^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
 #: Randomness is rejected below this joint p-value.
 REJECTED = 1e-3
 #: p-values are ranked by tenths of decades, up to this many.
@@ -129,10 +137,26 @@ def two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.pow(F.lit(10.0), log10_below(-F.abs(z))))
 
 
+def candidates(runs: DataFrame) -> DataFrame:
+    """row, start, end, value of what the battery tests: ``runs`` that fit an encoding, and parts of others."""
+    fits = F.regexp_like("value", F.lit(FITS))
+
+    def cut(rows: DataFrame, pattern: str) -> DataFrame:
+        part = F.col("part")
+        return rows.filter(~fits).select("row", "start", F.explode(matches(F.col("value"), pattern)).alias("part")).select(
+            "row", (F.col("start") + part["start"]).alias("start"), (F.col("start") + part["end"]).alias("end"),
+            part["value"].alias("value")).filter(F.length("value") >= RUN_CHARS)
+
+    inner = stored(cut(runs, INNER), "secret-parts")
+    again = [cut(inner, pattern) for pattern in (BETWEEN_SLASHES, BETWEEN_DASHES, BETWEEN_BOTH)]
+    parts = inner.union(again[0]).union(again[1]).union(again[2])
+    return runs.filter(fits).union(parts.filter(fits).distinct())
+
+
 def battery(runs: DataFrame) -> DataFrame:
     """``runs`` (value) with the inferred encoding's size ``k``, ``n``, ``p_random`` and ``log_p_prose``.
 
-    Runs of no single encoding are left out.
+    Runs of no single encoding are left out; ``candidates`` cuts them before.
     """
     body = F.regexp_replace("value", "=+$", "")
     which = F.lit(None).cast("int")
@@ -218,15 +242,17 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
         "doc_id", F.monotonically_increasing_id().alias("row"),
         *[spans.alias(kind) for kind, spans in base.items()], matches(text, RUN).alias("runs"),
     ), "secret-spans")
-    runs = rows.select("row", F.explode("runs").alias("run")).select("row", "run.*")
+    runs = stored(candidates(
+        rows.select("row", F.explode("runs").alias("run")).select("row", "run.*")), "secret-candidates")
     tested = stored(battery(runs.select("value").distinct()), "tested-runs")
     found = runs.join(discoveries(tested, rate), "value").groupBy("row").agg(
         F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("found"))
     known = F.concat(*[_of_kind(F.col(kind), i) for i, kind in enumerate(base)])
     scanned = rows.join(found, "row", "left").withColumn("base", F.array_sort(known))
+    within = lambda f, b: (b["start"] <= f["start"]) & (b["end"] >= f["end"])
     new = F.filter(
         F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")),
-        lambda f: ~F.exists("base", lambda b: (b["start"] <= f["start"]) & (b["end"] >= f["end"])))
+        lambda f: ~F.exists("base", lambda b: within(f, b)) & ~F.exists("found", lambda b: within(f, b) & (b != f)))
     return scanned.select(
         "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in base],
         "base", F.array_sort(F.concat("base", new)).alias("all"))

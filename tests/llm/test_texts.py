@@ -237,3 +237,25 @@ def test_bands_follow_the_threshold(threshold):
     assert bands * width <= 2 * count
     assert (1 - (threshold / 100) ** width) ** bands <= 5e-6
     assert minmax.layout(85) == (80, 26, 6)
+
+
+def test_secrets_within_runs_of_no_single_encoding(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    letters = secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS
+    forms = [
+        ("AWS_ACCESS_KEY_VALUE=", letters + "+/", 64, ""), ("AccountKey=", letters + "+/", 86, "=="),
+        ("sig=", letters, 64, ""), ("/v1/x-y/", letters, 64, ""), ("sha512-", letters + "+/", 86, "=="),
+        ("a/b=c/x_y/", letters + "-_", 64, ""), ("", secret_scan.UPPER + secret_scan.DIGITS, 80, "")]
+    texts, spans = [], []
+    for _ in range(8):
+        for before, alphabet, n, after in forms:
+            texts.append("see " + before + draw(alphabet, n) + after + " there")
+            spans.append((4 + len(before), 4 + len(before) + n + len(after)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = collections.Counter()
+    for row in secret_scan.scan(docs).collect():
+        start, end = spans[row["doc_id"]]
+        hits[row["doc_id"] % len(forms)] += any(
+            kind == 3 and at <= start and to >= end for at, kind, to in row["all"])
+    assert all(hits[i] >= 6 for i in range(len(forms))), hits
