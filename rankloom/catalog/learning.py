@@ -80,7 +80,7 @@ def categorical_lambdamart(t: Tables):
 @query()
 def watched_lambdamart(t: Tables):
     train, valid = parts(t)
-    model = LambdaMART(n_trees=5, stop_after=2).fit(train, valid)
+    model = LambdaMART(n_trees=TREES, stop_after=5).fit(train, valid)
     best = one_if(F.col("round") == model.best_iteration)
     return model.history_table(t.spark).withColumn("best", best)
 
@@ -90,7 +90,7 @@ def pointwise_and_pairwise_boosting(t: Tables):
     rows = training_rows(t).withColumn("label", F.least("label", F.lit(1.0)))
     reports = None
     for objective in ("ranknet", "mse", "bce"):
-        report = gained(LambdaMART(n_trees=2, objective=objective).fit(rows), rows, objective)
+        report = gained(LambdaMART(n_trees=TREES, objective=objective).fit(rows), rows, objective)
         reports = report if reports is None else reports.unionByName(report)
     return reports
 

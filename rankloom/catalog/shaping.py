@@ -289,7 +289,7 @@ def stored_training_set(t: Tables):
 
 RANKED_RESULT = f"""with {JUDGMENTS} select {r('label')} as label, {r('score / 2')} as ctr,
   {r('score')} as "cosine-score", query_id as query, doc_id as title, pos as "searchOrder",
-  cast(row_number() over (partition by query_id order by score desc, pos) as integer) as "newOrder" from judgments"""
+  row_number() over (partition by query_id order by score desc, pos) as "newOrder" from judgments"""
 
 
 def ranked_rows(t: Tables) -> DataFrame:
