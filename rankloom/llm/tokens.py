@@ -54,16 +54,17 @@ class Kept(dict):
 
 
 class Encoder:
-    """ids(text) gives the bytes of the text's ids, without special tokens.
+    """ids(text) gives the bytes of the text's ids; no special tokens are put around it.
 
-    The strings of special tokens in a text are ordinary text.
+    The file's added tokens are single ids where a text holds their strings, as in the
+    library: such a text is encoded as a whole. With ``plain_added`` they are ordinary text.
     """
 
-    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS, plain_added: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_added
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.symbols = {
             b: pre_tokenizers.ByteLevel(False, use_regex=False).pre_tokenize_str(chr(b))[0][0][-1]
@@ -74,15 +75,23 @@ class Encoder:
         self.spaced = Kept(functools.partial(self._word, " "), kept_words)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
+        added = [] if plain_added else rules.get("added_tokens") or []
         before, after = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
-        if before is None and after.get("type") == "ByteLevel" and after.get("use_regex", True) \
+        if any(token.get("normalized") for token in added):  # they may arise in the normaliser
+            by_words = self._encoded
+        elif before is None and after.get("type") == "ByteLevel" and after.get("use_regex", True) \
                 and not after.get("add_prefix_space"):
             self.line_break = self._encoded("\n")
-            self.ids = self._of_spaced_words
+            by_words = self._of_spaced_words
         elif _drops_blanks(before, after):
-            self.ids = self._of_separate_words
+            by_words = self._of_separate_words
         else:
-            self.ids = self._encoded
+            by_words = self._encoded
+        self.by_words = by_words
+        self.added = re.compile("|".join(re.escape(token["content"]) for token in added) or r"(?!)")
+
+    def ids(self, text: str) -> bytes:
+        return self._encoded(text) if self.added.search(text) else self.by_words(text)
 
     def _encoded(self, text: str) -> bytes:
         return np.asarray(

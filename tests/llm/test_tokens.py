@@ -19,9 +19,10 @@ from tests.llm.common import no_documents, odd_documents, odd_rows, unique_docum
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 
-def plain(name):
+def plain(name, plain_added=False):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
+    if plain_added:
+        tokenizer.encode_special_tokens = True
     return lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -29,7 +30,9 @@ ENCODERS = {name: (Encoder(public_tokenizers.path(name), kept_words=8), plain(na
 ODD = [
     "it's  ok, don't 's", " lead", "tail\n", "İstanbul. İ. ß ﬁ x", "a\x1cb c", "1234 ab12, x=3;",
     "日本 語。テスト 🙂🙂 a", "é é. क़. ok", "a\tb c d e x", "http://x.y/z?q=1", "²x y². Ⅷ.",
+    "a <|endoftext|> b", "<|endoftext|><|startoftext|>", "x<|endoftext|>\n y <|ENDOFTEXT|>", "<|endoftext |>",
 ]
+PARTS = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|ENDOFTEXT|>", " <|", "|>"]
 
 
 @pytest.mark.parametrize("name", NAMES)
