@@ -14,8 +14,8 @@
 
 Edge cases: words are separated by ASCII white space, and A-Z are lower-cased; a text with
 fewer words than a shingle is one shingle; without words or with a null text the set is
-empty and linked with nothing; rows of one ``doc_id`` are treated each, with the same
-result if their texts agree; a null ``doc_id`` gets the class of its text but represents
+empty and linked with nothing; rows of one ``doc_id`` are documents of their own, so
+each goes by its own text; a null ``doc_id`` gets the class of its text but represents
 none, and a class of such rows alone has a null component and keeps them; an empty table
 gives no rows; further columns are not read.
 """
@@ -219,8 +219,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
     signed = stored(signatures(docs, words, threshold), "min-max")
     classes = stored(
         signed.filter(F.col("key").isNotNull()).groupBy("key").agg(
-            F.min("doc_id").alias("id"), F.first("bands").alias("bands"),
-        ).filter(F.col("id").isNotNull()), "text-classes")
+            F.min("doc_id").alias("least"), F.first("bands").alias("bands"),
+        ).filter(F.col("least").isNotNull()).withColumn("id", F.monotonically_increasing_id()), "text-classes")
     placed = classes.select("id", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
@@ -229,11 +229,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
     buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
     members = stored(placed.join(buckets.select("bucket", "n"), "bucket"), "bucket-members")
 
-    active = members.select("id").distinct()
+    active = classes.select("key", "least", "id").join(members.select("id").distinct(), "id", "left_semi")
     if active.count() <= BROADCAST_IDS:
         active = F.broadcast(active)
-    texts = docs.select("doc_id", "text").join(active, F.col("doc_id") == F.col("id"), "left_semi")
-    shingle_sets = _sets(texts, words)
+    shingle_sets = _sets(docs, active, words)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     tiled = members.withColumns({"tile": F.pmod(F.xxhash64("id", F.lit(4)), tiles).cast("int"), "tiles": tiles})
     groups = tiled.select(
@@ -241,22 +240,26 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
     ).select("bucket", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "id")
     links = stored(confirmed(groups.join(shingle_sets, "id"), threshold), "near-links")
 
-    component = components(links)
-    named = classes.select("key", "id").join(component, "id", "left").select(
-        F.col("key").alias("class"), F.coalesce("component", "id").alias("component_id"))
+    reached = components(links).join(classes.select("id", "least"), "id")
+    least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.join(reached.select("id", "component").join(least, "component"), "id", "left").select(
+        F.col("key").alias("class"), F.coalesce("component_id", "least").alias("component_id"))
     return signed.join(named, F.col("key") == F.col("class"), "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the whole sets of some documents; one row per id."""
+def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): the whole set of each class (key, least, id), from a document with its least ``doc_id``."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text, words).tobytes() for text in batch[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(
-        build, "id long, shingles binary")
-    return found.groupBy("id").agg(F.max("shingles").alias("shingles"))
+            sets = [shingles(text, words).tobytes() for text in batch["text"].to_pylist()]
+            own = [xxhash.xxh3_128_digest(data) == key
+                   for data, key in zip(sets, batch["key"].to_pylist(), strict=True)]
+            whole = pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield whole.filter(pa.array(own, pa.bool_()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), whole_text().alias("text"))
+    found = texts.join(classes, "least").select("id", "key", "text").mapInArrow(build, "id long, shingles binary")
+    return found.groupBy("id").agg(F.first("shingles").alias("shingles"))

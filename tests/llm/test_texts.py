@@ -156,6 +156,18 @@ def test_near_duplicates(spark, monkeypatch, tile, few):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("ids, want", [((1, 2, 3), {1: {1}, 2: {1}, 3: {1}}), ((5, 2, 7), {5: {2, 5}, 2: {2}, 7: {5}})])
+def test_near_duplicates_of_an_id_with_two_texts(spark, ids, want):
+    x, y = ([f"{side}{i}" for i in range(101)] for side in "xy")
+    one, two, three = ids
+    rows = [(one, x), (one, y), (two, [*x[:-2], "other", "end"]), (three, [*y[:-2], "other", "end"])]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in rows], "doc_id long, text string")
+    got = {}
+    for r in minmax.near_duplicates(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = minmax.near_duplicates(odd_documents(spark, clashes=True)).collect()
     assert len(rows) == len(odd_rows())
