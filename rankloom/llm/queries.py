@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import digests, graph_index, line_runs, minmax, mixing, packing, records, secret_scan, sharding, toxicity
+from rankloom.llm import (
+    digests, graph_index, html_regions, line_runs, minmax, mixing, packing, records, secret_scan, sharding, toxicity,
+)
 from rankloom.llm.common import fresh_folder, whole_text
 
 
@@ -85,6 +87,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_region_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_regions.extract(pages, html_regions.fit(pages, labelled_pages=2_000))
+
+
 OP6_SQL = r"""
 with lines as (
   select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i
@@ -116,5 +123,6 @@ QUERIES = {
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op9_pruned_graph_search": op9_pruned_graph_search,
     "op10_pfair_mixing": op10_pfair_mixing,
+    "op11_region_extraction": op11_region_extraction,
 }
 SQL = {"op6_line_dedup": OP6_SQL}
