@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import (
-    digests, graph_index, html_regions, line_runs, minmax, mixing, packing, records, secret_scan, sharding, toxicity,
+    digests, graph_index, html_regions, line_runs, minmax, mixing, packing, prefix_trie, records, secret_scan, sharding, toxicity,
 )
 from rankloom.llm.common import fresh_folder, whole_text
 
@@ -92,6 +92,11 @@ def op11_region_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_regions.extract(pages, html_regions.fit(pages, labelled_pages=2_000))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(conversations).drop("x", "y")
+
+
 OP6_SQL = r"""
 with lines as (
   select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i
@@ -112,6 +117,62 @@ from keyed k left join frequent f on k.key = f.key
 group by doc_id
 """
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string: eight shifts for each character."""
+    start = f"list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint))"
+    byte = ("list_reduce(list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, i: "
+            "case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)")
+    return f"xor(list_reduce({start}, lambda crc, c: {byte}), 4294967295::bigint)"
+
+
+OP12_SQL = rf"""
+with convs as (
+  select conv_id, {_crc32("conv_id::varchar")} % 4 as h, conv_id - conv_id % 20 as donor
+  from (select distinct conv_id from conversations where conv_id is not null)
+),
+turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as pos
+  from conversations
+),
+offered as (select conv_id as donor, count(*) as n from turns group by conv_id),
+rebuilt as (
+  select c.conv_id, t.pos as depth, t.role, t.text
+  from convs c join turns t on t.conv_id = c.donor and t.pos <= c.h
+  union all
+  select c.conv_id, least(c.h, coalesce(o.n, 0)) + t.pos - c.h, t.role, t.text
+  from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h left join offered o on o.donor = c.donor
+),
+steps as (
+  select conv_id, depth, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda w: w <> '')) as words,
+    string_agg(md5(md5(role) || md5(text)), ',') over (partition by conv_id order by depth) as key
+  from rebuilt
+  union all
+  select conv_id, 0, 0, '' from convs
+),
+paths as (
+  select *, lag(key) over (partition by conv_id order by depth) as parent,
+    depth = max(depth) over (partition by conv_id) as last
+  from steps
+),
+nodes as (
+  select key, depth, parent, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(words) as own,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '') as ends
+  from paths group by key, depth, parent
+),
+children as (select parent, count(*) as n from nodes where parent is not null group by parent),
+below as (
+  select distinct a.key as top, b.key from paths a join paths b on a.conv_id = b.conv_id and b.depth >= a.depth
+),
+sums as (
+  select top, sum(n.own)::bigint as saved, count(*) filter (where c.n is null) as leaves
+  from below b join nodes n on n.key = b.key left join children c on c.parent = b.key group by top
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children,
+  s.leaves as n_leaves, s.saved as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n left join nodes p on p.key = n.parent left join children c on c.parent = n.key join sums s on s.top = n.key
+"""
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -124,5 +185,6 @@ QUERIES = {
     "op9_pruned_graph_search": op9_pruned_graph_search,
     "op10_pfair_mixing": op10_pfair_mixing,
     "op11_region_extraction": op11_region_extraction,
+    "op12_prefix_trie": op12_prefix_trie,
 }
-SQL = {"op6_line_dedup": OP6_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op12_prefix_trie": OP12_SQL}
