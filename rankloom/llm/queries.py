@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import (
-    digests, graph_index, html_regions, line_runs, minmax, mixing, packing, prefix_trie, records, secret_scan, sharding, toxicity,
+    digests, graph_index, html_regions, line_runs, minmax, mixing, packing, prefix_trie, records, secret_scan, sharding,
+    structure_repair, toxicity,
 )
 from rankloom.llm.common import fresh_folder, whole_text
 
@@ -97,6 +98,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(conversations).drop("x", "y")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP6_SQL = r"""
 with lines as (
   select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i
@@ -144,7 +149,8 @@ rebuilt as (
   from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h left join offered o on o.donor = c.donor
 ),
 steps as (
-  select conv_id, depth, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda w: w <> '')) as words,
+  select conv_id, depth, len(list_filter(string_split_regex(text, '[ 	-
+]+'), lambda w: w <> '')) as words,
     string_agg(md5(md5(role) || md5(text)), ',') over (partition by conv_id order by depth) as key
   from rebuilt
   union all
@@ -173,6 +179,90 @@ select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n,
 from nodes n left join nodes p on p.key = n.parent left join children c on c.parent = n.key join sums s on s.top = n.key
 """
 
+# The grammar's states 0 to 3 are: start, after s, after u, after a. FORCED is where a row put in leads, as ROLE.
+FORCED, ROLE = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+
+
+def _rest(cost: str, audit: str, lines: str) -> str:
+    return f"{{'c': {cost}, 'a': {audit}, 'r': {lines}}}"
+
+
+def _first_edit(state: int) -> str:
+    """SQL for the best rest of a conversation that begins with an edit of the row ``f``, not an insertion."""
+    to, role = FORCED[state], ROLE[state]
+    legal = {0: "f.initial in ('s', 'u')", 1: "f.initial = 'u'", 2: "f.initial = 'a'", 3: "f.initial = 'u'"}[state]
+    keep = "case when f.initial = 's' then s1 when f.initial = 'u' then s2 else s3 end"
+    ways = [
+        _rest(f"s{state}.c + 3", f"'D' || s{state}.a", f"s{state}.r"),
+        _rest(f"case when gone then 1000000000 else s{to}.c + 2 + extra end", f"'R' || s{to}.a",
+              f"chr(10) || '{role}:' || f.text || s{to}.r"),
+        _rest(f"case when gone or not ({legal}) then 1000000000 else ({keep}).c + extra end", f"'K' || ({keep}).a",
+              f"chr(10) || f.role || ':' || f.text || ({keep}).r"),
+    ]
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _with_insertions(state: int) -> str:
+    """SQL for the best rest with up to three rows put in front."""
+    ways, at, letters, lines = [f"b{state}"], state, "", ""
+    for n in range(1, 4):
+        lines += f"chr(10) || '{ROLE[at]}:' || "
+        at, letters = FORCED[at], letters + "I"
+        ways.append(_rest(f"b{at}.c + {2 * n}", f"'{letters}' || b{at}.a", f"{lines}b{at}.r"))
+    return f"list_min([{', '.join(ways)}])"
+
+
+OP13_SQL = rf"""
+with recursive base as (
+  select coalesce(conv_id::varchar, ' ') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind
+  from conversations
+),
+damaged as (
+  select conv, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from base where kind <> 0
+),
+placed as (select *, row_number() over (partition by conv order by turn nulls first, role, text, copy) as pos from damaged),
+seen as (
+  select *, row_number() over (partition by conv, role, text order by pos) > 1 as again, left(role, 1) as initial,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as final,
+    left(role, 1) || lead(left(role, 1)) over (partition by conv order by pos) as pair
+  from placed
+),
+faults as (
+  select *, case when final = '' then 'blank' when again then 'duplicate'
+    when final not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    final = '' or again as gone, case when final in ('.', '!', '?') then 0 else 1 end as extra
+  from seen
+),
+counts as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated,
+    count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal, max(pos) as n
+  from faults group by conv
+),
+best as (
+  select conv, n + 1 as pos, {_rest("0", "''", "''")} as s0,
+    {_rest("4", "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")} as s1,
+    {_rest("2", "'I'", "chr(10) || 'assistant:'")} as s2, {_rest("0", "''", "''")} as s3
+  from counts
+  union all
+  select conv, pos, {', '.join(f'{_with_insertions(state)} as s{state}' for state in range(4))}
+  from (
+    select f.conv, f.pos, {', '.join(f'{_first_edit(state)} as b{state}' for state in range(4))}
+    from best join faults f on f.conv = best.conv and f.pos = best.pos - 1)
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(s0.c, 0)::bigint as cost,
+  coalesce(s0.a, '') as audit, sha256(substr(coalesce(s0.r, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) c
+  left join counts k on k.conv = coalesce(c.conv_id::varchar, ' ')
+  left join best b on b.conv = k.conv and b.pos = 1
+"""
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -186,5 +276,6 @@ QUERIES = {
     "op10_pfair_mixing": op10_pfair_mixing,
     "op11_region_extraction": op11_region_extraction,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
-SQL = {"op6_line_dedup": OP6_SQL, "op12_prefix_trie": OP12_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op12_prefix_trie": OP12_SQL, "op13_structure_repair": OP13_SQL}
