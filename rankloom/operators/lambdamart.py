@@ -1,38 +1,40 @@
 """Boosted trees on ranking gradients, trained and applied on DataFrames.
 
-Each round is one chain of Spark jobs: positions, pair gradients per query,
-a regression tree on the gradients (Spark ML), and a Newton step per leaf from
-two sums. Only trees and leaf sums, a few dozen numbers per round, reach the
-driver. The scores of the last rounds stay an expression over the training
-table, which is written to the checkpoint folder every few rounds.
+Features are read once, binned and stored: by query for the ranks and scores, by row for the
+histograms. Each round is a chain of Spark jobs: positions and pair gradients per query (only
+scores and labels go through Python), then a second-order tree grown leaf by leaf
+on sums per bin (``histograms``). Trees, and sums of a bounded number of bins, reach the driver.
+The scores of the last rounds stay an expression over the binned table, which is written to
+the checkpoint folder every few rounds.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.gradients import (
     OBJECTIVES, PAIR_OBJECTIVES, pair_gradients, point_gradients,
 )
+from rankloom.operators.histograms import Binning, Rules, grow_tree
 from rankloom.operators.losses import with_gains
 from rankloom.operators.metrics import mean_ndcg
 from rankloom.operators.ranking import QUERY
-from rankloom.operators.trees import NODE_SCHEMA, Node, read_tree, tree_column, tree_scorer
+from rankloom.operators.trees import NODE_SCHEMA, Node, tree_column, tree_scorer
 from rankloom.plans.durable import durable
 from rankloom.plans.groups import measure_groups, split_groups
 from rankloom.plans.pair_blocks import BLOCK_ROWS
 from rankloom.sources.datasets import sample_queries
 
+#: Leaves of a tree without bounds on depth or leaves.
+DEFAULT_LEAVES = 31
+
 
 def decayed_rate(round_: int, start: float = 0.1, decay: float = 0.95) -> float:
     """A learning rate that shrinks by a constant factor each round."""
@@ -43,20 +45,25 @@ def decayed_rate(round_: int, start: float = 0.1, decay: float = 0.95) -> float:
 class LambdaMART:
     """Trainer; columns are (query_id, doc_id, label, features ARRAY<DOUBLE>).
 
-    ``learning_rate`` is a number or a function of the round. ``num_leaves``
-    bounds the depth, as trees grow level by level. ``l1`` and ``l2`` act in
-    the Newton step of the leaves. ``categorical`` lists features (from 0) that
-    hold category numbers. ``query_subsample`` draws whole queries for each
-    round, ``feature_subsample`` draws features.
+    ``learning_rate`` is a number or a function of the round. Trees grow leaf by leaf up to
+    ``num_leaves`` and no deeper than ``max_depth``; without ``num_leaves`` they have
+    as many leaves as the depth allows, without ``max_depth`` any shape. Features
+    are cut into ``max_bins`` quantiles. ``l1`` and ``l2`` act in split gains and leaf values.
+    ``categorical`` lists features (from 0) that hold category numbers. ``query_subsample`` draws
+    whole queries for each round, ``feature_subsample`` draws features.
+
+    ``eval_at`` is one cutoff or several that are watched; the first one decides when to stop
+    (``stop_after`` rounds without a better value) and which round is the best.
     """
 
     n_trees: int = 100
     learning_rate: float | Callable[[int], float] = 0.1
-    max_depth: int = 3
+    max_depth: int | None = 3
     num_leaves: int | None = None
     min_leaf_rows: int = 1
+    min_leaf_hessian: float = 0.0
     min_gain: float = 0.0
-    max_bins: int = 32
+    max_bins: int = 255
     l1: float = 0.0
     l2: float = 0.0
     sigma: float = 1.0
@@ -65,47 +72,58 @@ class LambdaMART:
     query_subsample: float = 1.0
     feature_subsample: float = 1.0
     categorical: Sequence[int] = ()
-    eval_at: int = 10
+    eval_at: int | Sequence[int] = 10
     stop_after: int | None = None
     checkpoint_every: int = 10
     block_rows: int = BLOCK_ROWS
     seed: int = 12
 
+    @property
+    def cutoffs(self) -> list[int]:
+        return [self.eval_at] if isinstance(self.eval_at, int) else list(self.eval_at)
+
+    @property
+    def leaf_bound(self) -> int:
+        if self.num_leaves:
+            return self.num_leaves
+        return DEFAULT_LEAVES if self.max_depth is None else 2**self.max_depth
+
     def fit(self, df: DataFrame, valid: DataFrame | None = None) -> LambdaMARTModel:
         """Train; with ``valid`` watch NDCG there, stop early and keep the best round."""
         if self.objective not in OBJECTIVES:
             raise ValueError(f"objective must be one of {OBJECTIVES}")
-        train, sizes, n_features = self._prepare(df)
+        train, by_row, sizes, binning = self._prepare(df)
         watched = self._watch(valid) if valid is not None else None
-        arity = self._category_counts(train)
         draw = random.Random(self.seed)
-        model = LambdaMARTModel([], n_features)
+        model = LambdaMARTModel([], len(binning.edges), cutoffs=self.cutoffs)
         for round_ in range(self.n_trees):
-            tree = self._round(train, sizes, round_, n_features, arity, draw)
+            tree, binned = self._round(train, by_row, sizes, round_, binning, draw)
             model.trees.append(tree)
-            train = train.withColumn(
-                "score", F.col("score") + tree_column(tree, F.col("features"))
-            )
+            train = train.withColumn("score", F.col("score") + tree_column(binned, F.col("bins")))
             if watched is not None:
                 watched = watched.withColumn(
                     "score", F.col("score") + tree_column(tree, F.col("features"))
                 )
-                value = mean_ndcg(watched, self.eval_at).first()[0]
-                model.history.append((round_ + 1, float(value)))
+                values = [float(mean_ndcg(watched, k).first()[0]) for k in self.cutoffs]
+                model.history.append((round_ + 1, *values))
                 if self.stop_after and round_ + 1 - model.best_iteration >= self.stop_after:
                     break
             if (round_ + 1) % self.checkpoint_every == 0 and round_ + 1 < self.n_trees:
                 train = durable(train)
                 watched = durable(watched) if watched is not None else None
+        by_row.unpersist()
         return model
 
     def _prepare(self, df: DataFrame):
-        sizes = measure_groups(df, [QUERY])
-        rows = df.select(
+        """The binned rows by query, their bins by row, the sizes of the queries, and the bins' edges."""
+        raw = durable(df.select(
             QUERY, "doc_id", F.col("label").cast("double").alias("label"),
             F.col("features").cast("array<double>").alias("features"),
-            F.lit(0.0).alias("score"),
-        )
+        ).withColumn("row", F.monotonically_increasing_id()))
+        sizes = measure_groups(raw, [QUERY])
+        width = raw.agg(F.max(F.size("features"))).first()[0] or 0
+        binning = Binning.fit(raw, self.max_bins, self.categorical, max(width, 0))
+        rows = binning.assign(raw).drop("features").withColumn("score", F.lit(0.0))
         if self.objective in PAIR_OBJECTIVES:
             if sizes.bounded:
                 # The partitioning by query outlasts the checkpoint, so no
@@ -115,106 +133,69 @@ class LambdaMART:
                 part, self.k, score="score", tiebreak="doc_id", sizes=own
             )).drop("rank")
         train = durable(rows)
-        n_features = train.agg(F.max(F.size("features"))).first()[0] or 0
-        return train, sizes, n_features
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        by_row = train.select("row", "bins").repartition(tasks, "row").persist(StorageLevel.MEMORY_AND_DISK)
+        return train, by_row, sizes, binning
 
     def _watch(self, valid: DataFrame) -> DataFrame:
         rows = valid.select(QUERY, "doc_id", "label", F.col("features").cast("array<double>").alias("features"))
         return durable(rows.withColumn("score", F.lit(0.0)))
 
-    def _category_counts(self, train: DataFrame) -> dict[int, int]:
-        if not self.categorical:
-            return {}
-        highest = [F.max(F.element_at("features", i + 1)).alias(str(i)) for i in self.categorical]
-        row = train.agg(*highest).first()
-        return {i: int(row[str(i)]) + 1 for i in self.categorical}
-
-    def _round(self, train, sizes, round_, n_features, arity, draw) -> list[Node]:
-        chosen = list(range(n_features))
+    def _round(self, train, by_row, sizes, round_, binning, draw) -> tuple[list[Node], list[Node]]:
+        chosen = list(range(len(binning.edges)))
         if self.feature_subsample < 1.0:
-            chosen = sorted(draw.sample(chosen, max(1, round(self.feature_subsample * n_features))))
+            chosen = sorted(draw.sample(chosen, max(1, round(self.feature_subsample * len(chosen)))))
         rows = train
         if self.query_subsample < 1.0:
             rows = sample_queries(rows, self.query_subsample, self.seed, round_)
         if self.objective in PAIR_OBJECTIVES:
-            pulled = split_groups(rows, [QUERY], sizes, lambda part, own: pair_gradients(
-                part, own, ["features"], self.sigma, self.k, self.objective, self.block_rows
-            ))
+            pulled = split_groups(rows.drop("bins"), [QUERY], sizes, lambda part, own: pair_gradients(
+                part, own, ["row"], self.sigma, self.k, self.objective, self.block_rows
+            )).select("row", "lambda", "hessian").join(by_row, "row")
         else:
             pulled = point_gradients(rows, self.objective)
-        slim = pulled.select("features", "lambda", "hessian").persist(StorageLevel.MEMORY_AND_DISK)
+        slim = pulled.select("bins", "lambda", "hessian").persist(StorageLevel.MEMORY_AND_DISK)
+        rules = Rules(
+            self.leaf_bound, self.max_depth, self.min_leaf_rows, self.min_leaf_hessian, self.min_gain, self.l1, self.l2)
         try:
-            tree = self._tree(slim, chosen, arity)
-            self._set_leaf_values(tree, slim, round_)
+            grown = grow_tree(slim, binning, rules, sizes.total, chosen)
         finally:
             slim.unpersist()
-        return tree
-
-    def _tree(self, pulled: DataFrame, chosen: list[int], arity: dict[int, int]) -> list[Node]:
-        depth = self.max_depth
-        if self.num_leaves:
-            depth = min(depth, max(1, math.ceil(math.log2(self.num_leaves))))
-        inputs = F.array(*[F.element_at("features", i + 1) for i in chosen])
-        rows = pulled.select(
-            array_to_vector(inputs).alias("inputs", metadata=_attributes(chosen, arity)), "lambda"
-        )
-        learner = DecisionTreeRegressor(
-            featuresCol="inputs", labelCol="lambda", maxDepth=depth,
-            maxBins=max([self.max_bins, *arity.values()]),
-            minInstancesPerNode=self.min_leaf_rows, minInfoGain=self.min_gain, seed=self.seed,
-        )
-        return read_tree(learner.fit(rows), chosen)
-
-    def _set_leaf_values(self, tree: list[Node], pulled: DataFrame, round_: int) -> None:
-        leaf = tree_column(tree, F.col("features"), value=False)
-        sums = pulled.groupBy(leaf.alias("leaf")).agg(
-            F.sum("lambda").alias("pull"), F.sum("hessian").alias("curve")
-        )
         rate = self.learning_rate(round_) if callable(self.learning_rate) else self.learning_rate
-        steps = {r["leaf"]: _newton_step(r["pull"], r["curve"], self.l1, self.l2) for r in sums.collect()}
-        for node in tree:
-            if node.leaf >= 0:
-                node.value = rate * steps.get(node.leaf, 0.0)
-
-
-def _newton_step(pull: float, curve: float, l1: float, l2: float) -> float:
-    shrunk = math.copysign(max(abs(pull) - l1, 0.0), pull)
-    return shrunk / (curve + l2) if curve + l2 > 0 else 0.0
-
-
-def _attributes(chosen: Sequence[int], arity: dict[int, int]) -> dict:
-    """Spark ML attributes that mark the categorical inputs."""
-    nominal = [
-        {"idx": at, "name": str(i), "vals": [str(v) for v in range(arity[i])]}
-        for at, i in enumerate(chosen) if i in arity
-    ]
-    numeric = [{"idx": at, "name": str(i)} for at, i in enumerate(chosen) if i not in arity]
-    attrs = {name: group for name, group in (("nominal", nominal), ("numeric", numeric)) if group}
-    return {"ml_attr": {"attrs": attrs, "num_attrs": len(chosen)}}
+        for nodes in grown:
+            for node in nodes:
+                node.value *= rate
+        return grown
 
 
 @dataclass
 class LambdaMARTModel:
-    """Trained trees, and NDCG on the watched table after each round."""
+    """Trained trees, and NDCG at the cutoffs on the watched table after each round."""
 
     trees: list[list[Node]]
     n_features: int
-    history: list[tuple[int, float]] = field(default_factory=list)
+    history: list[tuple] = field(default_factory=list)
+    cutoffs: list[int] = field(default_factory=lambda: [10])
 
     @property
     def best_iteration(self) -> int:
-        """Number of trees at the best watched NDCG; all trees without a watched table."""
+        """Number of trees at the best watched NDCG (first cutoff); all trees without a watched table."""
         if not self.history:
             return len(self.trees)
         return max(self.history, key=lambda entry: (entry[1], -entry[0]))[0]
 
     def transform(self, df: DataFrame, out: str = "score", n_trees: int | None = None) -> DataFrame:
         """Add the score at the best round, or of the first ``n_trees``."""
+        return self.scored(df, F.col("features").cast("array<double>"), out, n_trees)
+
+    def scored(self, df: DataFrame, features: Column, out: str, n_trees: int | None = None) -> DataFrame:
         used = self.trees[: self.best_iteration if n_trees is None else n_trees]
-        return df.withColumn(out, tree_scorer(used)(F.col("features").cast("array<double>")))
+        return df.withColumn(out, tree_scorer(used)(features))
 
     def history_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.history, "round int, ndcg double")
+        """round, and NDCG at each watched cutoff."""
+        values = [f"ndcg_at_{k} double" for k in self.cutoffs]
+        return spark.createDataFrame(self.history, ", ".join(["round int", *values]))
 
     def nodes_table(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -226,7 +207,7 @@ class LambdaMARTModel:
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the trees and the history under ``path``, replacing what is there."""
         self.nodes_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        about = json.dumps({"n_features": self.n_features, "history": self.history})
+        about = json.dumps({"n_features": self.n_features, "history": self.history, "cutoffs": self.cutoffs})
         spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").parquet(
             f"{path}/about"
         )
@@ -243,7 +224,7 @@ class LambdaMARTModel:
                 trees.append([])
             trees[tree].append(Node(**values))
         about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
-        return cls(trees, about["n_features"], [tuple(entry) for entry in about["history"]])
+        return cls(trees, about["n_features"], [tuple(entry) for entry in about["history"]], about["cutoffs"])
 
 
 def feature_importance(model: LambdaMARTModel, spark: SparkSession) -> DataFrame:

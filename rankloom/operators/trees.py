@@ -30,33 +30,6 @@ class Node:
     gain: float = 0.0
 
 
-def read_tree(model, feature_ids: Sequence[int]) -> list[Node]:
-    """The nodes of a fitted decision tree, root first, leaves numbered from 0."""
-    nodes: list[Node] = []
-    leaves = 0
-
-    def visit(java_node) -> int:
-        nonlocal leaves
-        at = len(nodes)
-        nodes.append(Node())
-        if java_node.getClass().getSimpleName() == "LeafNode":
-            nodes[at].leaf, leaves = leaves, leaves + 1
-            return at
-        split = java_node.split()
-        node = nodes[at]
-        node.feature, node.gain = feature_ids[split.featureIndex()], java_node.gain()
-        if split.getClass().getSimpleName() == "ContinuousSplit":
-            node.threshold = split.threshold()
-        else:
-            node.categories = list(split.leftCategories())
-        node.left = visit(java_node.leftChild())
-        node.right = visit(java_node.rightChild())
-        return at
-
-    visit(model._java_obj.rootNode())
-    return nodes
-
-
 def tree_column(nodes: Sequence[Node], features: Column, value: bool = True) -> Column:
     """The value (or number) of the leaf that a row falls into, as an expression."""
 

@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators.lambdamart import (
-    LambdaMART, LambdaMARTModel, _newton_step, decayed_rate, feature_importance,
-)
+from rankloom.operators.histograms import newton_step
+from rankloom.operators.lambdamart import LambdaMART, LambdaMARTModel, decayed_rate, feature_importance
 from rankloom.operators.metrics import mean_ndcg
 from rankloom.operators.trees import sum_of_trees, tree_column
 from tests.conftest import only
@@ -74,16 +73,16 @@ def test_regularisation_and_sampling(rows):
     for tree in model.trees:
         assert sum(n.leaf >= 0 for n in tree) <= 4
         assert len({n.feature for n in tree if n.leaf < 0}) <= 2
-    assert _newton_step(2.0, 1.0, 0.5, 0.5) == pytest.approx(1.0)
-    assert _newton_step(-0.2, 1.0, 0.5, 0.0) == 0.0
-    assert _newton_step(0.0, 0.0, 0.0, 0.0) == 0.0
+    assert newton_step(2.0, 1.0, 0.5, 0.5) == pytest.approx(1.0)
+    assert newton_step(-0.2, 1.0, 0.5, 0.0) == 0.0
+    assert newton_step(0.0, 0.0, 0.0, 0.0) == 0.0
     assert [decayed_rate(i) for i in (0, 2)] == pytest.approx([0.1, 0.09025])
 
 
 def test_watching_and_stopping(rows):
     train, valid = rows.where("query_id < 20"), rows.where("query_id >= 20")
     model = LambdaMART(n_trees=12, learning_rate=1.0, stop_after=2).fit(train, valid)
-    scores = [value for _, value in model.history]
+    scores = [entry[1] for entry in model.history]
     assert model.best_iteration == 1 + int(np.argmax(scores))
     assert len(model.trees) <= 12
     assert len(model.trees) == 12 or len(model.trees) - model.best_iteration == 2
