@@ -17,7 +17,7 @@ from rankloom.operators.ranking import rank_within_query
 from rankloom.plans.durable import shared_folder
 from rankloom.plans.groups import scan_groups
 from rankloom.sources import corpus as corpora
-from rankloom.sources import datasets, sinks, text_formats
+from rankloom.sources import datasets, datasource, sinks, text_formats
 from rankloom.streaming.corpus_stream import read_documents, stream_corpus
 
 
@@ -71,14 +71,48 @@ def densified_features(t: Tables):
     return exploded(dense, "vec_id")
 
 
-@query("""select vec_id, cast(label as double) as label, 'q' || (vec_id % 7) as qid,
-  cast(len(embedding) as integer) as n_features, 'vector ' || vec_id as comment from embeddings""")
+LETOR_ROWS = f"""with {VALUES} select vec_id, cast(label as double) as label, 'q' || (vec_id % 7) as qid,
+  'vector ' || vec_id as comment, place, {r('x')} as value from parts"""
+
+
+@query(LETOR_ROWS)
 def letor_lines(t: Tables):
     qid = F.concat(F.lit("qid:q"), F.pmod("vec_id", F.lit(7)).cast("string"))
     comment = F.concat(F.lit("# vector "), F.col("vec_id").cast("string"))
     line = F.concat_ws(" ", F.col("label").cast("string"), qid, index_values(1), comment)
     parsed = text_formats.parse_letor(t.embeddings.select("vec_id", line.alias("value")))
-    return parsed.select("vec_id", "label", "qid", F.size("features").alias("n_features"), "comment")
+    return of_letor(parsed, "vec_id")
+
+
+def of_letor(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row a feature, numbered from 0."""
+    return rows.select(*keys, "label", "qid", "comment", F.explode("features").alias("index", "value")).select(
+        *keys, "label", "qid", "comment", (F.col("index") - 1).alias("place"), "value")
+
+
+@query(LETOR_ROWS)
+def letor_source_round_trip(t: Tables):
+    """Vectors written and read by the LETOR data source, all values compared."""
+    datasource.register(t.spark)
+    path = fresh_path(t, "letor")
+    rows = t.embeddings.select(
+        F.col("label").cast("double"), F.concat(F.lit("q"), F.pmod("vec_id", F.lit(7)).cast("string")).alias("qid"),
+        F.col("embedding").cast("array<double>").alias("features"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("comment"))
+    rows.write.format("letor").option("keepZeros", "true").mode("overwrite").save(path)
+    back = t.spark.read.format("letor").option("partitionBytes", 1 << 20).load(path)
+    return of_letor(back).withColumn("vec_id", F.substring_index("comment", " ", -1).cast("long"))
+
+
+@query(f"with {VALUES} select cast(label as double) as label, place, {r('sum(x)')} as total, count(*) as n from parts group by all")
+def svmlight_source_round_trip(t: Tables):
+    """Vectors written from index 0 and read as arrays by the svmlight data source."""
+    datasource.register(t.spark)
+    path = fresh_path(t, "svmlight")
+    rows = t.embeddings.select(F.col("label").cast("double"), F.col("embedding").cast("array<double>").alias("features"))
+    rows.write.format("svmlight").option("zeroBased", "true").mode("overwrite").save(path)
+    back = t.spark.read.format("svmlight").options(numFeatures=width(t), zeroBased="true").load(path)
+    return exploded(back, "label").groupBy("label", "place").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""select event_id, case event_type when 'click' then '1' else '0' end as label, {r('value')} as cosine_score,
