@@ -9,8 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 
 from rankloom.catalog.losing import gains_sql
-from rankloom.catalog.registry import Tables, query, r
-from rankloom.catalog.shaping import fresh_path
+from rankloom.catalog.registry import Tables, fresh_path, query, r
 from rankloom.catalog.views import EVENT_LABELS, one_if
 from rankloom.functions.keys import seeded_int
 from rankloom.operators.lambdamart import LambdaMART, LambdaMARTModel, decayed_rate, feature_importance

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.registry import Tables, query, r
+from rankloom.catalog.registry import Tables, fresh_path, query, r
 from rankloom.catalog.views import (
     JUDGMENTS, POSITIVES, RANKED, TURNS, VECTORS, judgments, lexical, positives, seeded,
     seeded_number, turns, vector_corpus, vector_queries,
 )
 from rankloom.operators import mining
+from rankloom.operators.inverted_file import InvertedFile
 from rankloom.operators.pairs import all_pairs, in_batch_negatives, pair_counts, preference_pairs
 from rankloom.operators.scorers import lexical_score
 from rankloom.sources.datasets import assign_batches
@@ -141,6 +142,13 @@ def hard_negatives(t: Tables):
     return mined(t, num_negatives=5, range_max=100, absolute_margin=0.0)
 
 
+@query(f"with {mined_sql(5, 0, 100, 0.0)} select {MINED}")
+def hard_negatives_by_index(t: Tables):
+    """The same through an inverted file, by certified search."""
+    index = InvertedFile.build(vector_corpus(t), fresh_path(t, "inverted-file"), n_cells=16)
+    return mined(t, num_negatives=5, range_max=100, absolute_margin=0.0, index=index)
+
+
 @query(f"with {mined_sql(3, 10, 60, 0.05)} select {MINED}")
 def hard_negatives_in_range(t: Tables):
     return mined(t, num_negatives=3, range_min=10, range_max=60, absolute_margin=0.05)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.registry import QUERIES, Tables, query, r
+from rankloom.catalog.registry import QUERIES, Tables, fresh_path, query, r
 from rankloom.catalog.views import (
     VECTORS, lexical, stage1, vector_corpus, vector_queries,
 )
 from rankloom.operators import retrieval
 from rankloom.operators.cells import HyperplaneCells, KMeansCells, recall
+from rankloom.operators.inverted_file import InvertedFile
 from rankloom.operators.pairs import make_pairs
 from rankloom.operators.scorers import HashedTfIdf, embed, lexical_score
 
@@ -80,6 +81,14 @@ def retrieve_with_every_cell_probed(t: Tables):
     return retrieval.retrieve(vector_queries(t), vector_corpus(t), 20, every)
 
 
+@query(QUERIES["retrieve_top_20"].sql)
+def retrieve_by_inverted_file(t: Tables):
+    """Stored by cells, searched until the bounds certify the result."""
+    index = InvertedFile.build(vector_corpus(t), fresh_path(t, "inverted-file"), n_cells=16)
+    return index.search(vector_queries(t), 20).select(
+        "query_id", "doc_id", "bi_score", F.col("stage1_rank").cast("int").alias("stage1_rank"))
+
+
 # Approximate search has no SQL: its cells come from training or from random planes.
 
 def _kmeans(t: Tables):

@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.catalog.mining import FIVE, SEED, mined_five
-from rankloom.catalog.registry import Tables, query, r
+from rankloom.catalog.registry import Tables, fresh_path, query, r
 from rankloom.catalog.views import JUDGMENTS, TURNS, judgments, seeded, seeded_number, tok, turns
 from rankloom.functions.text import token_count
 from rankloom.functions.vectors import densify
 from rankloom.operators.mining import shape_negatives
 from rankloom.operators.ranking import rank_within_query
-from rankloom.plans.durable import shared_folder
 from rankloom.plans.groups import scan_groups
 from rankloom.sources import corpus as corpora
 from rankloom.sources import datasets, datasource, sinks, text_formats
 from rankloom.streaming.corpus_stream import read_documents, stream_corpus
 
 
-def fresh_path(t: Tables, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # -- text formats ------------------------------------------------------------------
 
 def index_values(first: int) -> Column:

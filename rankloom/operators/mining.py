@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.keys import seeded_hash
 from rankloom.functions.vectors import cosine
+from rankloom.operators.inverted_file import InvertedFile
 from rankloom.operators.ranking import QUERY
-from rankloom.operators.retrieval import retrieve_counted
+from rankloom.operators.retrieval import query_shape, retrieve_counted
 from rankloom.operators.scorers import PairScorer
 from rankloom.plans.groups import salted_join
 
@@ -41,6 +42,7 @@ def mine_hard_negatives(
     sampling: str = "top",
     include_positives: bool = False,
     seed: int = 12,
+    index: InvertedFile | None = None,
 ) -> DataFrame:
     """Mine up to ``num_negatives`` passages per pair.
 
@@ -48,7 +50,8 @@ def mine_hard_negatives(
     ``corpus`` have embeddings. ``range_max`` is the depth of the search, which
     a margin may need to be far larger than ``num_negatives``. ``sampling="top"`` takes the most
     similar, ``"random"`` a seeded choice. ``include_positives`` leaves
-    positives at their place in the list and applies no margin.
+    positives at their place in the list and applies no margin. An ``index`` of the corpus is
+    searched instead of all of it, with the same result.
 
     Gives (query_id, doc_id, negative_id, negative_score, negative_rank, place).
     Only the candidate lists, ``range_max`` long, are made per query; the pairs
@@ -57,7 +60,10 @@ def mine_hard_negatives(
     if sampling not in ("top", "random"):
         raise ValueError("sampling must be 'top' or 'random'")
     depth = range_max
-    found, shape = retrieve_counted(queries, corpus, depth)
+    if index is None:
+        found, shape = retrieve_counted(queries, corpus, depth)
+    else:
+        found, shape = index.search(queries, depth), query_shape(queries)
     found = found.where(F.col("stage1_rank") > range_min)
     if not include_positives:
         found = found.join(pairs.select(QUERY, "doc_id"), [QUERY, "doc_id"], "left_anti")
