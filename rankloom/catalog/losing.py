@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.catalog.mining import NEGATIVES, batched_negatives
 from rankloom.catalog.registry import QUERIES, Tables, query, r
 from rankloom.catalog.views import JUDGMENTS, PREDICTIONS, judgments, lexical, predictions
+from rankloom.functions import dual
 from rankloom.operators import gradients, losses
 from rankloom.operators.scorers import lexical_score, score_pairs
 
@@ -146,6 +149,7 @@ WEIGHTS = {
     "ndcg2": "case when a.rk = b.rk then 0.0 else abs(1 / log2(abs(a.rk - b.rk) + 1.0) - 1 / log2(abs(a.rk - b.rk) + 2.0)) end * abs(a.g - b.g)",
     "lambdarank": "abs(1 / a.d - 1 / b.d) * abs(a.g - b.g)",
 }
+WEIGHTS["own"] = "abs(a.g - b.g) / sqrt(a.rk * b.rk + 1.0)"
 WEIGHTS["ndcg2pp"] = f"10.0 * {WEIGHTS['ndcg2']} + {WEIGHTS['lambdarank']}"
 
 
@@ -204,6 +208,16 @@ def lambda_loss_ndcg2pp(t: Tables):
     return losses.lambda_loss(judgments(t))
 
 
+def root_of_ranks(gain_i, gain_j, rank_i, rank_j):
+    """A weighting scheme of our own."""
+    return np.abs(gain_i - gain_j) / np.sqrt(rank_i * rank_j + 1.0)
+
+
+@query(lambda_sql("own"))
+def lambda_loss_own_scheme(t: Tables):
+    return losses.lambda_loss(judgments(t), root_of_ranks)
+
+
 @query(lambda_sql("ndcg2pp", 10, "ln"))
 def lambda_loss_at_10_natural_log(t: Tables):
     return losses.lambda_loss(judgments(t), k=10, log="natural")
@@ -244,8 +258,8 @@ sums as (
   select anchor_id, ln(sum(exp(z))) - max(z) filter (where is_positive) as loss from zs group by anchor_id)"""
 
 
-def scored_candidates(t: Tables):
-    """Each anchor with its positive and its in-batch negatives, scored."""
+def candidate_texts(t: Tables):
+    """Each anchor with its positive and its in-batch negatives."""
     batched, negatives = batched_negatives(t)
     own = batched.select(
         "batch_id", "anchor_id", F.col("anchor_id").alias("candidate_id"),
@@ -255,10 +269,18 @@ def scored_candidates(t: Tables):
         "batch_id", "anchor_id", F.col("negative_owner").alias("candidate_id"),
         F.lit(False).alias("is_positive"), "anchor", F.col("negative").alias("passage"),
     )
-    scored = score_pairs(own.unionByName(others), lexical_score, "anchor", "passage", "logit")
+    return own.unionByName(others)
+
+
+def scored_passages(candidates):
+    scored = score_pairs(candidates, lexical_score, "anchor", "passage", "logit")
     return scored.withColumn("logit", F.lit(2.0) * F.col("logit") - F.lit(0.5))
 
 
+def scored_candidates(t: Tables):
+    return scored_passages(candidate_texts(t))
+
+
 @query(f"with {MNRL} select {r('avg(loss)')} as loss from sums")
 def in_batch_negatives_loss(t: Tables):
     return losses.mnrl_loss(scored_candidates(t))
@@ -274,6 +296,43 @@ def in_batch_negatives_gradients(t: Tables):
     return found.select("anchor_id", "candidate_id", "gradient")
 
 
+# With hard negatives: the answers that follow the next two questions of the same conversation.
+HARD = MNRL.split("sums as (")[0].rstrip().removesuffix(",").replace("scored as (", f"""hard as (
+  select batch_id, anchor_id, anchor,
+    unnest([lead(positive) over w, lead(positive, 2) over w]) as passage, unnest([-1, -2]) as candidate
+  from batched window w as (partition by anchor_id // 100 order by anchor_id)),
+every_candidate as (
+  select * from candidates
+  union all select batch_id, anchor_id, candidate, false, anchor, passage from hard where passage is not null),
+scored as (""").replace("from candidates)", "from every_candidate)").replace(f"10 * {SIGMOID} as z", "tanh(logit) as z")
+
+
+def with_hard_ones(t: Tables):
+    batched, _ = batched_negatives(t)
+    following = Window.partitionBy(F.floor(F.col("anchor_id") / 100)).orderBy("anchor_id")
+    rows = batched.withColumns({"near": F.lead("positive").over(following), "far": F.lead("positive", 2).over(following)})
+    every = losses.with_hard_negatives(candidate_texts(t), rows, {"near": -1, "far": -2})
+    return scored_passages(every)
+
+
+@query(f"""with {HARD},
+sums as (select anchor_id, ln(sum(exp(z))) - max(z) filter (where is_positive) as loss from zs group by anchor_id)
+select {r('avg(loss)')} as loss from sums""")
+def in_batch_loss_with_hard_negatives(t: Tables):
+    """Another activation, and no scale."""
+    return losses.mnrl_loss(with_hard_ones(t), scale=None, activation="tanh")
+
+
+@query(f"""with {HARD},
+per_batch as (select batch_id, count(*) as n from batched group by batch_id)
+select anchor_id, candidate as candidate_id, {r("""(exp(z) / sum(exp(z)) over (partition by anchor_id)
+  - case when is_positive then 1 else 0 end) * (1 - tanh(logit) * tanh(logit)) / n""")} as gradient
+from zs join per_batch using (batch_id)""")
+def in_batch_gradients_with_hard_negatives(t: Tables):
+    found = losses.mnrl_logit_gradients(with_hard_ones(t), scale=None, activation=dual.tanh)
+    return found.select("anchor_id", "candidate_id", "gradient")
+
+
 @query(f"""select 'bce' as loss_name, loss from (with {BINARY} select {bce_sql(1.0)} as loss from binary_labels)
 union all select 'mse', loss from (with {JUDGMENTS.replace("judgments as", "js as", 1)}
   select {r('avg(pow(logit - least(label, 1.0), 2))')} as loss from js)""")

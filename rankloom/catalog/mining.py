@@ -13,7 +13,7 @@ from rankloom.operators import mining
 from rankloom.operators.inverted_file import InvertedFile
 from rankloom.operators.pairs import all_pairs, in_batch_negatives, pair_counts, preference_pairs
 from rankloom.operators.scorers import lexical_score
-from rankloom.sources.datasets import assign_batches
+from rankloom.sources.datasets import assign_batches, batches_without_duplicates
 
 # Batch size and seed of the training runs.
 BATCH, SEED = 64, 12
@@ -101,6 +101,15 @@ def assigned_exact_batches(t: Tables):
     return batched.select("anchor_id", "batch_id")
 
 
+@query(f"""with copies as (select text, count(*) as n from documents group by text),
+needed as (select greatest(ceil(sum(n) / {BATCH}), max(n)) as batches from copies)
+select doc_id, cast((row_number() over (order by md5(text), {seeded(SEED, 'doc_id')}, doc_id) - 1) % batches as bigint) as batch_id
+from documents, needed""")
+def batches_of_distinct_texts(t: Tables):
+    return batches_without_duplicates(t.documents, BATCH, SEED, "doc_id", "text").select("doc_id", "batch_id")
+
+
+
 @query(f"with {NEGATIVES} select batch_id, anchor_id, negative_owner, md5(negative) as negative_md5 from negatives")
 def sampled_in_batch_negatives(t: Tables):
     found = batched_negatives(t)[1]

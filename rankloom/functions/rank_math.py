@@ -14,6 +14,7 @@ SCORE_DIFF_CLAMP = 1e8
 ACTIVATIONS: dict[str, Callable[[Column], Column]] = {
     "identity": lambda x: x,
     "sigmoid": lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)),
+    "tanh": F.tanh,
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rank_math as rm
+from rankloom.functions.dual import value_and_slope
 from rankloom.functions.log_sums import exp_sums
 from rankloom.operators.ranking import QUERY, by_score, suffix_exp_sums
 from rankloom.plans.groups import (
@@ -25,7 +27,6 @@ EPS = 1e-10
 MNRL_SCALE = 10.0
 NDCG2PP_MU = 10.0
 PADDED_LOGIT = 1e-16
-SCHEMES = ("none", "ndcg1", "ndcg2", "lambdarank", "ndcg2pp")
 
 
 def _activated(df: DataFrame, activation: Activation) -> DataFrame:
@@ -188,24 +189,43 @@ def mnrl_loss(
     return mnrl_per_anchor(df, scale, activation).agg(F.avg("loss").alias("loss"))
 
 
-def mnrl_logit_gradients(df: DataFrame, scale: float = MNRL_SCALE) -> DataFrame:
+def with_hard_negatives(candidates: DataFrame, rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """The candidates of each anchor and its own hard negatives.
+
+    ``rows`` (batch_id, anchor_id, anchor, ...) have a column for each negative; ``columns`` maps it to the
+    ``candidate_id`` that it gets. A NULL is no candidate.
+    """
+    named = F.array(*[
+        F.struct(F.lit(number).cast(candidates.schema["candidate_id"].dataType).alias("id"), F.col(name).alias("text"))
+        for name, number in columns.items()])
+    own = rows.select("batch_id", "anchor_id", "anchor", F.explode(named).alias("_own")).where("_own.text is not null")
+    return candidates.unionByName(own.select(
+        "batch_id", "anchor_id", F.col("_own.id").alias("candidate_id"), F.lit(False).alias("is_positive"),
+        "anchor", F.col("_own.text").alias("passage")))
+
+
+def mnrl_logit_gradients(
+    df: DataFrame, scale: float | None = MNRL_SCALE, activation: Activation = "sigmoid"
+) -> DataFrame:
     """Gradient of the mean loss of each batch with respect to every logit.
 
-    Rows are (batch_id, anchor_id, candidate_id, logit, is_positive); the
-    activation is the sigmoid.
+    Rows are (batch_id, anchor_id, candidate_id, logit, is_positive). The slope of the activation
+    comes from dual numbers, so one of the caller's own uses the functions of ``functions.dual``.
+    Without ``scale`` the activated logits are taken as they are.
     """
     z = F.col("z")
-    scored = _scaled(df, scale, "sigmoid")
+    factor = F.lit(float(scale or 1.0))
+    value, slope = value_and_slope(activation, F.col("logit").cast("double"))
+    scored = df.withColumns({"z": value * factor, "_slope": slope * factor})
     per_anchor = measure_groups(scored, ["anchor_id"])
     top = group_totals(scored, ["anchor_id"], {"_top": F.max(z)}, "candidate_id", per_anchor)
     share = F.exp(z - F.col("_top"))
     total = group_totals(top, ["anchor_id"], {"_total": F.sum(share)}, "candidate_id", per_anchor)
     anchors = F.sum(F.col("is_positive").cast("long"))
     sized = group_totals(total, ["batch_id"], {"_anchors": anchors}, "candidate_id")
-    p = rm.activate(F.col("logit"), "sigmoid")
     pull = share / F.col("_total") - F.col("is_positive").cast("double")
-    gradient = pull * F.lit(float(scale)) * p * (F.lit(1.0) - p) / F.col("_anchors")
-    return sized.withColumn("gradient", gradient).drop("z", "_top", "_total", "_anchors")
+    gradient = pull * F.col("_slope") / F.col("_anchors")
+    return sized.withColumn("gradient", gradient).drop("z", "_slope", "_top", "_total", "_anchors")
 
 
 # -- pairwise ------------------------------------------------------------------
@@ -230,10 +250,72 @@ def with_gains(
     return total.withColumn("gain", gain / F.greatest("_idcg", F.lit(eps))).drop("_ideal", "_idcg")
 
 
+#: Weights of pairs from numpy arrays: gains and ranks of the better and of the other item.
+PairWeights = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How pairs weigh. Pairs have a better and a worse item, or are ``every_pair`` of a list."""
+
+    weigh: PairWeights
+    every_pair: bool = False
+
+
+def _no_weights(gain_i, gain_j, rank_i, rank_j):
+    return np.ones_like(gain_i)
+
+
+def _discounted_gain(gain_i, gain_j, rank_i, rank_j):
+    return gain_i / np.log2(1.0 + rank_i)
+
+
+def _swapped(gain_i, gain_j, rank_i, rank_j):
+    return np.abs(1.0 / np.log2(1.0 + rank_i) - 1.0 / np.log2(1.0 + rank_j)) * np.abs(gain_i - gain_j)
+
+
+def _step_apart(gain_i, gain_j, rank_i, rank_j):
+    apart = np.abs(rank_i - rank_j)
+    near = np.maximum(apart, 1.0)
+    step = np.where(apart > 0, 1.0 / np.log2(near + 1.0) - 1.0 / np.log2(near + 2.0), 0.0)
+    return step * np.abs(gain_i - gain_j)
+
+
+def step_and_swap(mu: float = NDCG2PP_MU) -> PairWeights:
+    """The sum of both, the step ``mu`` times."""
+    return lambda *pair: mu * _step_apart(*pair) + _swapped(*pair)
+
+
+SCHEMES: dict[str, Scheme] = {
+    "none": Scheme(_no_weights),
+    "ndcg1": Scheme(_discounted_gain, every_pair=True),
+    "ndcg2": Scheme(_step_apart),
+    "lambdarank": Scheme(_swapped),
+    "ndcg2pp": Scheme(step_and_swap()),
+}
+
+
+def register_scheme(name: str, weigh: PairWeights, every_pair: bool = False) -> None:
+    """Make a weighting scheme known by name; the function goes to the tasks as it is."""
+    if name in SCHEMES:
+        raise ValueError(f"there is a scheme {name}")
+    SCHEMES[name] = Scheme(weigh, every_pair)
+
+
+def scheme_of(scheme: str | Scheme | PairWeights, mu: float = NDCG2PP_MU) -> Scheme:
+    if isinstance(scheme, Scheme):
+        return scheme
+    if callable(scheme):
+        return Scheme(scheme)
+    if scheme not in SCHEMES:
+        raise ValueError(f"scheme must be one of {tuple(SCHEMES)}")
+    return Scheme(step_and_swap(mu)) if scheme == "ndcg2pp" else SCHEMES[scheme]
+
+
 @per_group(QUERY)
 def lambda_loss_sums(
     df: DataFrame,
-    scheme: str = "ndcg2pp",
+    scheme: str | Scheme | Callable = "ndcg2pp",
     k: int | None = None,
     sigma: float = 1.0,
     eps: float = EPS,
@@ -244,9 +326,11 @@ def lambda_loss_sums(
     *,
     sizes: GroupSizes,
 ) -> DataFrame:
-    """Sum of the pair losses and number of pairs of each query."""
-    if scheme not in SCHEMES:
-        raise ValueError(f"scheme must be one of {SCHEMES}")
+    """Sum of the pair losses and number of pairs of each query.
+
+    ``scheme`` is the name of a registered one, a :class:`Scheme`, or a function that weighs pairs.
+    """
+    chosen = scheme_of(scheme, mu)
     slim = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
     orders = [by_score("logit", "pos"), by_score("label", "pos")]
     slim, sizes = head_rows(slim, [QUERY], orders, k or None, sizes)
@@ -266,13 +350,11 @@ def lambda_loss_sums(
         losses, pairs = np.zeros(n), np.zeros(n, dtype=np.int64)
         a = {c: left.column(c) for c in ("logit", "gain", "rank")}
         b = a if right is left else {c: right.column(c) for c in a}
-        rows_of, pairs_of = left.rows, all_pairs if scheme == "ndcg1" else better_pairs
+        rows_of, pairs_of = left.rows, all_pairs if chosen.every_pair else better_pairs
         for i, j in pairs_of(left, right):
             row = rows_of[i]
             diff = np.clip(a["logit"][i] - b["logit"][j], -rm.SCORE_DIFF_CLAMP, rm.SCORE_DIFF_CLAMP)
-            weight = pair_weights(
-                scheme, a["gain"][i], b["gain"][j], a["rank"][i], b["rank"][j], mu
-            )
+            weight = chosen.weigh(a["gain"][i], b["gain"][j], a["rank"][i], b["rank"][j])
             log_p = np.maximum(-np.logaddexp(0.0, -sigma * diff), floor)
             value = np.maximum(weight * log_p, floor) / unit
             losses -= np.bincount(row, weights=value, minlength=n)
@@ -288,23 +370,7 @@ def lambda_loss_sums(
     )
 
 
-def pair_weights(scheme, gain_i, gain_j, rank_i, rank_j, mu=NDCG2PP_MU):
-    """Weight of the pairs (i, j) under a scheme, as numpy arrays."""
-    if scheme == "none":
-        return np.ones_like(gain_i)
-    if scheme == "ndcg1":
-        return gain_i / np.log2(1.0 + rank_i)
-    gap = np.abs(gain_i - gain_j)
-    swap = np.abs(1.0 / np.log2(1.0 + rank_i) - 1.0 / np.log2(1.0 + rank_j)) * gap
-    if scheme == "lambdarank":
-        return swap
-    apart = np.abs(rank_i - rank_j)
-    near = np.maximum(apart, 1.0)
-    step = np.where(apart > 0, 1.0 / np.log2(near + 1.0) - 1.0 / np.log2(near + 2.0), 0.0) * gap
-    return step if scheme == "ndcg2" else mu * step + swap
-
-
-def lambda_loss(df: DataFrame, scheme: str = "ndcg2pp", **options) -> DataFrame:
+def lambda_loss(df: DataFrame, scheme: str | Scheme | Callable = "ndcg2pp", **options) -> DataFrame:
     """One mean over the pairs of all queries; NULL without pairs."""
     sums = lambda_loss_sums(df, scheme, **options)
     return sums.agg(

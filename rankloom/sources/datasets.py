@@ -136,6 +136,21 @@ def assign_batches(df: DataFrame, size: int, seed: int, key: str, exact: bool =
     return df.withColumn("batch_id", F.pmod(seeded_int(seed, F.col(key)), F.lit(batches)))
 
 
+def batches_without_duplicates(df: DataFrame, size: int, seed: int, key: str, text: str) -> DataFrame:
+    """Add ``batch_id`` so that no batch of at most ``size`` rows holds a text twice.
+
+    Rows are numbered with equal texts side by side and dealt in turn to as many batches as are needed:
+    ``max(ceil(n / size), copies of the commonest text)``, of which no assignment can do with
+    fewer. Batches differ by one row at most. A NULL text is one like any other.
+    """
+    copies = df.groupBy(F.xxhash64(text), F.xxhash64(F.lit(seed), text)).agg(F.count(F.lit(1)).alias("n"))
+    row = copies.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    batches = max(1, -(-(row["n"] or 0) // size), row["most"] or 0)
+    order = [F.md5(F.col(text)), seeded_hash(seed, F.col(key)), F.col(key)]
+    dealt = scan_groups(df, [], order, rank="_row")
+    return dealt.withColumn("batch_id", F.pmod(F.col("_row") - 1, F.lit(batches))).drop("_row")
+
+
 # -- lists ---------------------------------------------------------------------
 
 def explode_lists(df: DataFrame, docs: str = "docs", labels: str = "labels") -> DataFrame:
