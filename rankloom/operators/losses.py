@@ -14,8 +14,9 @@ from rankloom.functions import rank_math as rm
 from rankloom.functions.dual import value_and_slope
 from rankloom.functions.log_sums import exp_sums
 from rankloom.operators.ranking import QUERY, by_score, suffix_exp_sums
+from rankloom.plans.durable import durable
 from rankloom.plans.groups import (
-    GroupSizes, group_totals, head_rows, known_groups, measure_groups, per_group, scan_groups,
+    GroupSizes, group_totals, head_rows, known_groups, measure_groups, per_group, scan_groups, split_groups,
 )
 from rankloom.plans.pair_blocks import BLOCK_ROWS, Side, all_pairs, better_pairs, map_pair_blocks
 from rankloom.schema import require_columns
@@ -112,10 +113,22 @@ def listnet_loss(df: DataFrame, activation: Activation = None) -> DataFrame:
     return listnet_per_query(df, activation).agg(F.avg("loss").alias("loss"))
 
 
+ListWeight = str | Callable[[Column], Column] | None
+
+
+def plistmle_per_query(df: DataFrame, weight: ListWeight = "exp2", **options) -> DataFrame:
+    """Position-aware list likelihood of each query.
+
+    ``weight`` is "exp2" (2^(n - i) - 1 for i from 0), a Column function of the 1-based rank, or
+    None; ``options`` are those of :func:`list_likelihoods`.
+    """
+    return list_likelihoods(df, {"loss": weight}, **options)
+
+
 @per_group(QUERY)
-def plistmle_per_query(
+def list_likelihoods(
     df: DataFrame,
-    weight: str | Callable[[Column], Column] | None = "exp2",
+    weights: Mapping[str, ListWeight],
     respect_input_order: bool = True,
     pad_to: int | None = None,
     eps: float = EPS,
@@ -123,11 +136,9 @@ def plistmle_per_query(
     *,
     sizes: GroupSizes,
 ) -> DataFrame:
-    """Position-aware list likelihood of each query.
+    """List likelihoods of each query under several position weights, from one scan of the lists.
 
-    The list runs by ``pos``, or by falling label. ``weight`` is "exp2"
-    (2^(n - i) - 1 for i from 0), a Column function of the 1-based rank, or
-    None. ``pad_to`` adds what padding to that length adds to each
+    The list runs by ``pos``, or by falling label. ``pad_to`` adds what padding to that length adds to each
     denominator: one padded logit per missing place.
     """
     rows = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
@@ -141,17 +152,22 @@ def plistmle_per_query(
         F.get(F.filter("tails", lambda t: t["sum"] > F.lit(1e-280)), F.lit(0)), F.element_at("tails", -1)
     )
     log_total = here["shift"] + F.log(here["sum"] + added * F.exp(-here["shift"]))
-    log_p = F.col("logit") - log_total
-    if weight is None:
-        return tails.groupBy(QUERY).agg((-F.sum(log_p)).alias("loss"))
+    log_p = F.col("_log_p")
     before = (F.col("n") - F.col("_back")).cast("double")
-    if weight == "exp2":
-        # Scaled by 2^-n, which keeps long lists finite and cancels out.
-        unit = F.pow(F.lit(2.0), -F.col("n").cast("double"))
-        w, w_eps = F.pow(F.lit(2.0), -before) - unit, F.max(F.lit(eps) * unit)
-    else:
-        w, w_eps = weight(before + F.lit(1.0)), F.lit(eps)
-    return tails.groupBy(QUERY).agg((-F.sum(w * log_p) / (F.sum(w) + w_eps)).alias("loss"))
+
+    def likelihood(weight: ListWeight) -> Column:
+        if weight is None:
+            return -F.sum(log_p)
+        if weight == "exp2":
+            # Scaled by 2^-n, which keeps long lists finite and cancels out.
+            unit = F.pow(F.lit(2.0), -F.col("n").cast("double"))
+            w, w_eps = F.pow(F.lit(2.0), -before) - unit, F.max(F.lit(eps) * unit)
+        else:
+            w, w_eps = weight(before + F.lit(1.0)), F.lit(eps)
+        return -F.sum(w * log_p) / (F.sum(w) + w_eps)
+
+    return tails.withColumn("_log_p", F.col("logit") - log_total).groupBy(QUERY).agg(
+        *[likelihood(weight).alias(name) for name, weight in weights.items()])
 
 
 def plistmle_loss(df: DataFrame, **options) -> DataFrame:
@@ -312,25 +328,36 @@ def scheme_of(scheme: str | Scheme | PairWeights, mu: float = NDCG2PP_MU) -> Sch
     return Scheme(step_and_swap(mu)) if scheme == "ndcg2pp" else SCHEMES[scheme]
 
 
+def lambda_loss_sums(df: DataFrame, scheme: str | Scheme | Callable = "ndcg2pp", mu: float = NDCG2PP_MU, **options) -> DataFrame:
+    """Sum of the pair losses and number of pairs of each query.
+
+    ``scheme`` is the name of a registered one, a :class:`Scheme`, or a function that weighs pairs;
+    ``options`` are those of :func:`pair_loss_sums`.
+    """
+    found = pair_loss_sums(df, {"loss_sum": scheme_of(scheme, mu)}, **options)
+    return found.select(QUERY, "loss_sum", "pairs")
+
+
 @per_group(QUERY)
-def lambda_loss_sums(
+def pair_loss_sums(
     df: DataFrame,
-    scheme: str | Scheme | Callable = "ndcg2pp",
+    schemes: Mapping[str, Scheme],
     k: int | None = None,
     sigma: float = 1.0,
     eps: float = EPS,
     log: str = "binary",
-    mu: float = NDCG2PP_MU,
     activation: Activation = None,
     block_rows: int = BLOCK_ROWS,
     *,
     sizes: GroupSizes,
 ) -> DataFrame:
-    """Sum of the pair losses and number of pairs of each query.
+    """Sums of the pair losses of each query under several schemes, and its ``pairs``, from one pass over the pairs.
 
-    ``scheme`` is the name of a registered one, a :class:`Scheme`, or a function that weighs pairs.
+    The schemes go through the same pairs: all of them through every pair, or none.
     """
-    chosen = scheme_of(scheme, mu)
+    if len({scheme.every_pair for scheme in schemes.values()}) != 1:
+        raise ValueError("schemes of one pass go through the same pairs")
+    every_pair = any(scheme.every_pair for scheme in schemes.values())
     slim = _activated(df.select(QUERY, "pos", "label", "logit"), activation)
     orders = [by_score("logit", "pos"), by_score("label", "pos")]
     slim, sizes = head_rows(slim, [QUERY], orders, k or None, sizes)
@@ -347,27 +374,25 @@ def lambda_loss_sums(
 
     def kernel(left: Side, right: Side) -> dict[str, pa.Array]:
         n = len(left.sizes)
-        losses, pairs = np.zeros(n), np.zeros(n, dtype=np.int64)
+        sums, pairs = {name: np.zeros(n) for name in schemes}, np.zeros(n, dtype=np.int64)
         a = {c: left.column(c) for c in ("logit", "gain", "rank")}
         b = a if right is left else {c: right.column(c) for c in a}
-        rows_of, pairs_of = left.rows, all_pairs if chosen.every_pair else better_pairs
+        rows_of, pairs_of = left.rows, all_pairs if every_pair else better_pairs
         for i, j in pairs_of(left, right):
             row = rows_of[i]
             diff = np.clip(a["logit"][i] - b["logit"][j], -rm.SCORE_DIFF_CLAMP, rm.SCORE_DIFF_CLAMP)
-            weight = chosen.weigh(a["gain"][i], b["gain"][j], a["rank"][i], b["rank"][j])
             log_p = np.maximum(-np.logaddexp(0.0, -sigma * diff), floor)
-            value = np.maximum(weight * log_p, floor) / unit
-            losses -= np.bincount(row, weights=value, minlength=n)
+            for name, scheme in schemes.items():
+                weight = scheme.weigh(a["gain"][i], b["gain"][j], a["rank"][i], b["rank"][j])
+                value = np.maximum(weight * log_p, floor) / unit
+                sums[name] -= np.bincount(row, weights=value, minlength=n)
             pairs += np.bincount(row, minlength=n)
-        return {"loss_sum": pa.array(losses), "pairs": pa.array(pairs)}
+        return {**{name: pa.array(values) for name, values in sums.items()}, "pairs": pa.array(pairs)}
 
+    schema = ", ".join([*[f"`{name}` double" for name in schemes], "pairs long"])
     blocks = map_pair_blocks(
-        rows, QUERY, "rank", ["label", "logit", "gain", "rank"], kernel,
-        "loss_sum double, pairs long", sizes, block_rows,
-    )
-    return blocks.groupBy(QUERY).agg(
-        F.sum("loss_sum").alias("loss_sum"), F.sum("pairs").alias("pairs")
-    )
+        rows, QUERY, "rank", ["label", "logit", "gain", "rank"], kernel, schema, sizes, block_rows)
+    return blocks.groupBy(QUERY).agg(*[F.sum(name).alias(name) for name in [*schemes, "pairs"]])
 
 
 def lambda_loss(df: DataFrame, scheme: str | Scheme | Callable = "ndcg2pp", **options) -> DataFrame:
@@ -385,24 +410,99 @@ def ranknet_loss(df: DataFrame, **options) -> DataFrame:
 
 # -- comparison ----------------------------------------------------------------
 
-LOSSES: dict[str, Callable[..., DataFrame]] = {
-    "bce": bce_loss,
-    "mse": mse_loss,
-    "listnet": listnet_loss,
-    "listmle": listmle_loss,
-    "plistmle": plistmle_loss,
-    "ranknet": ranknet_loss,
-    "lambda": lambda_loss,
+@dataclass(frozen=True)
+class PointLoss:
+    """The mean of a term of ``label`` and ``logit``; all such losses are one aggregate."""
+
+    term: Callable[[Column, Column], Column]
+
+
+@dataclass(frozen=True)
+class ShareLoss:
+    """ListNet: sums of exponentials of each list."""
+
+
+@dataclass(frozen=True)
+class ListLoss:
+    """A list likelihood; all such losses share one scan of the lists and its running sums."""
+
+    weight: ListWeight = None
+
+
+@dataclass(frozen=True)
+class PairLoss:
+    """A pair loss; all such losses share ranks, gains and one pass over the pairs."""
+
+    scheme: str | Scheme | PairWeights = "none"
+
+
+Part = PointLoss | ShareLoss | ListLoss | PairLoss
+
+LOSSES: dict[str, Part] = {
+    "bce": PointLoss(rm.log_loss_with_logit),
+    "mse": PointLoss(lambda label, logit: (logit - label) * (logit - label)),
+    "listnet": ShareLoss(),
+    "listmle": ListLoss(),
+    "plistmle": ListLoss("exp2"),
+    "ranknet": PairLoss(),
+    "lambda": PairLoss("ndcg2pp"),
 }
 
 
-def loss_report(df: DataFrame, losses: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(loss_name, loss) for several losses over one scored table."""
+def loss_report(
+    df: DataFrame, losses: Mapping[str, Part | Callable[[DataFrame], DataFrame]] | None = None
+) -> DataFrame:
+    """(loss_name, loss) for several losses over one scored table.
+
+    The table is read once and its slim columns are stored. Losses given as parts then share
+    what they need: one aggregate, one scan of the lists, one pass over the pairs. Losses given as
+    functions of the table work on their own.
+    """
+    losses = dict(losses or LOSSES)
+    parts = {name: loss for name, loss in losses.items() if isinstance(loss, Part)}
     reports = [
-        loss(df).select(F.lit(name).alias("loss_name"), "loss")
-        for name, loss in (losses or LOSSES).items()
+        loss(df).select(F.lit(name).alias("loss_name"), "loss") for name, loss in losses.items() if name not in parts
     ]
+    if parts:
+        reports += _shared(durable(_activated(df.select(QUERY, "pos", "label", "logit"), None)), parts)
     combined = reports[0]
     for report in reports[1:]:
         combined = combined.unionByName(report)
     return combined
+
+
+def _shared(rows: DataFrame, parts: Mapping[str, Part]) -> list[DataFrame]:
+    def of(kind: type) -> dict[str, Part]:
+        return {name: part for name, part in parts.items() if isinstance(part, kind)}
+
+    reports = []
+    if points := of(PointLoss):
+        reports.append(_long(rows.agg(*[
+            F.avg(part.term(F.col("label"), F.col("logit"))).alias(name) for name, part in points.items()])))
+    if shares := of(ShareLoss):
+        found = listnet_per_query(rows)
+        reports.append(_long(found.agg(*[F.avg("loss").alias(name) for name in shares])))
+    grouped = {name: part for name, part in parts.items() if isinstance(part, ListLoss | PairLoss)}
+    sizes = measure_groups(rows, [QUERY]) if grouped else None
+
+    def split(work) -> DataFrame:
+        return split_groups(rows, [QUERY], sizes, work)
+
+    if lists := of(ListLoss):
+        weights = {name: part.weight for name, part in lists.items()}
+        found = split(lambda part, own: list_likelihoods(part, weights, sizes=own))
+        reports.append(_long(found.agg(*[F.avg(name).alias(name) for name in weights])))
+    schemes = {name: scheme_of(part.scheme) for name, part in of(PairLoss).items()}
+    for every_pair in (False, True):
+        mine = {name: scheme for name, scheme in schemes.items() if scheme.every_pair == every_pair}
+        if mine:
+            found = split(lambda part, own, mine=mine: pair_loss_sums(part, mine, sizes=own))
+            pairs = F.nullif(F.sum("pairs"), F.lit(0))
+            reports.append(_long(found.agg(*[(F.sum(name) / pairs).alias(name) for name in mine])))
+    return reports
+
+
+def _long(row: DataFrame) -> DataFrame:
+    """One row of losses as (loss_name, loss)."""
+    named = F.array(*[F.struct(F.lit(name).alias("loss_name"), F.col(f"`{name}`").alias("loss")) for name in row.columns])
+    return row.select(F.explode(named).alias("_loss")).select("_loss.*")

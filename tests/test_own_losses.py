@@ -97,3 +97,34 @@ def test_batches_hold_no_text_twice(small_groups, texts, size):
     if texts:
         assert len(sizes) == max(math.ceil(len(texts) / size), max(Counter(texts).values()))
         assert max(sizes.values()) <= size and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_losses_of_a_report_share_their_passes(spark, toy):
+    """The same values as one by one; the table itself is read once, when its columns are stored."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    schema = "query_id long, pos int, label double, logit double"
+    report = losses.loss_report(toy.mapInArrow(count, schema))
+    got = {r["loss_name"]: r["loss"] for r in report.collect()}
+    assert reads.value == toy.count()
+    plain = {
+        "bce": losses.bce_loss(toy), "mse": losses.mse_loss(toy), "listnet": losses.listnet_loss(toy),
+        "listmle": losses.listmle_loss(toy), "plistmle": losses.plistmle_loss(toy),
+        "ranknet": losses.ranknet_loss(toy), "lambda": losses.lambda_loss(toy)}
+    assert got == pytest.approx({name: only(loss) for name, loss in plain.items()})
+
+
+def test_reports_mix_parts_and_functions(small_groups, toy):
+    wanted = {"own": losses.PairLoss("ndcg1"), "swap": losses.PairLoss("lambdarank"), "bce": losses.bce_loss,
+              "square": losses.PointLoss(lambda label, logit: logit * logit)}
+    got = {r["loss_name"]: r["loss"] for r in losses.loss_report(toy, wanted).collect()}
+    assert got == pytest.approx({
+        "own": only(losses.lambda_loss(toy, "ndcg1")), "swap": only(losses.lambda_loss(toy, "lambdarank")),
+        "bce": only(losses.bce_loss(toy)), "square": np.mean([0.25, 0.04, 0.09, 1.44, 0.01])})
+    with pytest.raises(ValueError):
+        losses.pair_loss_sums(toy, {"a": losses.SCHEMES["none"], "b": losses.SCHEMES["ndcg1"]})
