@@ -9,7 +9,7 @@ from rankloom.catalog.views import (
     VECTORS, lexical, stage1, vector_corpus, vector_queries,
 )
 from rankloom.operators import retrieval
-from rankloom.operators.cells import HyperplaneCells, KMeansCells, recall
+from rankloom.operators.cells import HyperplaneCells, KMeansCells, recall, walsh_planes
 from rankloom.operators.inverted_file import InvertedFile
 from rankloom.operators.pairs import make_pairs
 from rankloom.operators.scorers import HashedTfIdf, embed, lexical_score
@@ -89,7 +89,30 @@ def retrieve_by_inverted_file(t: Tables):
         "query_id", "doc_id", "bi_score", F.col("stage1_rank").cast("int").alias("stage1_rank"))
 
 
-# Approximate search has no SQL: its cells come from training or from random planes.
+@query(f"""with {VECTORS},
+signs as (
+  select b, owner, id, sum(x * case when bit_count((place & (2 * b + 1))::integer) % 2 = 1 then -1 else 1 end) > 0 as up
+  from (
+    select 'query' as owner, query_id as id, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as place
+    from vector_queries
+    union all
+    select 'document', doc_id, unnest(embedding), generate_subscripts(embedding, 1) - 1 from vector_corpus), range(6) as t(b)
+  group by b, owner, id),
+near as (
+  select q.id as query_id, d.id as doc_id from signs q join signs d on q.b = d.b
+  where q.owner = 'query' and d.owner = 'document'
+  group by q.id, d.id having count(*) filter (where q.up <> d.up) <= 1),
+ranked as (
+  select query_id, doc_id, bi_score, row_number() over (partition by query_id order by bi_score desc, doc_id) as place
+  from scored_docs join near using (query_id, doc_id))
+select query_id, doc_id, {r('bi_score')} as bi_score, cast(place as integer) as stage1_rank from ranked where place <= 20""")
+def retrieve_by_given_planes(t: Tables):
+    """Approximate search whose planes follow a rule: documents at most one sign away."""
+    cells = HyperplaneCells(64, radius=1, planes=walsh_planes(64, 6))
+    return retrieval.retrieve(vector_queries(t), vector_corpus(t), 20, cells)
+
+
+# Other approximate search has no SQL: its cells come from training or from random planes.
 
 def _kmeans(t: Tables):
     return KMeansCells.fit(vector_corpus(t), n_cells=16, n_probe=6)

@@ -41,6 +41,12 @@ def _with_cell(corpus: DataFrame, locate) -> DataFrame:
     return known.mapInArrow(run, f"{fields}, cell int")
 
 
+def walsh_planes(dims: int, bits: int) -> np.ndarray:
+    """Planes of signs by a rule: component i of plane b is -1 if i and 2b + 1 share an odd number of bits."""
+    shared = np.arange(dims)[None, :] & (2 * np.arange(bits) + 1)[:, None]
+    return np.array([[1.0 - 2.0 * (int(x).bit_count() % 2) for x in row] for row in shared])
+
+
 class KMeansCells:
     """Cells around k-means centres of the unit vectors; queries probe the nearest."""
 
@@ -79,10 +85,13 @@ class KMeansCells:
 
 
 class HyperplaneCells:
-    """Cells by the signs of random projections; queries probe cells a few signs away."""
+    """Cells by the signs of projections; queries probe cells a few signs away.
+
+    The planes are random, or ``planes`` (one row each) if given.
+    """
 
-    def __init__(self, dims: int, bits: int = 6, radius: int = 2, seed: int = 12):
-        self.planes = np.random.default_rng(seed).standard_normal((bits, dims))
+    def __init__(self, dims: int, bits: int = 6, radius: int = 2, seed: int = 12, planes: np.ndarray | None = None):
+        self.planes = np.random.default_rng(seed).standard_normal((bits, dims)) if planes is None else planes
         self.radius = radius
 
     def _cells(self, vectors: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.plans.durable import durable
 from rankloom.plans.groups import (
     GroupSizes, group_totals, known_groups, measure_groups, salted_join, scan_groups,
 )
@@ -212,7 +213,7 @@ def kendall(df: DataFrame, x: str = "label", y: str = "score") -> DataFrame:
     discordant pairs that this bit decides. The work grows with rows times
     bits, never with pairs.
     """
-    counted = _counted(df, x, y)
+    counted = durable(_counted(df, x, y))  # read by five branches
     distinct = counted.agg(
         F.countDistinct("x").alias("x"), F.countDistinct("y").alias("y"), F.count(F.lit(1)).alias("n")
     ).first()

@@ -1,10 +1,10 @@
 """Two-stage retrieval: vector top-k, then re-ranking by a pair scorer.
 
 The corpus is read once per block of queries and never shuffled: a block of
-query vectors of bounded size goes to every executor, each task multiplies it
+query vectors of bounded size (64 MB) goes to every executor, each task multiplies it
 with its part of the corpus and keeps the best ``k`` documents per query, and
-only those are shuffled. More queries than a block holds make further blocks;
-more blocks than may be sent around meet the corpus in a shuffle, block by block.
+only those are shuffled. More queries than may be sent around are cut into blocks
+that meet the corpus in a shuffle, block by block.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from rankloom.operators.scorers import PairScorer, score_pairs
 from rankloom.plans.groups import known_groups, scan_groups, top_rows
 
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-# Blocks of queries that may be sent around; beyond that both sides are shuffled.
-BROADCAST_BLOCKS = 16
+# Blocks of queries that may be sent around, all of which pass through the driver and stay
+# until the result is dropped; beyond that both sides are shuffled.
+BROADCAST_BLOCKS = 1
 CORPUS_BLOCK_ROWS = 100_000
 SCORES_AT_ONCE = 4_000_000
 

@@ -57,6 +57,7 @@ def test_exact_top_k(queries, corpus, k):
 def test_slabs_merges_and_query_blocks(queries, corpus, monkeypatch):
     monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 90)
     monkeypatch.setattr(retrieval.BestRows, "MERGE_AT", 50)
+    monkeypatch.setattr(retrieval, "BROADCAST_BLOCKS", 16)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 8 * 8 * 3)
     assert ranks(retrieval.retrieve(queries, corpus, 20)) == brute(20)
 
