@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from rankloom.functions.text import token_count
 from rankloom.functions.vectors import densify
 from rankloom.operators.mining import shape_negatives
 from rankloom.operators.ranking import rank_within_query
-from rankloom.plans.groups import scan_groups
+from rankloom.plans.groups import null_safe_join, scan_groups
 from rankloom.sources import corpus as corpora
 from rankloom.sources import datasets, datasource, sinks, text_formats
 from rankloom.streaming.corpus_stream import read_documents, stream_corpus
@@ -217,30 +216,25 @@ WIDE = """wide as (
   from conversations group by conv_id)"""
 
 
-def wide(t: Tables) -> tuple[DataFrame, list[str]]:
-    """A row per conversation with every assistant turn in a column, and these columns."""
-    turns = [
-        row["turn"] for row in
-        t.conversations.where("role = 'assistant'").select("turn").distinct().orderBy("turn").collect()
-    ]
+def with_answers(t: Tables) -> DataFrame:
+    """A row per conversation with its assistant turns as an ordered list; very long lists go on in further rows."""
+    said = t.conversations.where("role = 'assistant' and text is not null").select(
+        F.col("conv_id").alias("query_id"), "turn", "text", F.lit(None).cast("int").alias("label"))
+    placed = scan_groups(said, ["query_id"], [F.col("turn"), F.col("text")], rank="pos")
+    lists = datasets.collect_lists(placed.withColumn("pos", F.col("pos") - 1), "text")
 
-    def at(turn, name):
-        return F.max(F.when(F.col("turn") == turn, F.col("text"))).alias(name)
+    def at(turn: int) -> Column:
+        return F.max(F.when(F.col("turn") == turn, F.col("text")))
 
-    answers = [
-        F.max(F.when((F.col("turn") == n) & (F.col("role") == "assistant"), F.col("text"))).alias(f"answer_{n}")
-        for n in turns
-    ]
-    rows = t.conversations.groupBy("conv_id").agg(at(0, "question"), at(1, "answer"), *answers)
-    return rows, [f"answer_{n}" for n in turns]
+    rows = t.conversations.groupBy("conv_id").agg(at(0).alias("question"), at(1).alias("answer"))
+    return null_safe_join(rows, lists.select(F.col("query_id").alias("conv_id"), "docs"), ["conv_id"], "left")
 
 
 @query(f"""with {WIDE} select md5(question) as query, md5(answer) as positive,
   cast(len(answers) as integer) as n_documents
 from wide""")
 def reranking_samples(t: Tables):
-    rows, answers = wide(t)
-    samples = datasets.to_rerank_samples(rows, "question", "answer", answers)
+    samples = datasets.to_rerank_samples(with_answers(t), "question", "answer", "docs")
     return samples.select(
         F.md5("query").alias("query"), F.md5(F.element_at("positive", 1)).alias("positive"),
         F.size("documents").alias("n_documents"),
@@ -252,8 +246,7 @@ docs as (select question, answer, unnest(answers) as document from wide)
 select md5(question) as query, md5(document) as document,
   case when answer is null then null else cast(document = answer as integer) end as label from docs""")
 def labels_by_membership(t: Tables):
-    rows, answers = wide(t)
-    samples = datasets.to_rerank_samples(rows, "question", "answer", answers)
+    samples = datasets.to_rerank_samples(with_answers(t), "question", "answer", "docs")
     labeled = datasets.label_by_membership(samples)
     return labeled.select(F.md5("query").alias("query"), F.md5("document").alias("document"), "label")
 

@@ -193,14 +193,17 @@ def validate_lists(df: DataFrame, docs: str = "docs", labels: str = "labels") ->
 
 
 def to_rerank_samples(
-    df: DataFrame, query: str, positive: str, documents: list[str] | None = None
+    df: DataFrame, query: str, positive: str, documents: list[str] | str | None = None
 ) -> DataFrame:
-    """Wide n-tuples to (query, positive ARRAY, documents ARRAY).
+    """N-tuples to (query, positive ARRAY, documents ARRAY).
 
-    The documents are the columns after the first two unless named.
+    The documents are the columns after the first two unless named, or those of one array column.
     """
-    names = documents or df.columns[2:]
-    present = F.filter(F.array(*names), lambda d: d.isNotNull())
+    if isinstance(documents, str):
+        listed = F.coalesce(F.col(documents), F.array().cast(df.schema[documents].dataType))
+    else:
+        listed = F.array(*(documents or df.columns[2:]))
+    present = F.filter(listed, lambda d: d.isNotNull())
     return df.select(
         F.col(query).alias("query"), F.array(positive).alias("positive"), present.alias("documents")
     )

@@ -105,6 +105,8 @@ def test_samples(spark):
     wide = spark.createDataFrame([("q", "p", "d1", "p", None)], "question string, answer string, a string, b string, c string")
     samples = datasets.to_rerank_samples(wide, "question", "answer")
     assert samples.first().asDict() == {"query": "q", "positive": ["p"], "documents": ["d1", "p"]}
+    listed = wide.select("question", "answer", F.array("a", "b", "c").alias("docs"))
+    assert datasets.to_rerank_samples(listed, "question", "answer", "docs").collect() == samples.collect()
     labels = datasets.label_by_membership(samples).orderBy("pos").collect()
     assert [(r["document"], r["label"]) for r in labels] == [("d1", 0), ("p", 1)]
 
