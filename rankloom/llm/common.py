@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +46,24 @@ def ascii_lower(text: Column) -> Column:
 def two_hashes(value: Column, *names: str) -> list[Column]:
     """A key of 128 bits for a string, as two long columns."""
     return [F.xxhash64(value).alias(names[0]), F.xxhash64(F.lit(77), value).alias(names[1])]
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed but holds on to; Spark keeps workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, begun and ended without memory of earlier batches."""
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return whole

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored, whole_text
+from rankloom.llm.common import stored, trimmed, whole_text
 from rankloom.llm.tokens import IDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -66,6 +66,7 @@ def cut_documents(
         *([("at", pa.string()), ("row", pa.int64())] if in_order else []),
     ])
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.asarray([end_id], IDS).tobytes()
         for batch in batches:

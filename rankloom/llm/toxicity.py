@@ -18,7 +18,8 @@
 Edge cases: a null text is an empty one and gets the score of a text without words; texts
 are read whole; repeated rows score alike; a null ``doc_id`` is scored, but never trained
 on; without usable labels of both kinds every document gets the share of toxic labels, or
-a half without any; an empty table gives no rows; further columns pass through.
+a half without any; an empty table gives no rows; further columns pass through,
+but one named ``score`` gives way to the result (not in ``keep_clean``).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored, whole_text
+from rankloom.llm.common import stored, trimmed, whole_text
 
 WORD = r"[^\W\d_]+"
 #: What pattern voters look for.
@@ -113,6 +114,7 @@ def word_counts(sample: DataFrame, settings: Settings) -> list:
     Words of the sample are counted where they are; the strongest are kept by their
     deviation from the share of toxic rows.
     """
+    @trimmed
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
@@ -150,6 +152,7 @@ def lexicons(counts: list, share: float, settings: Settings) -> Voters:
 
 def vote_patterns(docs: DataFrame, voters: Voters) -> DataFrame:
     """(pattern, n): how many documents vote alike. Counted in the tasks, summed over them."""
+    @trimmed
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
         for batch in batches:
