@@ -103,9 +103,10 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-with lines as (
-  select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i
-  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
+with docs as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+lines as (
+  select row, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i
+  from (select row, doc_id, string_split(text, chr(10)) as ls from docs)
 ),
 keyed as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -114,12 +115,12 @@ keyed as (
 ),
 frequent as (
   select key from keyed where length(key) >= 1
-  group by key having count(distinct doc_id) >= 10
+  group by key having count(distinct row) >= 10
 )
-select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(f.key) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where f.key is null), '')) as kept_sha256
 from keyed k left join frequent f on k.key = f.key
-group by doc_id
+group by row
 """
 
 def _crc32(text: str) -> str:
@@ -227,7 +228,9 @@ damaged as (
 placed as (select *, row_number() over (partition by conv order by turn nulls first, role, text, copy) as pos from damaged),
 seen as (
   select *, row_number() over (partition by conv, role, text order by pos) > 1 as again, left(role, 1) as initial,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as final,
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as final,
     left(role, 1) || lead(left(role, 1)) over (partition by conv order by pos) as pair
   from placed
 ),

@@ -156,6 +156,22 @@ def test_near_duplicates(spark, monkeypatch, tile, few):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """A drifting family whose ends are not alike, a family of close copies and strangers that share buckets."""
+    monkeypatch.setattr(minmax, "TILE_SHINGLES", 2_000)
+    words = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(160):  # each differs from the next by one word, from the far ones by many
+        texts[i] = " ".join(f"n{j}" if j < i % 80 else w for j, w in enumerate(words))
+    for i in range(120):
+        texts[1000 + i] = " ".join(["z"] * 5 + [f"v{j}" if j != i else f"only{i}" for j in range(120)])
+    for i in range(30):
+        texts[2000 + i] = " ".join(words[:75] + [f"s{i}.{j}" for j in range(60)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = minmax.near_duplicates(docs, tile=16).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_classes(texts)
+
+
 @pytest.mark.parametrize("ids, want", [((1, 2, 3), {1: {1}, 2: {1}, 3: {1}}), ((5, 2, 7), {5: {2, 5}, 2: {2}, 7: {5}})])
 def test_near_duplicates_of_an_id_with_two_texts(spark, ids, want):
     x, y = ([f"{side}{i}" for i in range(101)] for side in "xy")
@@ -226,6 +242,25 @@ def test_line_query_equals_its_sql(spark):
     assert table_of(df.columns, [tuple(r) for r in df.collect()]) == table_of(names, found.fetchall())
 
 
+def test_line_sql_on_odd_rows(spark, tmp_path):
+    """Repeated and null ids, null texts: rows are documents of their own, for the code and for its SQL."""
+    import duckdb
+
+    from tests.oracle import table_of
+
+    rows = [(i % 2 + 1, f"shared\nown {i}") for i in range(10)] + [(None, "SHARED \n\nx"), (None, None), (3, ""), (3, None), (4, "a\r\nb\x0b")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    df = queries.QUERIES["op6_line_dedup"](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{path}/*.parquet'")
+    found = connection.execute(queries.SQL["op6_line_dedup"])
+    names = [x[0] for x in found.description]
+    got = table_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == table_of(names, found.fetchall())
+    assert sum(r[names.index("n_dropped")] for r in df.select(*names).collect()) == 11
+
+
 def test_near_duplicates_between_80_and_85_percent(spark):
     """One changed word in texts of 50 to 65 words: 0.804 to 0.848; the pipeline's stage drops the copies."""
     rng = np.random.default_rng(4)
