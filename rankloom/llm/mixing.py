@@ -20,6 +20,7 @@ an empty table gives no rows; further columns pass through ``in_mixed_order`` un
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -136,8 +137,11 @@ def schedule(blocks: list[int], weights: list, period: int) -> list[Phase]:
 STRETCHES = "phase int, at long, done array<long>"
 
 
-def slot_table(spark: SparkSession, phases: list[Phase]) -> DataFrame:
-    """(source_no, block, slot) of every block; each stretch of each phase is a row of work."""
+def slot_table(spark: SparkSession, phases: list[Phase], missing: list[int]) -> DataFrame:
+    """(source_no, block, slot, missing) of every block; each stretch of each phase is a row of work.
+
+    ``missing`` has the documents by which the slots before a phase fall short of full blocks.
+    """
     length = [phase.pfair.length for phase in phases]
     work = [(i, m * length[i], done) for i, phase in enumerate(phases) for m, done in enumerate(phase.states)]
     plans = [replace(phase, states=[]) for phase in phases]
@@ -151,9 +155,11 @@ def slot_table(spark: SparkSession, phases: list[Phase]) -> DataFrame:
                     pa.array([plan.numbers[k] for k, _ in taken], pa.int32()),
                     pa.array([plan.first[k] + j for k, j in taken], pa.int64()),
                     pa.array(range(plan.start + at, plan.start + at + len(taken)), pa.int64()),
-                ], ["source_no", "block", "slot"])
+                    pa.array([missing[i]] * len(taken), pa.int64()),
+                ], ["source_no", "block", "slot", "missing"])
 
-    return spark.createDataFrame(work, STRETCHES).mapInArrow(place, "source_no int, block long, slot long")
+    return spark.createDataFrame(work, STRETCHES).mapInArrow(
+        place, "source_no int, block long, slot long, missing long")
 
 
 SOURCES = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.IntegerType())])
@@ -199,21 +205,16 @@ def mix(
         "k", F.row_number().over(Window.partitionBy("source_no", "bucket").orderBy("doc_id")) - 1,
     ).join(offsets, ["source_no", "bucket"]).withColumn("index", F.col("before") + F.col("k"))
 
-    slots = slot_table(spark, phases)
+    # Every slot holds block_rows documents, but for the last block of a source, which ends a phase.
+    short = [blocks[phase.ended] * block_rows - sizes[names[phase.ended]] for phase in phases]
+    slots = slot_table(spark, phases, [0, *itertools.accumulate(short)][:-1])
     if sum(blocks) <= BROADCAST_BLOCKS:
         slots = F.broadcast(slots)
     placed = numbered.withColumn("block", F.floor(F.col("index") / block_rows).cast("long")).join(
         slots, ["source_no", "block"])
-    # Every slot holds block_rows documents, but for the last block of a source.
-    short = []
-    for phase in phases:  # a phase ends with the last block of a source
-        n = sizes[names[phase.ended]]
-        if n % block_rows:
-            short.append((phase.start + phase.slots - 1, blocks[phase.ended] * block_rows - n))
-    missing = sum((F.when(F.col("slot") > at, n).otherwise(0) for at, n in short), F.lit(0))
     return placed.select(
         *keys, F.col("index").cast("long").alias("index"), "block", "slot",
-        (F.col("slot") * block_rows + F.pmod(F.col("index"), F.lit(block_rows)) - missing).cast("long").alias("position"),
+        (F.col("slot") * block_rows + F.pmod(F.col("index"), F.lit(block_rows)) - F.col("missing")).cast("long").alias("position"),
     )
 
 
