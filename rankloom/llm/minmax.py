@@ -6,8 +6,11 @@
    are hashed into buckets. Bands are as wide as the threshold allows (``layout``): a pair
    at the threshold shares no band with a probability of at most ``MISSED``, 5 in a million,
    more alike pairs far less often. At 85 % these are 26 bands of 6 values, at 80 % 32 of 5.
-3. Buckets with the same members are worked on once. A bucket is a task's group; one of
-   more than ``tile`` classes is cut into tiles, and every two tiles meet. The group
+3. Buckets with the same members are worked on once. A bucket is a task's group; a large one
+   (more than ``tile`` classes, or ``TILE_SHINGLES`` in all) is cut into tiles, whose members
+   first meet one of them, the pivot. Those linked with it are one component already, so
+   afterwards only the others meet all members, tile by tile: a bucket of near copies of one text
+   costs its size, and no pair that could join two components is left out. A group
    counts the shared shingles of its members on the whole sets and returns, for those it
    finds linked, a forest: fewer links than members.
 4. The links' components are found by stars.
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored, whole_text
+from rankloom.llm.common import stored, trimmed, whole_text
 from rankloom.llm.components import components
 
 WORDS = 5
@@ -43,7 +46,11 @@ MISSED = 5e-6
 SLAB, PIECE = 1 << 14, 1 << 22
 #: Ids of classes in buckets go to the tasks whole only up to this number (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Shingles of a tile, on average: 8 bytes each.
+TILE_SHINGLES = 2_000_000
 HASH = np.dtype("<u8")
+#: The tile of a large bucket's pivot.
+PIVOT = -1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,6 +126,7 @@ def signatures(docs: DataFrame, words: int = WORDS, threshold: float = 85) -> Da
     schema = pa.schema([
         ("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
+    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, bands = [], [], []
@@ -179,6 +187,7 @@ def confirmed(groups: DataFrame, threshold: int) -> DataFrame:
     """Links (u, v) of the groups (bucket, one, two, tile, id, n, shingles), each sorted together in a task."""
     names = ["bucket", "one", "two"]
 
+    @trimmed
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
         for batch in batches:
@@ -219,26 +228,28 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
     signed = stored(signatures(docs, words, threshold), "min-max")
     classes = stored(
         signed.filter(F.col("key").isNotNull()).groupBy("key").agg(
-            F.min("doc_id").alias("least"), F.first("bands").alias("bands"),
+            F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"),
         ).filter(F.col("least").isNotNull()).withColumn("id", F.monotonically_increasing_id()), "text-classes")
-    placed = classes.select("id", F.explode("bands").alias("bucket"))
+    placed = classes.select("id", "size", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
-        F.bit_xor(F.xxhash64("id", F.lit(3))).alias("y"),
+        F.bit_xor(F.xxhash64("id", F.lit(3))).alias("y"), F.sum("size").alias("all"), F.min("id").alias("pivot"),
     ).filter(F.col("n") > 1)
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = stored(placed.join(buckets.select("bucket", "n"), "bucket"), "bucket-members")
+    buckets = buckets.groupBy("n", "x", "y").agg(*[F.min(c).alias(c) for c in ("bucket", "all", "pivot")])
+    buckets = buckets.select("bucket", "pivot", _tiles("n", "all", tile).alias("tiles"))
+    members = stored(placed.join(buckets, "bucket"), "bucket-members")
 
     active = classes.select("key", "least", "id").join(members.select("id").distinct(), "id", "left_semi")
     if active.count() <= BROADCAST_IDS:
         active = F.broadcast(active)
     shingle_sets = _sets(docs, active, words)
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    tiled = members.withColumns({"tile": F.pmod(F.xxhash64("id", F.lit(4)), tiles).cast("int"), "tiles": tiles})
-    groups = tiled.select(
-        "bucket", "id", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"),
-    ).select("bucket", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "id")
+    small, large = members.filter("tiles = 1"), members.filter("tiles > 1")
+    groups = small.select("bucket", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("tile"), "id").unionByName(
+        pivot_groups(large))
     links = stored(confirmed(groups.join(shingle_sets, "id"), threshold), "near-links")
+    if not large.isEmpty():
+        apart = stored(groups_apart(large, links, tile), "members-apart")
+        links = links.unionByName(stored(confirmed(apart.join(shingle_sets, "id"), threshold), "near-links"))
 
     reached = components(links).join(classes.select("id", "least"), "id")
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -250,8 +261,50 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS, ti
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _tiles(count: str, shingles: str, tile: int) -> Column:
+    """Tiles for so many classes with so many shingles."""
+    return F.ceil(F.greatest(F.col(count) / tile, F.col(shingles) / TILE_SHINGLES)).cast("int")
+
+
+def _tile(tiles: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(4)), tiles).cast("int")
+
+
+def pivot_groups(large: DataFrame) -> DataFrame:
+    """(bucket, one, two, tile, id): every tile of a large bucket (id, tiles, pivot) with the pivot in front."""
+    others = large.filter(F.col("id") != F.col("pivot")).withColumn("tile", _tile(F.col("tiles")))
+    pivots = large.filter(F.col("id") == F.col("pivot")).select(
+        "bucket", "id", F.lit(PIVOT).alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"))
+    one = F.lit(PIVOT).alias("one")
+    return others.select("bucket", one, F.col("tile").alias("two"), "tile", "id").unionByName(
+        pivots.select("bucket", one, "two", "tile", "id"))
+
+
+def groups_apart(large: DataFrame, links: DataFrame, tile: int) -> DataFrame:
+    """(bucket, one, two, tile, id) of large buckets: members that are not linked with the pivot meet all others.
+
+    Their tiles come first; every two tiles meet of which one is among them.
+    """
+    near = links.select(F.col("u").alias("id"), F.col("v").alias("pivot"), F.lit(True).alias("near")).distinct()
+    known = large.join(near, ["id", "pivot"], "left").withColumn(
+        "near", F.coalesce("near", F.col("id") == F.col("pivot")))
+    count, size = F.lit(1), F.col("size")
+    sizes = known.groupBy("bucket").agg(*[
+        F.sum(F.when(kind, value).otherwise(0)).alias(name) for name, kind, value in (
+            ("near_n", F.col("near"), count), ("near_all", F.col("near"), size),
+            ("apart_n", ~F.col("near"), count), ("apart_all", ~F.col("near"), size))])
+    sizes = sizes.filter(F.col("apart_n") > 0).select(
+        "bucket", _tiles("apart_n", "apart_all", tile).alias("firsts"), _tiles("near_n", "near_all", tile).alias("rest"))
+    tiled = known.select("bucket", "id", "near").join(sizes, "bucket").withColumn(
+        "tile", F.when(F.col("near"), F.col("firsts") + _tile(F.col("rest"))).otherwise(_tile(F.col("firsts"))))
+    pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("firsts") + F.col("rest") - 1))).filter(
+        F.least("tile", "other") < F.col("firsts"))
+    return pairs.select("bucket", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "id")
+
+
 def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(id, shingles): the whole set of each class (key, least, id), from a document with its least ``doc_id``."""
+    @trimmed
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, words).tobytes() for text in batch["text"].to_pylist()]
