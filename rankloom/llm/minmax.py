@@ -44,7 +44,7 @@ PERMUTATIONS = 80
 MISSED = 5e-6
 #: Shingles permuted at once, and bytes of text split at once.
 SLAB, PIECE = 1 << 14, 1 << 22
-#: Ids of classes in buckets go to the tasks whole only up to this number (8 bytes each).
+#: Classes in buckets (key, least id, number) go to the tasks whole only up to this number (32 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Shingles of a tile, on average: 8 bytes each.
 TILE_SHINGLES = 2_000_000
