@@ -170,3 +170,15 @@ def test_features_beyond_the_width_are_an_error(spark):
     for width in (3, 4):
         with pytest.raises(Exception, match="feature index"):
             df.select(densify(F.col("features"), width)).collect()
+
+
+def test_streamed_corpus_reads_a_table_of_many_files(spark, tmp_path):
+    from rankloom.catalog import QUERIES
+
+    rows = [(1, "one two"), (1, "one two"), (2, ""), (None, "three"), (3, None), *[(i, "x " * i) for i in range(4, 30)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    for _ in range(2):  # a second run is a corpus of its own
+        got = QUERIES["streamed_corpus"](spark, str(tmp_path)).collect()
+        whole = [(i, x if x is None else float(len(x))) for i, x in rows]
+        assert sorted(((r["doc_id"], r["chars"]) for r in got), key=repr) == sorted(whole, key=repr)
