@@ -109,3 +109,31 @@ def test_storage_and_importance(spark, model, rows, tmp_path):
     assert [r["name"] for r in table] == [1, 2, 3, 4, 5]
     assert sum(r["importance"] for r in table) == sum(n.leaf < 0 for t in model.trees for n in t)
     assert table[0]["gain"] == max(r["gain"] for r in table)
+
+
+def test_rounds_do_not_shuffle_the_lists_again(spark):
+    """Gradients of stored lists take one pass without an exchange, over batches that cut the lists, and are those of windows."""
+    from rankloom.operators.gradients import listed_gradients, pair_gradients
+    from rankloom.operators.trees import Node, tree_column
+
+    made = [(None if q == 3 else q, i, float((q * i) % 4), [float(i % 5), float(q)], i)
+            for q in range(7) for i in range(1 + 3 * q)]
+    df = spark.createDataFrame(made, "query_id long, doc_id long, label double, features array<double>, n long")
+    tree = [Node(feature=0, threshold=1.0, left=1, right=2), Node(leaf=0, value=0.5), Node(leaf=1, value=-0.25)]
+    trainer = LambdaMART()
+    train, by_row, sizes, _ = trainer._prepare(df)
+    assert by_row is None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = listed_gradients(train, [tree, tree], k=5)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = tree_column(tree, F.col("bins"))
+    want = pair_gradients(train.withColumn("score", F.col("score") + one + one), sizes, ["bins"], k=5).collect()
+
+    def plain(rows):
+        return sorted((tuple(r["bins"]), round(r["lambda"], 9), round(r["hessian"], 9)) for r in rows)
+
+    assert len(got) == len(made) and plain(got) == plain(want)
