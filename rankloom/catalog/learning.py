@@ -44,9 +44,14 @@ def parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     return rows.where(~held_out), rows.where(held_out)
 
 
-def gained(model: LambdaMARTModel, rows: DataFrame, name: str) -> DataFrame:
+def unranked(rows: DataFrame) -> float:
+    """NDCG@10 of the order without a model."""
+    return mean_ndcg(rows.withColumn("score", F.lit(0.0))).first()[0]
+
+
+def gained(model: LambdaMARTModel, rows: DataFrame, name: str, before: float | None = None) -> DataFrame:
     """NDCG@10 of the model next to that of the order without a model."""
-    before = mean_ndcg(rows.withColumn("score", F.lit(0.0))).first()[0]
+    before = unranked(rows) if before is None else before
     after = mean_ndcg(model.transform(rows)).first()[0]
     return rows.sparkSession.createDataFrame(
         [(name, len(model.trees), float(before), float(after))],
@@ -93,9 +98,9 @@ def watched_lambdamart(t: Tables):
 @query()
 def pointwise_and_pairwise_boosting(t: Tables):
     rows = training_rows(t).withColumn("label", F.least("label", F.lit(1.0)))
-    reports = None
+    before, reports = unranked(rows), None
     for objective in ("ranknet", "mse", "bce"):
-        report = gained(LambdaMART(n_trees=TREES, objective=objective).fit(rows), rows, objective)
+        report = gained(LambdaMART(n_trees=TREES, objective=objective).fit(rows), rows, objective, before)
         reports = report if reports is None else reports.unionByName(report)
     return reports
 
