@@ -9,7 +9,7 @@ neighbour is closer to it, times ``relax``, than the vector itself. Edges run ba
 well and are pruned again when a vector has too many. A first pass prunes with a
 factor of one, a second with ``relax``.
 
-Queries come in blocks, and each block meets every shard: the beam search runs for all
+Queries come in blocks, and each block meets every shard, in slots that hold several: the beam search runs for all
 queries of a block in lockstep. What a search finds is ordered by exact distances in double
 precision on the original vectors, and the best of all shards are kept.
 
@@ -35,6 +35,8 @@ SHARD_ROWS = 2048
 DEGREE, BEAM, RELAX = 32, 64, 1.2
 #: Queries searched together, and vectors inserted together.
 BLOCK = 512
+#: Blocks of queries that a task holds while shards pass by.
+GROUP_BLOCKS = 64
 
 
 def usable(vector: Column) -> Column:
@@ -200,17 +202,26 @@ def _framed(points: np.ndarray, data: np.ndarray) -> np.ndarray:
 def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each query (vec_id, embedding).
 
-    Blocks of queries are sent to every shard; per shard at most ``k`` rows of a query come back.
+    Shards are dealt to as many slots as there are shuffle partitions, and blocks of queries are sent to
+    every slot; per shard at most ``k`` rows of a query come back. Neither the plan nor the number of
+    tasks grows with the shards, and none of them are listed on the driver.
     """
     asked = queries.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     n = asked.count()
     blocks = max(1, -(-n // block_rows))
+    groups = -(-blocks // GROUP_BLOCKS)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = min(tasks, (index.agg(F.max("shard")).first()[0] or 0) + 1)
     grouped = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    shards = [row["shard"] for row in index.select("shard").collect()]  # one number per shard
-    meeting = grouped.select("queries", F.explode(F.array(*[F.lit(s) for s in shards]) if shards else F.array().cast(
-        "array<bigint>")).alias("shard")).join(index, "shard").select(
+        F.collect_list(F.struct("query_id", "q")).alias("queries")).select(
+        "queries", F.floor(F.col("block") / GROUP_BLOCKS).cast("int").alias("group"),
+        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    held = index.select(
+        "ids", "begin", "vectors", "edges", "start", "width", F.pmod("shard", F.lit(slots)).cast("int").alias("slot"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    # A task holds one group of blocks; shards pass by, and nothing is broadcast by way of the driver.
+    meeting = held.hint("merge").join(grouped.hint("merge"), ["slot", "group"]).select(
         "ids", "begin", "vectors", "edges", "start", "width", "queries")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +258,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM,
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
             ["query_id", "vec_id", "score"])
 
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = meeting.repartition(max(tasks, len(shards))).mapInArrow(visit, "query_id long, vec_id long, score double")
+    hits = meeting.mapInArrow(visit, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -122,6 +122,26 @@ def test_graph_search_leaves_odd_vectors_out(spark):
     assert graph_index.search(graph_index.build_index(empty), empty).collect() == []
 
 
+def test_shards_do_not_add_to_the_plan_or_the_tasks_of_a_search(spark):
+    rows = [(i, [math.sin(i * 7 + j) for j in range(4)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = graph_index.build_index(df, shard_rows=16)
+    shards = index.count()
+    got = graph_index.search(index, df.filter("vec_id % 20 = 0"), k=3, block_rows=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert shards > 40 and str(shards) not in plan and "Broadcast" not in plan
+    data = np.array([v for _, v in rows])
+    found = got.collect()
+    assert len(found) == 150
+    hits = 0
+    for q in range(0, 1000, 20):
+        away = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        away[q] = np.inf
+        best = set(np.argsort(away, kind="stable")[:3].tolist())
+        hits += len(best & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hits >= 0.9 * 150
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(i, i + 1) for i in range(100, 160)] + [tuple(map(int, rng.integers(0, 90, 2))) for _ in range(60)]
