@@ -184,7 +184,11 @@ def forest(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]
 
 
 def confirmed(groups: DataFrame, threshold: int) -> DataFrame:
-    """Links (u, v) of the groups (bucket, one, two, tile, id, n, shingles), each sorted together in a task."""
+    """Links (u, v) of the groups (bucket, one, two, tile, id, shingles), each sorted together in a task.
+
+    A link is returned once, however many groups find it, and links of many tasks come together, so that
+    they are not written to a file a task: Hadoop's local file system starts two processes for each file.
+    """
     names = ["bucket", "one", "two"]
 
     @trimmed
@@ -216,7 +220,7 @@ def confirmed(groups: DataFrame, threshold: int) -> DataFrame:
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         groups.select(*names, "tile", "id", "shingles").repartition(4 * tasks, *names)
-        .sortWithinPartitions(*names).mapInArrow(confirm, "u long, v long")
+        .sortWithinPartitions(*names).mapInArrow(confirm, "u long, v long").distinct()
     )
 
 

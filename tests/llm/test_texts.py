@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from rankloom.llm import digests, line_runs, minmax, queries, secret_scan, toxicity
+from rankloom.llm.common import stored
 from tests.conftest import SMALL
 from tests.llm.common import CLASHES, SCHEMA, no_documents, odd_documents, odd_rows, unique_documents, unique_rows
 
@@ -172,6 +173,15 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_classes(texts)
 
 
+def test_near_links_are_written_once_and_not_to_a_file_a_task(spark):
+    shingles = np.arange(50, dtype=minmax.HASH).tobytes()
+    rows = [(bucket, 0, 0, 0, 2 * (bucket % 100) + i, shingles) for bucket in range(300) for i in (0, 1)]
+    groups = spark.createDataFrame(rows, "bucket long, one int, two int, tile int, id long, shingles binary")
+    links = stored(minmax.confirmed(groups, 85), "near-links")
+    assert sorted(map(tuple, links.collect())) == [(2 * i + 1, 2 * i) for i in range(100)]
+    assert len(links.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("ids, want", [((1, 2, 3), {1: {1}, 2: {1}, 3: {1}}), ((5, 2, 7), {5: {2, 5}, 2: {2}, 7: {5}})])
 def test_near_duplicates_of_an_id_with_two_texts(spark, ids, want):
     x, y = ([f"{side}{i}" for i in range(101)] for side in "xy")
