@@ -22,6 +22,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import stored, trimmed, whole_text
-from rankloom.llm.tokens import IDS, encoder
+from rankloom.llm.tokens import IDS, KEPT_WORDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ORDERED = f"{PIECES}, at string, row long"
@@ -58,6 +59,7 @@ def with_places(docs: DataFrame) -> DataFrame:
 
 def cut_documents(
     docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, in_order: bool = False,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """The pieces of all (doc_id, text), in the partitions where the texts are."""
     kinds = pa.schema([
@@ -66,9 +68,9 @@ def cut_documents(
         *([("at", pa.string()), ("row", pa.int64())] if in_order else []),
     ])
 
-    @trimmed
+    @functools.partial(trimmed, keeps=True)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.asarray([end_id], IDS).tobytes()
+        encode, end = encoder(tokenizer, kept_words), np.asarray([end_id], IDS).tobytes()
         for batch in batches:
             rows = []
             for doc_id, text, *place in zip(*[column.to_pylist() for column in batch.columns], strict=True):
@@ -201,8 +203,12 @@ def _middle(bins: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, in_order: bool = False, **tree,
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, in_order: bool = False,
+    kept_words: int = KEPT_WORDS, **tree,
 ) -> DataFrame:
-    """Tokenise, cut and pack whole documents; texts are tokenised once."""
-    pieces = stored(cut_documents(docs, tokenizer, capacity, end_id, in_order), "pieces")
+    """Tokenise, cut and pack whole documents; texts are tokenised once.
+
+    With fewer ``kept_words`` workers take less memory and more words are encoded anew; the rows are the same.
+    """
+    pieces = stored(cut_documents(docs, tokenizer, capacity, end_id, in_order, kept_words), "pieces")
     return pack(numbered(pieces) if in_order else pieces, capacity, **tree)

@@ -13,13 +13,13 @@ import functools
 import json
 import re
 import struct
-import sys
-import types
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
+from rankloom.llm.common import kept
+
 #: Words kept per Python worker and dictionary: about 250 MB at most.
 KEPT_WORDS = 1_000_000
 #: Marks that may end a word. The apostrophe is left out: it opens contractions.
@@ -170,9 +170,10 @@ def _drops_blanks(normalizer: dict | None, pre_tokenizer: dict) -> bool:
     )
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary, kept while Spark reuses the worker."""
-    kept = sys.modules.setdefault("rankloom_kept", types.ModuleType("rankloom_kept")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def encoder(path: str, kept_words: int = KEPT_WORDS) -> Encoder:
+    """One encoder per Python worker, vocabulary and bound, kept while Spark reuses the worker, until
+    tasks of an operator that keeps nothing give it back."""
+    encoders, key = kept(), f"{path}:{kept_words}"
+    if key not in encoders:
+        encoders[key] = Encoder(path, kept_words)
+    return encoders[key]

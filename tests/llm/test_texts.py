@@ -91,6 +91,17 @@ def test_line_dedup(spark, monkeypatch, least, few):
     assert line_runs.drop_frequent_lines(no_documents(spark), least).collect() == []
 
 
+def test_settled_lines_are_joined_once(spark):
+    """However many runs are settled, a batch or a run is joined with them once (Spark puts the join below a merge's union)."""
+    runs, plans = line_runs.LineRuns(min_docs=2, fanout=2), []
+    runs._run = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, "line-run")
+    for batch in range(4):
+        keys = [(key, -key, 2 if key == batch else 1) for key in (batch, 10, 20 + batch)]
+        runs.add(spark.createDataFrame(keys, "k1 long, k2 long, n long"))
+    assert sorted(tuple(r) for r in runs.frequent().collect()) == [(0, 0), (1, -1), (2, -2), (3, -3), (10, -10)]
+    assert len(runs.settled) > 2 and max(plan.count("Join LeftAnti") for plan in plans) == runs.fanout
+
+
 def test_digests(spark):
     rows = {r["doc_id"]: r for r in digests.digest_with_next(unique_documents(spark).repartition(4)).collect()}
     texts = sorted(unique_rows().items(), reverse=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -12,8 +13,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from rankloom.llm import packing, records
-from rankloom.llm.common import fresh_folder
-from rankloom.llm.tokens import Encoder
+from rankloom.llm.common import SLICE_ROWS, fresh_folder, kept, trimmed
+from rankloom.llm.tokens import Encoder, encoder
 from tests.llm.common import no_documents, odd_documents, odd_rows, unique_documents, unique_rows
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -131,3 +132,27 @@ def test_best_fit(sizes):
         here = sorted((offsets[i], sizes[i]) for i in range(len(sizes)) if bins[i] == b)
         assert [o for o, _ in here] == [sum(s for _, s in here[:i]) for i in range(len(here))]
     assert (total <= 25).sum() <= 1
+
+
+def test_encoders_are_given_back_by_operators_without_one():
+    first = encoder(public_tokenizers.path(NAMES[1]), 8)
+    list(trimmed(lambda batches: iter([encoder(public_tokenizers.path(NAMES[1]), 8)]), keeps=True)([]))
+    assert first in kept().values() and encoder(public_tokenizers.path(NAMES[1]), 8) is first
+    list(trimmed(lambda batches: batches)(iter([])))
+    assert not kept()
+
+
+def test_trimmed_runs_see_all_rows_in_short_batches():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(2 * SLICE_ROWS + 3))], ["x"])
+    seen = list(trimmed(lambda batches: batches)(iter([rows, rows.slice(0, 0), rows.slice(5, 1)])))
+    assert max(map(len, seen)) == SLICE_ROWS
+    assert [x for batch in seen for x in batch[0].to_pylist()] == [*rows[0].to_pylist(), 5]
+
+
+def test_packing_is_the_same_with_few_kept_words(spark):
+    docs = unique_documents(spark).coalesce(1)
+    path = public_tokenizers.path(NAMES[1])
+    few, many = (
+        sorted(packing.pack_documents(docs, path, 64, in_order=True, **kept_words).collect())
+        for kept_words in ({"kept_words": 8}, {}))
+    assert few == many and few
